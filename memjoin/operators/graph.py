@@ -117,7 +117,8 @@ def expand_paths(
     score from the edge columns. `fanout` keeps the best n continuations of each path. Seeds carry `rank`.
     """
     node = [*keys, "id"]
-    best = best.select(*node, "score", F.lit(0).alias("hop"), F.lit(0).alias("votes"))
+    best = cut_lineage(best.select(*node, "score", F.lit(0).alias("hop"), F.lit(0).alias("votes")))
+    edges = cut_lineage(edges)
     frontier = seeds.select(*node, "score", F.array("id").alias("path"), F.array(F.col("rank").cast("bigint")).alias("ord"))
     for hop in range(depth):
         reached = (
