@@ -45,16 +45,15 @@ def projection_plan(dims: int, actions: int, width: int) -> Column:
     )
 
 
-def lexical_boosts(text: Column, actions: int) -> Column:
-    """map action -> capped boost; every distinct token of two or more characters adds to three hashed actions."""
+def lexical_slots(text: Column, actions: int) -> Column:
+    """Sorted actions hit by the text: three hashed actions for every distinct token of two or more characters."""
     keys = F.flatten(
         F.transform(
             token_set(text),
             lambda t: F.array(*[F.concat(F.lit("field-lex:"), t, F.lit(f":{slot}")) for slot in range(LEXICAL_SLOTS)]),
         )
     )
-    slots = F.array_sort(F.transform(fnv1a64_tokens(keys), lambda h: umod(h, actions)))
-    return slots
+    return F.array_sort(F.transform(fnv1a64_tokens(keys), lambda h: umod(h, actions)))
 
 
 def field_tokens(df: DataFrame, key: str, plan: Column, actions: int, keep: int, bucket_width: float, text: str = "text", vec: str = "vec") -> DataFrame:
@@ -62,7 +61,7 @@ def field_tokens(df: DataFrame, key: str, plan: Column, actions: int, keep: int,
 
     value = projection of the vector, weight = |value| + lexical boost, bucket = floor(value / bucket_width).
     """
-    base = df.select(key, F.col(vec).alias("vec"), lexical_boosts(F.col(text), actions).alias("slots"))
+    base = df.select(key, F.col(vec).alias("vec"), lexical_slots(F.col(text), actions).alias("slots"))
     values = base.select(key, "slots", F.transform(plan, lambda points: project(F.col("vec"), points)).alias("values"))
     counts = F.transform(
         F.sequence(F.lit(0), F.lit(actions - 1)),
@@ -73,7 +72,7 @@ def field_tokens(df: DataFrame, key: str, plan: Column, actions: int, keep: int,
         lambda pair, action: F.struct(
             (-rounded(F.abs(pair["values"]) + F.least(F.lit(LEXICAL_CAP), pair["hits"] * LEXICAL_STEP))).alias("order"),
             action.cast("int").alias("action"),
-            F.floor(pair["values"] / max(1e-6, bucket_width)).cast("int").alias("bucket"),
+            F.floor(rounded(pair["values"] / max(1e-6, bucket_width))).cast("int").alias("bucket"),
             (F.abs(pair["values"]) + F.least(F.lit(LEXICAL_CAP), pair["hits"] * LEXICAL_STEP)).alias("weight"),
         ),
     )

@@ -20,6 +20,8 @@ def numbered(df: DataFrame) -> DataFrame:
     """Add `pos`, the global row number in file order, without moving rows to one task.
 
     Row counts per partition come first; each row's number is its place in the partition plus the rows before it.
+    The input is read twice, so its partitions must not change between reads: scans keep theirs, anything shuffled has
+    to be written first (`cut_lineage`).
     """
     tagged = df.withColumn("_m", F.monotonically_increasing_id())
     part = F.shiftright("_m", 33)
