@@ -16,6 +16,7 @@ from memjoin.functions.text import clamp, contains_any, jaccard_sets, mask_cover
 from memjoin.operators.graph import expand_paths, hop_gain
 from memjoin.operators.ranking import ranked, rounded, top_k
 from memjoin.operators.vector import cosine_prefix
+from memjoin.session import cut_lineage
 
 # Topic terms, promotion outcome values and level multipliers.
 RESOLUTION_TERMS = ["accepted resolution", "support note", "succeeded"]
@@ -107,14 +108,15 @@ def basin_levels(cards: DataFrame, dims: int) -> dict[int, DataFrame]:
     """Level -> (q, key, parent, project, vec, mask, child_count). Upper levels average and OR the basins below."""
     path = {2: ["project", "topic", "route"], 1: ["project", "topic"], 0: ["project"]}
     rows = cards.groupBy("q", *path[2]).agg(_centroid(dims).alias("vec"), F.bit_or("mask").alias("mask"), F.count(F.lit(1)).alias("child_count"))
-    levels = {2: rows}
+    levels = {2: cut_lineage(rows)}
     for level in (1, 0):
         below = levels[level + 1]
         text = _label(KINDS[level + 1], F.concat_ws(":", *path[level + 1]))
         labelled = below.withColumn("label_mask", activation_mask(tokens(text)))
-        levels[level] = labelled.groupBy("q", *path[level]).agg(
+        upper = labelled.groupBy("q", *path[level]).agg(
             _centroid(dims).alias("vec"), F.bit_or("label_mask").alias("mask"), F.count(F.lit(1)).alias("child_count")
         )
+        levels[level] = cut_lineage(upper)
     return {
         level: df.withColumn("key", F.concat_ws(":", *path[level])).withColumn("parent", F.concat_ws(":", *path[level][:-1])).drop("topic", "route")
         for level, df in levels.items()
@@ -160,6 +162,7 @@ def descend(
 
     `pairs` has q, id and `leaf`; `shielded` marks the walked cards that later compaction must keep.
     """
+    cards, pairs = cut_lineage(cards), cut_lineage(pairs.select("q", "id", "leaf"))
     levels = basin_levels(cards, dims)
     path = {0: F.col("project"), 1: F.concat_ws(":", "project", "topic"), 2: F.concat_ws(":", "project", "topic", "route")}
     offered = None
@@ -169,6 +172,7 @@ def descend(
         if kept is not None:
             frontier = frontier.join(kept.select("q", F.col("key").alias("parent")), ["q", "parent"], "left_semi")
         kept = keep_basins(frontier.join(tasks, "q").select("q", "key", basin_score(level).alias("score")), floor, beam)
+        kept = cut_lineage(kept.select("q", "key"))
         lifted = cards.where(F.col(f"promote_{level}")).select("q", "id", path[level].alias("key"))
         lifted = lifted.join(kept.select("q", "key"), ["q", "key"], "left_semi")
         first = F.row_number().over(Window.partitionBy("q", "key").orderBy("id"))
@@ -180,6 +184,7 @@ def descend(
     reached = offered.groupBy("q", "id").agg(F.max("bonus").alias("bonus")).join(leaf, ["q", "id"])
     reached = reached.select("q", "id", (F.col("leaf") + F.col("bonus")).alias("score"))
     sources = edges.select("q", F.col("source").alias("id")).distinct()
+    reached = cut_lineage(reached)
     seeds = ranked(reached.join(sources, ["q", "id"], "left_semi"), "q")
     walk = edges.join(leaf.withColumnRenamed("id", "target"), ["q", "target"])
     best = expand_paths(reached, seeds, walk, depth, lambda score, hop: 0.58 * score + 0.42 * F.col("leaf") + hop_gain(hop))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from memjoin.functions.hashing import FNV_OFFSET, FNV_PRIME, fnv1a64, fnv1a64_tokens, umod, unit53
-from memjoin.functions.text import mask_coverage, token_set
+from memjoin.functions.hashing import FNV_OFFSET, FNV_PRIME, fnv1a64, hash_octets, list_parts, umod, unit53
+from memjoin.functions.text import token_set
 from memjoin.operators.ranking import ranked, rounded, top_k
 from memjoin.operators.vector import dot, project
+from memjoin.session import cut_lineage
 
 # Lexical boost per token slot, its cap, slots per token, sign bit of a projection point.
 LEXICAL_STEP = 0.035
@@ -45,15 +49,29 @@ def projection_plan(dims: int, actions: int, width: int) -> Column:
     )
 
 
-def lexical_slots(text: Column, actions: int) -> Column:
-    """Sorted actions hit by the text: three hashed actions for every distinct token of two or more characters."""
-    keys = F.flatten(
-        F.transform(
-            token_set(text),
-            lambda t: F.array(*[F.concat(F.lit("field-lex:"), t, F.lit(f":{slot}")) for slot in range(LEXICAL_SLOTS)]),
-        )
-    )
-    return F.array_sort(F.transform(fnv1a64_tokens(keys), lambda h: umod(h, actions)))
+def lexical_hits(tokens: Column, actions: int) -> Column:
+    """array<int>: how often the distinct tokens hit each action, three hashed actions per token.
+
+    Tokens are dictionary-encoded per Arrow batch, so each is hashed once per batch.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def hits(batch: pa.Array) -> pa.Array:
+        flat, lengths = list_parts(batch)
+        rows = np.repeat(np.arange(len(lengths)), lengths)
+        encoded = flat.dictionary_encode()
+        words = encoded.dictionary.to_pylist()
+        codes = encoded.indices.to_numpy(zero_copy_only=False)
+        total = np.zeros(len(lengths) * actions, dtype=np.int64)
+        for slot in range(LEXICAL_SLOTS):
+            if words:
+                hashed = hash_octets(pa.array([f"field-lex:{word}:{slot}" for word in words], pa.string()))
+                action = (hashed % np.uint64(actions)).astype(np.int64)
+                total += np.bincount(rows * actions + action[codes], minlength=total.size)
+        offsets = np.arange(0, total.size + 1, actions, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.astype(np.int32)))
+
+    return hits(tokens)
 
 
 def field_tokens(df: DataFrame, key: str, plan: Column, actions: int, keep: int, bucket_width: float, text: str = "text", vec: str = "vec") -> DataFrame:
@@ -61,14 +79,10 @@ def field_tokens(df: DataFrame, key: str, plan: Column, actions: int, keep: int,
 
     value = projection of the vector, weight = |value| + lexical boost, bucket = floor(value / bucket_width).
     """
-    base = df.select(key, F.col(vec).alias("vec"), lexical_slots(F.col(text), actions).alias("slots"))
-    values = base.select(key, "slots", F.transform(plan, lambda points: project(F.col("vec"), points)).alias("values"))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(actions - 1)),
-        lambda a: F.size(F.filter(F.col("slots"), lambda s: s == a)),
-    )
+    base = df.select(key, F.col(vec).alias("vec"), lexical_hits(token_set(F.col(text)), actions).alias("hits"))
+    values = base.select(key, "hits", F.transform(plan, lambda points: project(F.col("vec"), points)).alias("values"))
     tokens = F.transform(
-        F.arrays_zip("values", counts.alias("hits")),
+        F.arrays_zip("values", "hits"),
         lambda pair, action: F.struct(
             (-rounded(F.abs(pair["values"]) + F.least(F.lit(LEXICAL_CAP), pair["hits"] * LEXICAL_STEP))).alias("order"),
             action.cast("int").alias("action"),
@@ -124,19 +138,20 @@ def bucket_collisions(query_tokens: DataFrame, postings: DataFrame, radius: int)
 def route_layers(query_tokens: DataFrame, postings: DataFrame, levels: DataFrame, layers: int, radius: int, beam: int) -> DataFrame:
     """(q, id, routed): beam kept after walking the layers from the top down to layer 1.
 
-    A layer without any collision for a query leaves that query's beam as it was.
+    A layer without any collision for a query leaves that query's beam as it was. Each beam (queries x beam rows) is
+    written before the next layer reads it twice.
     """
     frontier = None
     for layer in range(layers - 1, 0, -1):
         hits = bucket_collisions(query_tokens, postings.where(F.col("layer") == layer), radius).select("q", "id", "score")
         if frontier is None:
-            frontier = top_k(hits, "q", beam).select("q", "id", "score")
+            frontier = cut_lineage(top_k(hits, "q", beam).select("q", "id", "score"))
             continue
         carried = frontier.join(levels, "id").where(F.col("level") >= layer - 1).select("q", "id", (0.5 * F.col("score")).alias("score"))
         merged = hits.unionByName(carried).groupBy("q", "id").agg(F.sum("score").alias("score"))
-        fresh = top_k(merged, "q", beam).select("q", "id", "score")
+        fresh = cut_lineage(top_k(merged, "q", beam).select("q", "id", "score"))
         stale = frontier.join(fresh.select("q").distinct(), "q", "left_anti")
-        frontier = fresh.unionByName(stale)
+        frontier = cut_lineage(fresh.unionByName(stale))
     return frontier.withColumnRenamed("score", "routed")
 
 
@@ -163,6 +178,7 @@ def collision_candidates(
     kept = base.where(passed | F.col("routed").isNotNull()).select(
         "q", "id", (F.col("score") + 0.35 * F.coalesce("routed", F.lit(0.0))).alias("score")
     )
+    kept = cut_lineage(kept)
     counts = kept.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
     starved = (
         query_tokens.select("q").distinct().join(counts, "q", "left").where(F.coalesce("n", F.lit(0)) < min_candidates).select("q")

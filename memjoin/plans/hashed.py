@@ -10,6 +10,7 @@ from memjoin.operators.ranking import top_k
 from memjoin.plans import sqltext as S
 from memjoin.plans import workload as W
 from memjoin.plans.registry import query
+from memjoin.session import cut_lineage
 from memjoin.sources import tables
 
 DIMS, ACTIONS, WIDTH, KEEP, BUCKET, RADIUS = 64, 32, 8, 12, 0.1, 1
@@ -23,7 +24,8 @@ def plan():
 
 def side(df, key):
     base = df.select(key, "text").join(W.embedded(df, key), key)
-    return H.field_tokens(base, key, plan(), ACTIONS, KEEP, BUCKET)
+    # The token table is the index every later step reads several times, so it is written once.
+    return cut_lineage(H.field_tokens(base, key, plan(), ACTIONS, KEEP, BUCKET))
 
 
 def memory_tokens(spark, sf_dir):
@@ -38,7 +40,7 @@ def levels(spark, sf_dir, tokens):
     mean = tokens.groupBy("id").agg(F.avg("weight").alias("mean"))
     mem = tables.memories(spark, sf_dir).select("id", F.length("text").alias("n"))
     level = H.promoted_level(F.col("id").cast("string"), F.col("n"), F.coalesce("mean", F.lit(0.0)), LAYERS, CHANCE, BIAS)
-    return mem.join(mean, "id", "left").select("id", level.alias("level"))
+    return cut_lineage(mem.join(mean, "id", "left").select("id", level.alias("level")))
 
 
 _points = ", ".join(
