@@ -172,7 +172,7 @@ WORDS = r"CASE WHEN trim(text, E' \t\n\x0B\f\r') = '' THEN 1 ELSE len(regexp_spl
         f"wc AS (SELECT id, last_outcome, {WORDS} AS cost FROM mem)",
         "pk AS (SELECT * FROM (SELECT l.q, l.id, w.last_outcome, sum(w.cost) OVER (PARTITION BY l.q ORDER BY l.rank) AS used FROM lex l JOIN wc w USING (id)) WHERE used <= 2500)",
     )
-    + "SELECT q.q, count(p.id)::BIGINT AS included, count_if(last_outcome = 'ignored')::BIGINT AS decoys, count_if(last_outcome = '')::BIGINT AS background FROM qry q LEFT JOIN pk p USING (q) GROUP BY q.q",
+    + "SELECT q.q, count(p.id)::BIGINT AS included, coalesce(count_if(last_outcome = 'ignored'), 0)::BIGINT AS decoys, coalesce(count_if(last_outcome = ''), 0)::BIGINT AS background FROM qry q LEFT JOIN pk p USING (q) GROUP BY q.q",
 )
 def a27(spark, sf_dir):
     mem = tables.memories(spark, sf_dir).select("id", "last_outcome", word_cost(F.col("text")).alias("cost"))
