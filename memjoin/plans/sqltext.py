@@ -50,7 +50,7 @@ def cost(text: str) -> str:
 def fnv(s: str) -> str:
     """FNV-1a as HUGEINT over the UTF-8 bytes."""
     h = f"hex(encode({s}))"
-    octets = f"list_transform(range(1, length({h})::BIGINT, 2), lambda i: ('0x' || substr({h}, i, 2))::INT::HUGEINT)"
+    octets = f"list_transform(range(1, length({h})::BIGINT, 2), lambda octet_at: ('0x' || substr({h}, octet_at, 2))::INT::HUGEINT)"
     return (
         f"list_reduce(list_prepend(14695981039346656037::HUGEINT, {octets}),"
         " lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"

@@ -46,7 +46,10 @@ class VersionedTable:
 
 
 def fold_stream(events: DataFrame, state: VersionedTable, checkpoint: str):
-    """Fold a stream of feedback events (memory_id, seq, outcome, protected) into the memory state."""
+    """Fold a stream of feedback events (memory_id, seq, outcome, protected) into the memory state.
+
+    Clamped steps depend on order, so the log must deliver its segments in sequence order; inside a batch `seq` decides.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         if batch_id in state.versions():
