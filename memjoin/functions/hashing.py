@@ -119,7 +119,7 @@ def hash_embedding(tokens: Column, dims: int = 64) -> Column:
         rows = np.repeat(np.arange(len(lengths)), lengths)
         slot = (hashed % np.uint64(dims)).astype(np.int64)
         sign = np.where((hashed >> np.uint64(8)) & np.uint64(1), -1.0, 1.0)
-        dense = np.bincount(rows * dims + slot, weights=sign, minlength=len(lengths) * dims).reshape(-1, dims)
+        dense = np.bincount(rows * dims + slot, weights=sign, minlength=len(lengths) * dims).astype(np.float64).reshape(-1, dims)
         norm = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
         norm[norm == 0.0] = 1.0
         dense /= norm

@@ -44,19 +44,21 @@ def round_place(q: float, n: Column) -> Column:
     return F.least(n - 1, F.rint(F.round(F.lit(q) * (n - 1), 9)).cast("bigint"))
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, wanted: dict[str, tuple[float, object]]) -> DataFrame:
-    """group + one column per (quantile, place rule). One distributed sort numbers all groups at once, so a group of any
-    size never meets in one task."""
+def exact_quantiles(df: DataFrame, group: str, value: str, wanted: dict[str, tuple[float, object]], stats: bool = False) -> DataFrame:
+    """group + one column per (quantile, place rule), with avg, min and max if asked for.
+
+    One distributed sort numbers all groups at once, so a group of any size never meets in one task.
+    """
     placed = numbered(cut_lineage(df.select(group, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull()).orderBy(group, "v")))
     bounds = placed.groupBy(group).agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"))
     joined = placed.join(bounds, group).withColumn("at", F.col("pos") - F.col("start"))
-    return joined.groupBy(group).agg(*[F.max(F.when(F.col("at") == rule(q, F.col("n")), F.col("v"))).alias(name) for name, (q, rule) in wanted.items()])
+    plain = [F.avg("v").alias("avg"), F.min("v").alias("min"), F.max("v").alias("max")] if stats else []
+    return joined.groupBy(group).agg(*[F.max(F.when(F.col("at") == rule(q, F.col("n")), F.col("v"))).alias(name) for name, (q, rule) in wanted.items()], *plain)
 
 
 def metric_rollup(long: DataFrame, p50_rule=ceil_place) -> DataFrame:
-    """(metric, avg, p50, p95, min, max)."""
-    stats = long.groupBy("metric").agg(F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return stats.join(exact_quantiles(long, "metric", "value", {"p50": (0.5, p50_rule), "p95": (0.95, ceil_place)}), "metric")
+    """(metric, avg, p50, p95, min, max) in one pass over the sorted values."""
+    return exact_quantiles(long, "metric", "value", {"p50": (0.5, p50_rule), "p95": (0.95, ceil_place)}, stats=True)
 
 
 def draw(rep: Column, place: Column, n: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memjoin.functions.hashing import activation_mask, hash_embedding
+from memjoin.functions.text import tokens
 from memjoin.operators import hashed as H
 from memjoin.operators.merge import max_merge
 from memjoin.operators.ranking import top_k
@@ -23,7 +25,7 @@ def plan():
 
 
 def side(df, key):
-    base = df.select(key, "text").join(W.embedded(df, key), key)
+    base = df.select(key, "text", hash_embedding(tokens(F.col("text")), DIMS).alias("vec"))
     # The token table is the index every later step reads several times, so it is written once.
     return cut_lineage(H.field_tokens(base, key, plan(), ACTIONS, KEEP, BUCKET))
 
@@ -36,8 +38,8 @@ def query_tokens(spark, sf_dir):
     return side(tables.queries(spark, sf_dir), "q")
 
 
-def levels(spark, sf_dir, tokens):
-    mean = tokens.groupBy("id").agg(F.avg("weight").alias("mean"))
+def levels(spark, sf_dir, emitted):
+    mean = emitted.groupBy("id").agg(F.avg("weight").alias("mean"))
     mem = tables.memories(spark, sf_dir).select("id", F.length("text").alias("n"))
     level = H.promoted_level(F.col("id").cast("string"), F.col("n"), F.coalesce("mean", F.lit(0.0)), LAYERS, CHANCE, BIAS)
     return cut_lineage(mem.join(mean, "id", "left").select("id", level.alias("level")))
@@ -144,8 +146,8 @@ def hash_level(spark, sf_dir):
     + "SELECT layer::BIGINT AS layer, action::BIGINT AS action, bucket::BIGINT AS bucket, count(*) AS n, sum(id)::BIGINT AS ids, round(sum(weight), 6) AS weight FROM posted GROUP BY ALL",
 )
 def field_index(spark, sf_dir):
-    tokens = memory_tokens(spark, sf_dir)
-    rows = H.layered_postings(tokens, levels(spark, sf_dir, tokens))
+    emitted = memory_tokens(spark, sf_dir)
+    rows = H.layered_postings(emitted, levels(spark, sf_dir, emitted))
     return rows.groupBy(*[F.col(c).cast("bigint").alias(c) for c in ("layer", "action", "bucket")]).agg(
         F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.round(F.sum("weight"), 6).alias("weight")
     )
@@ -159,17 +161,17 @@ def collisions(spark, sf_dir):
 
 @query("j18_layer_routing", S.with_(COLLIDE) + "SELECT q, id, round(score, 6) AS routed FROM fr1")
 def routing(spark, sf_dir):
-    tokens = memory_tokens(spark, sf_dir)
-    level = levels(spark, sf_dir, tokens)
-    out = H.route_layers(query_tokens(spark, sf_dir), H.layered_postings(tokens, level), level, LAYERS, RADIUS, BEAM)
+    emitted = memory_tokens(spark, sf_dir)
+    level = levels(spark, sf_dir, emitted)
+    out = H.route_layers(query_tokens(spark, sf_dir), H.layered_postings(emitted, level), level, LAYERS, RADIUS, BEAM)
     return out.select("q", "id", F.round("routed", 6).alias("routed"))
 
 
-def candidates(spark, sf_dir, tokens, asked):
-    level = levels(spark, sf_dir, tokens)
-    routed = H.route_layers(asked, H.layered_postings(tokens, level), level, LAYERS, RADIUS, BEAM)
-    hits = H.bucket_collisions(asked, tokens, RADIUS)
-    return H.collision_candidates(hits, routed, asked, tokens, MIN_CANDIDATES, CAP, 400, 0.2, 0.02)
+def candidates(spark, sf_dir, emitted, asked):
+    level = levels(spark, sf_dir, emitted)
+    routed = H.route_layers(asked, H.layered_postings(emitted, level), level, LAYERS, RADIUS, BEAM)
+    hits = H.bucket_collisions(asked, emitted, RADIUS)
+    return H.collision_candidates(hits, routed, asked, emitted, MIN_CANDIDATES, CAP, 400, 0.2, 0.02)
 
 
 @query("j19_collision_candidates", S.with_(CAND) + OUT + "cand")
@@ -189,11 +191,14 @@ def overlap(spark, sf_dir):
     return pairs.join(scored, ["q", "id"], "left").select("q", "id", F.round(F.coalesce("overlap", F.lit(0.0)), 6).alias("overlap"))
 
 
-def scored(spark, sf_dir, found, tokens, asked, fetch, weights):
-    mem, qry = tables.memories(spark, sf_dir), tables.queries(spark, sf_dir)
+def scored(spark, sf_dir, found, emitted, asked, fetch, weights):
+    found = cut_lineage(found.select("q", "id", "score"))
+    # only documents some query kept are embedded and masked
+    mem, qry = tables.memories(spark, sf_dir).join(found.select("id").distinct(), "id", "left_semi"), tables.queries(spark, sf_dir)
     q_side = W.embedded(qry, "q").withColumnRenamed("vec", "q_vec").join(W.masked(qry, "q", name="q_mask"), "q")
-    m_side = W.embedded(mem, "id").join(W.masked(mem, "id"), "id")
-    near = H.field_overlap(found.select("q", "id"), asked, tokens, RADIUS)
+    toks = mem.select("id", tokens(F.col("text")).alias("toks"))
+    m_side = toks.select("id", hash_embedding(F.col("toks"), DIMS).alias("vec"), activation_mask(F.col("toks")).alias("mask"))
+    near = H.field_overlap(found.select("q", "id"), asked, emitted, RADIUS)
     return H.token_field_scores(found.select("q", "id", "score"), q_side, m_side, near, fetch, weights)
 
 
@@ -202,8 +207,8 @@ PLAIN, HYBRID = (0.50, 0.30, 0.14, 0.06), (0.08, 0.15, 0.02, 0.75)
 
 @query("j21_token_field_scores", S.with_(CAND, MASKS, score_sql("cand", PLAIN, 32)) + OUT + "fin")
 def token_field(spark, sf_dir):
-    tokens, asked = memory_tokens(spark, sf_dir), query_tokens(spark, sf_dir)
-    return shape(scored(spark, sf_dir, candidates(spark, sf_dir, tokens, asked), tokens, asked, 32, PLAIN))
+    emitted, asked = memory_tokens(spark, sf_dir), query_tokens(spark, sf_dir)
+    return shape(scored(spark, sf_dir, candidates(spark, sf_dir, emitted, asked), emitted, asked, 32, PLAIN))
 
 
 MERGE = f"""vec_s AS (SELECT q.q, m.id, coalesce(s.score, 0.0) AS score FROM qry q CROSS JOIN mem m
@@ -221,13 +226,13 @@ def union_merge(spark, sf_dir):
 
 @query("j22_hybrid_vector_token", S.with_(CAND, MERGE, MASKS, score_sql("vec", HYBRID, 16)) + OUT + "fin")
 def hybrid_vector(spark, sf_dir):
-    tokens, asked = memory_tokens(spark, sf_dir), query_tokens(spark, sf_dir)
-    return shape(scored(spark, sf_dir, W.vector_ranked(spark, sf_dir), tokens, asked, 16, HYBRID))
+    emitted, asked = memory_tokens(spark, sf_dir), query_tokens(spark, sf_dir)
+    return shape(scored(spark, sf_dir, W.vector_ranked(spark, sf_dir), emitted, asked, 16, HYBRID))
 
 
 @query("j22_hybrid_union_token", S.with_(CAND, MERGE, MASKS, score_sql("uni", HYBRID, 16)) + OUT + "fin")
 def hybrid_union(spark, sf_dir):
-    tokens, asked = memory_tokens(spark, sf_dir), query_tokens(spark, sf_dir)
-    merged = max_merge(W.vector_ranked(spark, sf_dir), candidates(spark, sf_dir, tokens, asked))
+    emitted, asked = memory_tokens(spark, sf_dir), query_tokens(spark, sf_dir)
+    merged = max_merge(W.vector_ranked(spark, sf_dir), candidates(spark, sf_dir, emitted, asked))
     limited = top_k(merged, "q", 192)
-    return shape(scored(spark, sf_dir, limited, tokens, asked, 16, HYBRID))
+    return shape(scored(spark, sf_dir, limited, emitted, asked, 16, HYBRID))

@@ -51,12 +51,8 @@ def l2(spark, sf_dir):
 def l3(spark, sf_dir):
     rows = training_rows(spark, sf_dir)
     models = heads(rows)
-    cheap = L.fit_head(rows.withColumn("x", F.slice("x", 1, 4)), "x", "label")
-    narrow = rows.withColumn("full", F.col("x")).withColumn("x", F.slice("x", 1, 4))
-    first = L.logit(cheap, narrow, "x", "cheap")
-    kept = ranked(first.withColumnRenamed("score", "held").withColumn("score", F.col("cheap")).drop("rank"), "q").where(F.col("rank") <= 4)
-    pool = kept.select("q", "id", F.col("held").alias("score"), "rank", F.col("full").alias("x"))
-    return L.calibrated_rerank(pool, *models, "x", 4).select("q", "id", F.round("score", 4).alias("score"), "rank")
+    cheap = L.fit_head(rows, "x", "label", reg=0.1, iterations=3)
+    return L.cascade_rerank(rows, cheap, models, "x", 8, 4).select("q", "id", F.round("score", 4).alias("score"), "rank")
 
 
 @query("l4_context_selector")
