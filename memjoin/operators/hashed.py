@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,13 +42,9 @@ def projection_points(dims: int, actions: int, width: int) -> list[list[tuple[in
 
 
 def projection_plan(dims: int, actions: int, width: int) -> Column:
-    """`projection_points` as a constant array<array<struct<dim, sign>>>; its size is actions x width, not data."""
-    return F.array(
-        *[
-            F.array(*[F.struct(F.lit(d).alias("dim"), F.lit(s).alias("sign")) for d, s in points])
-            for points in projection_points(dims, actions, width)
-        ]
-    )
+    """`projection_points` as one constant array<array<struct<dim, sign>>>; its size is actions x width, not data."""
+    points = [[{"dim": d, "sign": s} for d, s in line] for line in projection_points(dims, actions, width)]
+    return F.from_json(F.lit(json.dumps(points)), "array<array<struct<dim:int,sign:double>>>")
 
 
 def lexical_hits(tokens: Column, actions: int) -> Column:
