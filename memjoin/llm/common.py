@@ -33,13 +33,22 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+LOC = "__loc"
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """`docs` with a struct `loc` (file, row) naming each row's place; rows not read from files are written first."""
-    where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    """`docs` with a struct `__loc` (file, row) naming each row's place; rows not read from files are written first."""
     try:
-        return docs.withColumn("loc", where) if "loc" not in docs.columns else docs.withColumn("loc", where).select("*")
+        return _placed(docs)
     except AnalysisException:
-        return written(docs.drop("loc"), "rows").withColumn("loc", where)
+        return _placed(written(docs, "rows"))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    meta = docs.metadataColumn("_metadata")
+    placed = docs.withColumn(LOC, F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")))
+    placed.schema  # resolves the column now
+    return placed
 
 
 def lower_ascii(text: Column) -> Column:

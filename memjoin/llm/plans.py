@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memjoin.llm import sharding
+from memjoin.llm import exact_dedup, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 ENTRIES: dict[str, tuple[Query, str | None]] = {
+    "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.OP1_SQL),
     "op2_sharding": (sharding.op2_sharding, sharding.OP2_SQL),
 }
 
