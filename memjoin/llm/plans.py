@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memjoin.llm import exact_dedup, sharding, simhash
+from memjoin.llm import exact_dedup, packing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.OP1_SQL),
     "op2_sharding": (sharding.op2_sharding, sharding.OP2_SQL),
+    "op3_packing": (packing.op3_packing, None),
     "op7_simhash": (simhash.op7_simhash, None),
 }
 
