@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memjoin.llm import exact_dedup, licenses, packing, sharding, simhash
+from memjoin.llm import exact_dedup, licenses, packing, pii, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op2_sharding": (sharding.op2_sharding, sharding.OP2_SQL),
     "op3_packing": (packing.op3_packing, None),
     "op7_simhash": (simhash.op7_simhash, None),
+    "op8_pii": (pii.op8_pii, None),
     "op10_licenses": (licenses.op10_licenses, None),
 }
 
