@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memjoin.llm import exact_dedup, licenses, packing, pii, sharding, simhash
+from memjoin.llm import decontaminate, exact_dedup, licenses, packing, pii, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op3_packing": (packing.op3_packing, None),
     "op7_simhash": (simhash.op7_simhash, None),
     "op8_pii": (pii.op8_pii, None),
+    "op9_decontaminate": (decontaminate.op9_decontaminate, None),
     "op10_licenses": (licenses.op10_licenses, None),
 }
 
