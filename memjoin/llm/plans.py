@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memjoin.llm import decontaminate, exact_dedup, licenses, packing, phrases, pii, sharding, simhash
+from memjoin.llm import decontaminate, exact_dedup, licenses, packing, phrases, pii, repeats, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op2_sharding": (sharding.op2_sharding, sharding.OP2_SQL),
     "op3_packing": (packing.op3_packing, None),
     "op5_repeated_phrases": (phrases.op5_repeated_phrases, None),
+    "op6_suffix_repeats": (repeats.op6_suffix_repeats, None),
     "op7_simhash": (simhash.op7_simhash, None),
     "op8_pii": (pii.op8_pii, None),
     "op9_decontaminate": (decontaminate.op9_decontaminate, None),
