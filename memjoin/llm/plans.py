@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memjoin.llm import decontaminate, exact_dedup, licenses, packing, phrases, pii, repeats, sharding, simhash
+from memjoin.llm import decontaminate, exact_dedup, licenses, packing, perplexity, phrases, pii, repeats, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.OP1_SQL),
     "op2_sharding": (sharding.op2_sharding, sharding.OP2_SQL),
     "op3_packing": (packing.op3_packing, None),
+    "op4_quality": (perplexity.op4_quality, None),
     "op5_repeated_phrases": (phrases.op5_repeated_phrases, None),
     "op6_suffix_repeats": (repeats.op6_suffix_repeats, None),
     "op7_simhash": (simhash.op7_simhash, None),
