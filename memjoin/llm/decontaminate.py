@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memjoin.llm.common import BYTE_BASE, OCTET, WORD_BASE, Rolling, documents, octets, text_rows, word_bounds
+from memjoin.llm.common import BYTE_BASE, LOC, OCTET, WORD_BASE, Rolling, documents, located, octets, text_rows, word_bounds
 from memjoin.llm.licenses import FOLD, SEPARATORS
 
 SEED_WORDS = 4
@@ -213,5 +213,13 @@ def contaminated(
     return out
 
 
+def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no test item."""
+    placed = located(docs)
+    place = F.concat_ws("#", F.col(LOC)["file"], F.col(LOC)["row"].cast("string"))
+    found = contaminated(placed.select("doc_id", "text", place.alias("loc")), bench).select(F.col("loc").alias("__hit")).distinct()
+    return placed.join(found, place == F.col("__hit"), "left_anti").drop(LOC)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

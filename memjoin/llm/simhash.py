@@ -15,17 +15,19 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from memjoin.llm.common import LOC, components, documents, located, text_rows, written
+from memjoin.llm.common import LOC, WORD_BASE, components, documents, located, mix, text_rows, written
 
 BITS, BLOCKS = 64, 4
 SEED = 42  # fixed by the contract
@@ -183,6 +185,115 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return prints.join(linked_components(prints, radius), "fp")
 
 
+# ---------------------------------------------------------------- near copies by verified similarity
+
+
+def word_prints(words: list[bytes], tables: int) -> list[int]:
+    """`tables` fingerprints of the words, each word weighed by its count, from independent mixes of its XXH64 hash."""
+    counted = Counter(words)
+    weights = np.fromiter(counted.values(), np.float32, len(counted))
+    hashes = np.fromiter((xxh64_intdigest(word, SEED) for word in counted), np.uint64, len(counted))
+    out = []
+    for table in range(1, tables + 1):
+        bits = np.unpackbits(mix(hashes + np.uint64(table) * WORD_BASE).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = weights @ bits.astype(np.float32)
+        out.append(int(np.packbits(2 * ones > len(words), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def table_prints(docs: DataFrame, tables: int) -> DataFrame:
+    """(rid, doc_id, file, row, prints) of every row, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            made = [word_prints(text.lower().split(), tables) for _, rows in text_rows(batch, "text") for text in rows]
+            ids = pa.array(np.arange(rid, rid + len(made)))
+            rid += len(made)
+            columns = [ids, *(batch.column(c) for c in ("doc_id", "file", "row")), pa.array(made, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "file", "row", "prints"])
+
+    placed = located(docs.select("doc_id", "text"))
+    rows = placed.select("doc_id", F.col(LOC)["file"].alias("file"), F.col(LOC)["row"].alias("row"), "text")
+    kind = placed.schema["doc_id"].dataType.simpleString()
+    return written(rows.mapInArrow(run, f"rid bigint, doc_id {kind}, file string, row bigint, prints array<bigint>"), "prints")
+
+
+def nearest_links(radius: int):
+    """Task function: rows (key, fp, rid) sorted by key -> (a, b), each row with its nearest and its nearest earlier neighbour."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "rid")] for batch in batches]
+        if not read:
+            return
+        keys, prints, rids = (np.concatenate(column) for column in zip(*read))
+        same = keys[1:] == keys[:-1]
+        crowd = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        order = np.lexsort((rids[crowd], prints[crowd], keys[crowd]))
+        keys, prints, rids = keys[crowd][order], prints[crowd][order], rids[crowd][order]
+        if not len(keys):
+            return
+        # Rows with one fingerprint hang on the first of them; the first ones are the nodes of the trees.
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1])])
+        a, b = [rids[~new]], [rids[np.flatnonzero(new)[np.cumsum(new) - 1][~new]]]
+        keys, values, rids = keys[new], prints[new].view(np.uint64), rids[new]
+        best = [np.full(len(rids), (BITS + 1) << 40, dtype=np.int64) for _ in range(2)]
+        for query, node in within(values, forest(keys, values), np.arange(len(rids)), radius):
+            apart = np.bitwise_count(values[query] ^ values[node]).astype(np.int64)
+            for pick, fits in enumerate((query != node, rids[node] < rids[query])):
+                np.minimum.at(best[pick], query[fits], (apart[fits] << 40) + node[fits])
+        for found in best:
+            has = np.flatnonzero(found < ((BITS + 1) << 40))
+            a.append(rids[has])
+            b.append(rids[found[has] & ((1 << 40) - 1)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
+def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(rid, shingles): the different hashes of the word shingles of each text of `rows`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for _, texts in text_rows(batch, "text"):
+                for text in texts:
+                    words = text.lower().split()
+                    shingles = map(b" ".join, zip(*[words[i:] for i in range(size)])) if len(words) >= size else iter([b" ".join(words)])
+                    sets.append(np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(sets, pa.list_(pa.int64()))], ["rid", "shingles"])
+
+    return rows.select("rid", "text").mapInArrow(run, "rid bigint, shingles array<bigint>")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 6, radius: int = 2) -> DataFrame:
+    """The rows of `docs`, all columns, one of each group of near copies: the smallest doc_id.
+
+    Fingerprints of single words bring near copies within `radius` bits more surely than those of shingles; `tables` of them
+    are searched with BK-trees, and every row is joined to its nearest neighbours. A link counts only if the sets of
+    `words`-word shingles of both whole texts have a Jaccard similarity of at least `similarity`. Texts without words stay.
+    """
+    placed = located(docs)
+    texts = placed.select("doc_id", "text", F.col(LOC)["file"].alias("file"), F.col(LOC)["row"].alias("row"))
+    prints = table_prints(placed.drop(LOC), tables)
+    each = prints.where(F.exists("prints", lambda p: p != 0)).select("rid", F.posexplode("prints").alias("table", "fp"))
+    keyed = each.select("rid", "fp", "table", F.explode(shard_keys(F.col("fp"), radius)).alias("k")).select(F.xxhash64("table", "k").alias("key"), "fp", "rid")
+    dealt = keyed.repartition(F.col("key")).sortWithinPartitions("key")
+    found = dealt.mapInArrow(nearest_links(radius), "a bigint, b bigint")
+    links = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).distinct()
+    wanted = prints.select("rid", "file", "row").join(ends, "rid")
+    sets = written(shingle_sets(texts.join(wanted, ["file", "row"]), words), "shingles")
+    both = links.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    groups = components(alike, "a", "b").join(prints.select(F.col("rid").alias("node"), "doc_id", "file", "row"), "node")
+    stays = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("stay"))
+    out = groups.join(stays, "root").where(F.col("stay.node") != F.col("node")).select(F.struct("file", "row").alias("__out"))
+    return placed.join(out, F.struct(F.col(LOC)["file"], F.col(LOC)["row"]) == F.col("__out"), "left_anti").drop(LOC)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
