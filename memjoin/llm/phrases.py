@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memjoin.llm.common import BYTE_BASE, OCTET, WORD_BASE, Rolling, documents, octets, text_rows, word_bounds, written
+from memjoin.llm.common import BYTE_BASE, LOC, OCTET, WORD_BASE, Rolling, documents, located, octets, text_rows, word_bounds, written
 from memjoin.llm.seeds import chosen, survey, with_recurring
 
 WINDOW, GRAM = 50, 16
@@ -139,6 +139,7 @@ def without(marked: DataFrame, window: int) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of `docs`."""
+    docs = located(docs.select("doc_id", "text")).drop(LOC)  # rows that are read twice keep their places
     surveyed = survey(docs, plain, lambda: Phrases(gram, window).seeds, window)
     leaders = surveyed.groupBy("sha").agg(F.min("doc_id").alias("leader"))
     all_rows = written(surveyed.drop("seeds").join(leaders, "sha"), "led")
@@ -151,6 +152,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     candidates = written(candidate_windows(with_recurring(docs, going, recurring), gram, window), "windows")
     rows = candidates.select("rid", "doc_id", F.arrays_zip("starts", "hashes").alias("w")).select("rid", "doc_id", F.inline("w"))
     first = rows.groupBy("hashes").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hashes", "low")
+    first = written(first, "first")  # a table of its own, so that a hot window's partition can be split in the join
     repeated = rows.join(first, "hashes").where("low < doc_id").groupBy("rid").agg(F.collect_list("starts").alias("at"))
     removed = without(candidates.select("rid", "words").join(repeated, "rid"), window)
     # The result of a text belongs to every row that has it as its first document.
