@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +36,31 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 LOC = "__loc"
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """`docs` with a struct `__loc` (file, row) naming each row's place; rows not read from files are written first."""
+def located(docs: DataFrame, name: str = LOC) -> DataFrame:
+    """`docs` with a struct `name` (file, row) of each row's place; rows not read from files are written first."""
     try:
-        return _placed(docs)
+        return _placed(docs, name)
     except AnalysisException:
-        return _placed(written(docs, "rows"))
+        return _placed(written(docs, "rows"), name)
 
 
-def _placed(docs: DataFrame) -> DataFrame:
+def _placed(docs: DataFrame, name: str) -> DataFrame:
     meta = docs.metadataColumn("_metadata")
-    placed = docs.withColumn(LOC, F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")))
+    placed = docs.withColumn(name, F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")))
     placed.schema  # resolves the column now
     return placed
 
 
+def drop_rows(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`docs`, all columns, without the rows whose place (file, row) `find` returns for them."""
+    name = LOC
+    while name in docs.columns:
+        name += "_"
+    placed = located(docs, name)
+    gone = find(placed.drop(name)).select(F.struct("file", "row").alias(f"{name}gone"))
+    return placed.join(gone, F.col(name) == F.col(f"{name}gone"), "left_anti").drop(name)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, every other character unchanged."""
     ascii_only = F.length(text) == F.octet_length(text)

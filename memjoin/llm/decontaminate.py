@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memjoin.llm.common import BYTE_BASE, LOC, OCTET, WORD_BASE, Rolling, documents, located, octets, text_rows, word_bounds
+from memjoin.llm.common import BYTE_BASE, OCTET, WORD_BASE, Rolling, documents, drop_rows, located, octets, text_rows, word_bounds
 from memjoin.llm.licenses import FOLD, SEPARATORS
 
 SEED_WORDS = 4
@@ -187,7 +187,7 @@ def aligned(docs: DataFrame, shared, threshold: float, kinds: tuple[str, str]) -
                     names.append("loc")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    place = ", loc string" if "loc" in docs.columns else ""
+    place = f", loc {docs.schema['loc'].dataType.simpleString()}" if "loc" in docs.columns else ""
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, first_word bigint, n_words bigint{place}"
     return docs.mapInArrow(run, schema)
 
@@ -215,10 +215,11 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that hold no test item."""
-    placed = located(docs)
-    place = F.concat_ws("#", F.col(LOC)["file"], F.col(LOC)["row"].cast("string"))
-    found = contaminated(placed.select("doc_id", "text", place.alias("loc")), bench).select(F.col("loc").alias("__hit")).distinct()
-    return placed.join(found, place == F.col("__hit"), "left_anti").drop(LOC)
+
+    def find(rows: DataFrame) -> DataFrame:
+        return contaminated(located(rows.select("doc_id", "text"), "loc"), bench).select("loc.*").distinct()
+
+    return drop_rows(docs, find)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

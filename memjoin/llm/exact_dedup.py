@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memjoin.llm.common import LOC, documents, located, lower_ascii, scratch_path
+from memjoin.llm.common import LOC, documents, drop_rows, located, lower_ascii, scratch_path
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -90,10 +90,7 @@ def decided(rows: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, without the copies."""
-    placed = located(docs)
-    places = [F.col(LOC)["file"], F.col(LOC)["row"]]
-    out = exact_groups(placed.drop(LOC)).where("not kept").select(F.struct("file", "row").alias("__copy"))
-    return placed.join(out, F.struct(*places) == F.col("__copy"), "left_anti").drop(LOC)
+    return drop_rows(docs, lambda rows: exact_groups(rows).where("not kept"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memjoin.llm.common import LOC, documents, located, text_rows, written
+from memjoin.llm.common import LOC, documents, drop_rows, located, text_rows, written
 
 ORDER = 5
 HELD_OUT = 5  # every fifth trusted document by its hash
@@ -222,9 +222,7 @@ def classified(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that the classifier keeps."""
-    placed = located(docs)
-    bad = classified(placed.drop(LOC), labels).where("not kept").select(F.struct("file", "row").alias("__bad"))
-    return placed.join(bad, F.struct(F.col(LOC)["file"], F.col(LOC)["row"]) == F.col("__bad"), "left_anti").drop(LOC)
+    return drop_rows(docs, lambda rows: classified(rows, labels).where("not kept"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from memjoin.llm.common import LOC, WORD_BASE, components, documents, located, mix, text_rows, written
+from memjoin.llm.common import LOC, WORD_BASE, components, documents, drop_rows, located, mix, text_rows, written
 
 BITS, BLOCKS = 64, 4
 SEED = 42  # fixed by the contract
@@ -267,15 +267,20 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("rid", "text").mapInArrow(run, "rid bigint, shingles array<bigint>")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 6, radius: int = 2) -> DataFrame:
-    """The rows of `docs`, all columns, one of each group of near copies: the smallest doc_id.
+def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of `docs`, all columns, one of each group of near copies: the smallest doc_id. Settings of `near_copies`."""
+    return drop_rows(docs, lambda rows: near_copies(rows, **settings))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 6, radius: int = 2) -> DataFrame:
+    """(file, row) of the near copies of a document with a smaller doc_id.
 
     Fingerprints of single words bring near copies within `radius` bits more surely than those of shingles; `tables` of them
     are searched with BK-trees, and every row is joined to its nearest neighbours. A link counts only if the sets of
     `words`-word shingles of both whole texts have a Jaccard similarity of at least `similarity`. Texts without words stay.
     """
-    placed = located(docs)
-    texts = placed.select("doc_id", "text", F.col(LOC)["file"].alias("file"), F.col(LOC)["row"].alias("row"))
+    placed = located(docs.select("doc_id", "text"))
+    texts = placed.select("text", F.col(LOC)["file"].alias("file"), F.col(LOC)["row"].alias("row"))
     prints = table_prints(placed.drop(LOC), tables)
     each = prints.where(F.exists("prints", lambda p: p != 0)).select("rid", F.posexplode("prints").alias("table", "fp"))
     keyed = each.select("rid", "fp", "table", F.explode(shard_keys(F.col("fp"), radius)).alias("k")).select(F.xxhash64("table", "k").alias("key"), "fp", "rid")
@@ -290,8 +295,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, t
     alike = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
     groups = components(alike, "a", "b").join(prints.select(F.col("rid").alias("node"), "doc_id", "file", "row"), "node")
     stays = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("stay"))
-    out = groups.join(stays, "root").where(F.col("stay.node") != F.col("node")).select(F.struct("file", "row").alias("__out"))
-    return placed.join(out, F.struct(F.col(LOC)["file"], F.col(LOC)["row"]) == F.col("__out"), "left_anti").drop(LOC)
+    return groups.join(stays, "root").where(F.col("stay.node") != F.col("node")).select("file", "row")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
