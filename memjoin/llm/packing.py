@@ -141,18 +141,17 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     for item in np.argsort(-lengths, kind="stable"):
         size = int(lengths[item])
         rest = capacity - size
-        if size < capacity and open_bins[size]:  # an exact fit lowers the sum most
-            gap = size
-        else:
-            gap, best = capacity, (2 * int(count[rest]) + 1 if rest else 0)
-            # Candidates from the smallest resulting gap: the change is 2 * (count after - count before + 1).
-            after, before = count[1 : capacity - size], count[size + 1 : capacity]
-            where = np.flatnonzero(before)
-            if len(where):
-                change = 2 * (after[where] - before[where] + 1)
-                pick = int(change.argmin())
-                if int(change[pick]) <= best:
-                    gap = int(where[pick]) + size + 1
+        # The change of the sum: a new bin, an exact fit, and the open bins from the smallest resulting gap.
+        gap, best = capacity, (2 * int(count[rest]) + 1 if rest else 0)
+        if size < capacity and open_bins[size] and 1 - 2 * int(count[size]) <= best:
+            gap, best = size, 1 - 2 * int(count[size])
+        after, before = count[1 : capacity - size], count[size + 1 : capacity]
+        where = np.flatnonzero(before)
+        if len(where):
+            change = 2 * (after[where] - before[where] + 1)
+            pick = int(change.argmin())
+            if int(change[pick]) < best or (int(change[pick]) == best and gap == capacity):
+                gap = int(where[pick]) + size + 1
         if gap == capacity:
             number = len(gaps)
             gaps.append(rest)
