@@ -27,6 +27,7 @@ from memjoin.llm.common import documents
 KINDS = ("email", "ip", "card", "phone")  # fixed order of the contract
 OUTSIDE = len(KINDS)
 LABELS = OUTSIDE + 1
+PHONE_KIND = KINDS.index("phone")
 TRAIN_DOCS = 3000
 CERTAIN = 0.95
 ROUNDS, DAMPING = 10, 0.5
@@ -229,7 +230,7 @@ def marginals(shape: np.ndarray, edges: np.ndarray, weights) -> np.ndarray:
 
 
 def added_spans(text: str, nodes: list[tuple[int, int, int]], p: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Certain tokens as spans (start, kind, end), joined where they stand side by side, unless a base span meets them."""
+    """Certain tokens as spans (start, kind, end), unless a base span meets them; the groups of a phone number are joined."""
     spans: list[list[int]] = []
     for (_, start, end), belief in zip(nodes, p):
         kind = int(belief.argmax())
@@ -240,7 +241,7 @@ def added_spans(text: str, nodes: list[tuple[int, int, int]], p: np.ndarray, bas
         end -= len(token) - len(token.rstrip(PUNCTUATION))
         if start >= end or any(s < end and start < e for s, _, e in base):
             continue
-        if spans and spans[-1][1] == kind and not text[spans[-1][2] : start].strip(" \t\n\x0b\x0c\r" + PUNCTUATION):
+        if kind == PHONE_KIND and spans and spans[-1][1] == kind and not text[spans[-1][2] : start].strip(" \t\n\x0b\x0c\r" + PUNCTUATION):
             spans[-1][2] = end
         else:
             spans.append([start, kind, end])
