@@ -142,6 +142,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     docs = located(docs.select("doc_id", "text")).drop(LOC)  # rows that are read twice keep their places
     surveyed = survey(docs, plain, lambda: Phrases(gram, window).seeds, window)
     leaders = surveyed.groupBy("sha").agg(F.min("doc_id").alias("leader"))
+    leaders = written(leaders, "leaders")  # a table of its own, so that the partition of a frequent text can be split in the join
     all_rows = written(surveyed.drop("seeds").join(leaders, "sha"), "led")
     copy = F.col("doc_id") > F.col("leader")
     # Only the first of word-for-word equal documents goes on; rows that repeat it are equal rows.

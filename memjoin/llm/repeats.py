@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memjoin.llm.common import BYTE_BASE, OCTET, Rolling, documents, mix, octets, sliding, text_rows, written
+from memjoin.llm.common import BYTE_BASE, LOC, OCTET, Rolling, documents, located, mix, octets, sliding, text_rows, written
 from memjoin.llm.seeds import NEVER, chosen, survey, with_recurring
 
 WINDOW, GRAM = 200, 64
@@ -256,8 +256,10 @@ def cut_out(marked: DataFrame) -> DataFrame:
 
 def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of `docs`."""
+    docs = located(docs.select("doc_id", "text")).drop(LOC)  # rows that are read twice keep their places
     surveyed = survey(docs, whole, lambda: Grams(gram, window).seeds, window)
     leaders = surveyed.groupBy("sha").agg(F.min("rid").alias("leader"), F.count("*").alias("copies"))
+    leaders = written(leaders, "leaders")  # a table of its own, so that the partition of a frequent text can be split in the join
     all_rows = written(surveyed.drop("seeds").join(leaders, "sha"), "led")
     going = surveyed.join(all_rows.where("rid = leader").select("rid"), "rid", "left_semi")
     counted = going.select("rid", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.min("rid").alias("origin"), F.count("*").alias("n")).where("n > 1")
