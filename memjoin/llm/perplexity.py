@@ -70,22 +70,24 @@ def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
 
 def model_terms(counts: DataFrame, order: int) -> DataFrame:
     """(n, kind, key, value): for each order n the terms of n-grams (kind 0) and the weights of contexts (kind 1)."""
-    below = {order: counts}
+    levels = {order: counts.select("key", "c")}
     for n in range(order - 1, 0, -1):
         suffix = F.col("key").bitwiseAND(F.lit((1 << (8 * n)) - 1).cast("bigint"))
-        below[n] = below[n + 1].select(suffix.alias("key")).groupBy("key").agg(F.count("*").alias("c"))
-    out = None
-    for n, table in below.items():
-        table = table.withColumn("context", F.shiftright("key", 8))
-        seen = [F.coalesce(F.sum((F.col("c") == k).cast("bigint")), F.lit(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-        drops = discounts(*table.agg(*seen).first())
-        off = F.when(F.col("c") == 1, drops[0]).when(F.col("c") == 2, drops[1]).otherwise(drops[2])
-        contexts = table.groupBy("context").agg(F.sum("c").alias("total"), F.sum(off).alias("off"))
-        terms = table.join(contexts.drop("off"), "context").select(F.lit(n).alias("n"), F.lit(0).alias("kind"), "key", ((F.col("c") - off) / F.col("total")).alias("value"))
-        rests = contexts.select(F.lit(n).alias("n"), F.lit(1).alias("kind"), F.col("context").alias("key"), (F.col("off") / F.col("total")).alias("value"))
-        terms = terms.unionByName(rests)
-        out = terms if out is None else out.unionByName(terms)
-    return out
+        levels[n] = written(levels[n + 1].groupBy(suffix.alias("key")).agg(F.count("*").alias("c")), f"order-{n}")
+    table = None
+    for n, level in levels.items():
+        level = level.select(F.lit(n).alias("n"), "key", F.shiftright("key", 8).alias("context"), "c")
+        table = level if table is None else table.unionByName(level)
+    seen = [F.sum((F.col("c") == k).cast("bigint")).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    off = F.lit(0.0)
+    for row in table.groupBy("n").agg(*seen).collect():  # one row for each order
+        one, two, more = discounts(*(row[f"n{k}"] for k in (1, 2, 3, 4)))
+        here = F.when(F.col("c") == 1, one).when(F.col("c") == 2, two).otherwise(more)
+        off = F.when(F.col("n") == row["n"], here).otherwise(off)
+    table = table.withColumn("off", off)
+    contexts = table.groupBy("n", "context").agg(F.sum("c").alias("total"), F.sum("off").alias("rest"))
+    terms = table.join(contexts, ["n", "context"]).select("n", F.lit(0).alias("kind"), "key", ((F.col("c") - F.col("off")) / F.col("total")).alias("value"))
+    return terms.unionByName(contexts.select("n", F.lit(1).alias("kind"), F.col("context").alias("key"), (F.col("rest") / F.col("total")).alias("value")))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -103,6 +105,18 @@ class Model:
     def __init__(self, order: int, terms: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]):
         self.order, self.terms = order, terms
 
+    @classmethod
+    def of(cls, order: int, table: pa.Table) -> Model:
+        """From rows (n, kind, key, value) in any order."""
+        n, kind, key, value = (table.column(c).to_numpy() for c in ("n", "kind", "key", "value"))
+        terms = {}
+        for level in range(1, order + 1):
+            for sort in (0, 1):
+                at = np.flatnonzero((n == level) & (kind == sort))
+                at = at[np.argsort(key[at], kind="stable")]
+                terms[level, sort] = (key[at], value[at])
+        return cls(order, terms)
+
     def look(self, n: int, kind: int, keys: np.ndarray, missing: float) -> np.ndarray:
         known, values = self.terms.get((n, kind), (np.zeros(0, np.int64), np.zeros(0)))
         if not len(known):
@@ -191,9 +205,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, shard_t
     out = None
     for shard in range(shards):
         # Orders up to two have at most 2**16 n-grams and are in every shard.
-        mine = terms.where((F.col("n") <= 2) | (shard_of(context, shards) == shard)).orderBy("n", "kind", "key").toPandas()
-        parts = {at: (part["key"].to_numpy(), part["value"].to_numpy()) for at, part in mine.groupby(["n", "kind"])}
-        found = scored(rows, spark.sparkContext.broadcast((Model(order, parts), owners == shard)), kind)
+        mine = terms.where((F.col("n") <= 2) | (shard_of(context, shards) == shard)).toArrow()
+        found = scored(rows, spark.sparkContext.broadcast((Model.of(order, mine), owners == shard)), kind)
         out = found if out is None else out.unionByName(found)
     if shards > 1:
         out = out.groupBy("doc_id", "lang", "file", "row").agg(F.sum("n").alias("n"), F.sum("log_p").alias("log_p"))

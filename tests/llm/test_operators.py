@@ -151,8 +151,7 @@ def test_model_is_a_distribution(spark, languages):
         padded = b"\n\n" + text.encode()
         total.update(int.from_bytes(padded[i - 2 : i + 1], "big") for i in range(2, len(padded)))
     assert {r.key: r.c for r in counts.collect()} == total
-    frame = perplexity.model_terms(counts, 3).orderBy("n", "kind", "key").toPandas()
-    model = perplexity.Model(3, {at: (p["key"].to_numpy(), p["value"].to_numpy()) for at, p in frame.groupby(["n", "kind"])})
+    model = perplexity.Model.of(3, perplexity.model_terms(counts, 3).toArrow())
     for context in (b"th", b"e ", b"\n\n", b"zz"):
         keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], dtype=np.uint64)
         assert np.exp(model.log_p(keys)).sum() == pytest.approx(1.0)
