@@ -31,6 +31,7 @@ from memjoin.llm.common import LOC, WORD_BASE, components, documents, drop_rows,
 
 BITS, BLOCKS = 64, 4
 SEED = 42  # fixed by the contract
+SKETCH, MARGIN, FAR = 256, 0.12, 7
 VISITS = 1 << 21  # (query, node) pairs held at a time
 
 
@@ -252,7 +253,7 @@ def nearest_links(radius: int):
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
-    """(rid, shingles): the different hashes of the word shingles of each text of `rows`."""
+    """(rid, sketch, shingles): the different 32-bit hashes of the word shingles of each text, and the smallest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,10 +262,41 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
                 for text in texts:
                     words = text.lower().split()
                     shingles = map(b" ".join, zip(*[words[i:] for i in range(size)])) if len(words) >= size else iter([b" ".join(words)])
-                    sets.append(np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(sets, pa.list_(pa.int64()))], ["rid", "shingles"])
+                    hashes = np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+                    sets.append(np.unique((hashes >> np.uint64(33)).astype(np.int32)))
+            columns = [batch.column("rid"), pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "sketch", "shingles"])
 
-    return rows.select("rid", "text").mapInArrow(run, "rid bigint, shingles array<bigint>")
+    return rows.select("rid", "text").mapInArrow(run, "rid bigint, sketch array<int>, shingles array<int>")
+
+
+def ended(links: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """`links` with `column` of `rows` at both ends, as x and y."""
+    first = rows.select(F.col("rid").alias("a"), F.col(column).alias("x"))
+    second = rows.select(F.col("rid").alias("b"), F.col(column).alias("y"))
+    return links.join(first, "a").join(second, "b")
+
+
+def alike(links: DataFrame, prints: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links whose whole texts have a Jaccard similarity of word shingles of at least `similarity`.
+
+    What travels grows from step to step while the links get fewer: the fingerprints, which are some bits apart on average
+    (`FAR`); sketches of the smallest hashes, exact for short texts; the whole sets for what is left of the long ones.
+    """
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
+    near = ended(links, prints, "prints").where(apart <= FAR * F.size("x")).select("a", "b")
+    near = written(near, "near")
+    ends = near.select(F.col("a").alias("rid")).unionByName(near.select(F.col("b").alias("rid"))).distinct()
+    wanted = prints.select("rid", "file", "row").join(ends, "rid")
+    sets = written(shingle_sets(texts.join(wanted, ["file", "row"]), words), "shingles")
+    shared = F.size(F.array_intersect("x", "y"))
+    exact = shared >= similarity * (F.size("x") + F.size("y") - shared)
+    lowest = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
+    likely = F.size(F.array_intersect(lowest, F.array_intersect("x", "y"))) >= (similarity - MARGIN) * F.size(lowest)
+    short = (F.size("x") < SKETCH) & (F.size("y") < SKETCH)
+    sketched = written(ended(near, sets, "sketch").select("a", "b", short.alias("short"), F.when(short, exact).otherwise(likely).alias("good")).where("good"), "sketched")
+    rest = ended(sketched.where("not short").select("a", "b"), sets, "shingles").where(exact)
+    return sketched.where("short").select("a", "b").unionByName(rest.select("a", "b"))
 
 
 def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
@@ -287,13 +319,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     dealt = keyed.repartition(F.col("key")).sortWithinPartitions("key")
     found = dealt.mapInArrow(nearest_links(radius), "a bigint, b bigint")
     links = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).distinct()
-    wanted = prints.select("rid", "file", "row").join(ends, "rid")
-    sets = written(shingle_sets(texts.join(wanted, ["file", "row"]), words), "shingles")
-    both = links.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    groups = components(alike, "a", "b").join(prints.select(F.col("rid").alias("node"), "doc_id", "file", "row"), "node")
+    good = alike(links, prints, texts, words, similarity)
+    groups = components(good, "a", "b").join(prints.select(F.col("rid").alias("node"), "doc_id", "file", "row"), "node")
     stays = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("stay"))
     return groups.join(stays, "root").where(F.col("stay.node") != F.col("node")).select("file", "row")
 
