@@ -14,8 +14,8 @@ def token_rows(df: DataFrame, key: str, text: str = "text", token: str = "tok")
     return df.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias(token))
 
 
-def token_postings(memories: DataFrame, max_postings: int, vocabulary: DataFrame | None = None, id_col: str = "id") -> DataFrame:
-    """(tok, id, pos), the first `max_postings` memories of every token in id order.
+def token_postings(memories: DataFrame, max_postings: int | None = None, vocabulary: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """(tok, id), every memory of every token; with `max_postings` also `pos`, and only the first memories in id order.
 
     `vocabulary` (tok) keeps only tokens some query asks for; a token's list does not depend on other tokens, so
     this only drops rows nobody reads. The cap is cut per task before the shuffle.
@@ -23,12 +23,14 @@ def token_postings(memories: DataFrame, max_postings: int, vocabulary: DataFrame
     rows = token_rows(memories, id_col)
     if vocabulary is not None:
         rows = rows.join(vocabulary, "tok", "left_semi")
+    if max_postings is None:
+        return rows
     order = Window.partitionBy("tok").orderBy(id_col)
     return rows.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= max_postings)
 
 
-def idf_token_scores(memories: DataFrame, queries: DataFrame, max_postings: int, limit: int) -> DataFrame:
-    """(q, id, score, rank): sum of ln(1 + N / df) over shared distinct tokens, df after the postings cap."""
+def idf_token_scores(memories: DataFrame, queries: DataFrame, max_postings: int | None, limit: int) -> DataFrame:
+    """(q, id, score, rank): sum of ln(1 + N / df) over shared distinct tokens; df over all postings, or over the capped ones."""
     asked = token_rows(queries, "q")
     postings = token_postings(memories, max_postings, asked.select("tok").distinct())
     total = memories.agg(F.count(F.lit(1))).scalar()

@@ -90,13 +90,13 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_topk(q_ids, q_matrix, ids, matrix, k):
-    """Best k of one memory block for every query, ids ascending inside equal scores."""
+    """Best k of one memory block for every query, ids ascending inside equal scores; compared rounded, returned unrounded."""
     order = np.argsort(ids, kind="stable")
     ids, matrix = ids[order], matrix[order]
     picked = []
     for start in range(0, len(q_ids), 512):
-        scores = np.round(q_matrix[start : start + 512] @ matrix.T, SCORE_PLACES)
-        row, column = _best(scores, k)
+        scores = q_matrix[start : start + 512] @ matrix.T
+        row, column = _best(np.round(scores, SCORE_PLACES), k)
         picked.append((q_ids[start + row], ids[column], scores[row, column]))
     return tuple(np.concatenate(part) for part in zip(*picked))
 

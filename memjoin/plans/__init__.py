@@ -5,8 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "lexical", "scalars", "vectors", "merging", "metadata", "graphs", "fields", "packing", "metrics", "rollups", "hashed",
-    "basins", "grids", "routing", "ingest", "cards", "augment", "features", "exports", "feedback", "learned",
+    "lexical", "scalars", "vectors", "metadata", "graphs", "fields", "packing", "metrics", "rollups", "hashed", "basins", "ingest",
+    "augment", "features", "feedback", "learned",
 )
 
 
@@ -14,9 +14,5 @@ def load_all():
     from memjoin.plans.registry import REGISTRY
 
     for name in MODULES:
-        try:
-            importlib.import_module(f"memjoin.plans.{name}")
-        except ModuleNotFoundError as missing:
-            if missing.name != f"memjoin.plans.{name}":
-                raise
+        importlib.import_module(f"memjoin.plans.{name}")
     return REGISTRY

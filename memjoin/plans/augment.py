@@ -338,24 +338,34 @@ def p13(spark, sf_dir):
     return out.select("q", F.col("p").cast("bigint").alias("p"), F.col("o").cast("bigint").alias("o"), F.md5("anchor").alias("anchor"), F.md5("positive").alias("positive"), F.md5("negative").alias("negative"))
 
 
-# Export items: benchmark passages as queries, documents as evidence, hard and background items by id.
+# Export items: benchmark passages as queries, every document as evidence, hard or background item under an id of its own.
+# Of five documents one is evidence, two are hard and two are background; numbers inside ids go round the queries. Splits are
+# shares: the first 40 % of the queries and their items train, 50 to 90 % are held out; 60 % and 30 % of the background.
 def export_items(spark, sf_dir):
-    mem = tables.memories(spark, sf_dir)
     n = F.col("id")
-    kind = F.when(n % 5 == 0, F.concat(F.lit("evidence::"), (n / 5).cast("bigint").cast("string"))).when(n % 5 < 3, F.concat(F.lit("hard::"), (n % 40).cast("string"), F.lit("::"), (n % 12).cast("string"))).otherwise(
-        F.concat(F.lit("background::"), n.cast("string"))
-    )
-    first = F.row_number().over(Window.partitionBy("item_id").orderBy("id"))
-    items = mem.select("id", kind.alias("item_id"), "text", "last_outcome").withColumn("k", first).where(F.col("k") == 1).drop("k")
-    asked = tables.queries(spark, sf_dir).select(F.col("q").alias("id"), F.concat(F.lit("query::"), F.col("q").cast("string")).alias("item_id"), "text", F.lit("helpful").alias("last_outcome"))
-    both = asked.unionByName(items)
-    return both.select("*", X.item_kind(F.col("item_id")).alias("kind"), X.item_split(F.col("item_id"), 15, 20, 15, 300, 200).alias("split"))
+    asked = tables.queries(spark, sf_dir)
+    count, last = asked.count(), tables.card_texts(spark, sf_dir).agg(F.max("id")).first()[0] or 0
+    around = max(1, count)
+    fifth = F.floor(n / 5).cast("bigint")
+    place = fifth * 2 + n % 5 - 1
+
+    def named(kind, number):
+        return F.concat(F.lit(f"{kind}::"), (number % around).cast("string"), F.lit("::"), F.floor(number / around).cast("string"))
+
+    name = F.when(n % 5 == 0, named("evidence", fifth)).when(n % 5 < 3, named("hard", place)).otherwise(F.concat(F.lit("background::"), n.cast("string")))
+    items = tables.memories(spark, sf_dir).select("id", name.alias("item_id"), "text", "last_outcome")
+    asked = asked.select(F.col("q").alias("id"), F.concat(F.lit("query::"), F.col("q").cast("string")).alias("item_id"), "text", F.lit("helpful").alias("last_outcome"))
+    bounds = (count * 4 // 10, count * 5 // 10, count * 4 // 10, (last + 1) * 6 // 10, (last + 1) * 3 // 10)
+    return asked.unionByName(items).select("*", X.item_kind(F.col("item_id")).alias("kind"), X.item_split(F.col("item_id"), *bounds).alias("split"))
 
 
-ITEMS = """it AS (SELECT * FROM (SELECT id, text, last_outcome, item_id, row_number() OVER (PARTITION BY item_id ORDER BY id) AS k FROM (SELECT *, CASE WHEN id % 5 = 0 THEN 'evidence::' || (id // 5) WHEN id % 5 < 3 THEN 'hard::' || (id % 40) || '::' || (id % 12) ELSE 'background::' || id END AS item_id FROM mem)) WHERE k = 1),
+ITEMS = """bnd AS (SELECT (SELECT count(*) FROM benchmark) AS c, (SELECT max(doc_id) + 1 FROM documents) AS l),
+it AS (SELECT id, text, last_outcome, CASE WHEN id % 5 = 0 THEN 'evidence::' || ((id // 5) % c) || '::' || ((id // 5) // c) WHEN id % 5 < 3 THEN 'hard::' || (((id // 5) * 2 + id % 5 - 1) % c) || '::' || (((id // 5) * 2 + id % 5 - 1) // c)
+  ELSE 'background::' || id END AS item_id FROM mem, bnd),
 ei AS (SELECT q AS id, 'query::' || q AS item_id, text, 'helpful' AS last_outcome, 'query' AS kind, q AS ix FROM qry UNION ALL SELECT id, item_id, text, last_outcome, CASE WHEN item_id LIKE 'evidence%' THEN 'evidence' WHEN item_id LIKE 'hard%' THEN 'hard_negative' ELSE 'background' END,
   split_part(item_id, '::', 2)::BIGINT FROM it),
-es AS (SELECT *, CASE WHEN kind = 'background' THEN CASE WHEN ix < 300 THEN 'train' WHEN ix < 500 THEN 'holdout' ELSE 'unused' END ELSE CASE WHEN ix < 15 THEN 'train' WHEN ix >= 20 AND ix < 35 THEN 'holdout' ELSE 'unused' END END AS split FROM ei)"""
+es AS (SELECT ei.*, CASE WHEN kind = 'background' THEN CASE WHEN ix < l * 6 // 10 THEN 'train' WHEN ix < l * 6 // 10 + l * 3 // 10 THEN 'holdout' ELSE 'unused' END
+  ELSE CASE WHEN ix < c * 4 // 10 THEN 'train' WHEN ix >= c * 5 // 10 AND ix < c * 5 // 10 + c * 4 // 10 THEN 'holdout' ELSE 'unused' END END AS split FROM ei, bnd)"""
 
 
 def cached_fields(items):
@@ -376,7 +386,7 @@ def p10(spark, sf_dir):
 
 PAIRS = ITEMS + """,
 rp AS (SELECT e.split, 'query::' || e.id AS query_id, e.id AS qx, m.item_id AS candidate_id, true AS ev FROM es e JOIN rel r ON r.q = e.id JOIN it m ON m.id = r.id WHERE e.kind = 'query' AND e.split <> 'unused'
-  UNION ALL SELECT e.split, 'query::' || e.id, e.id, m.item_id, false FROM es e JOIN it m ON m.item_id LIKE 'hard::' || e.ix || '::%' WHERE e.kind = 'query' AND e.split <> 'unused')"""
+  UNION ALL SELECT e.split, 'query::' || e.id, e.id, m.item_id, false FROM es e JOIN it m ON m.item_id LIKE 'hard::' || e.ix || '::%' AND coalesce(TRY_CAST(split_part(m.item_id, '::', 3) AS BIGINT), 99) < 12 WHERE e.kind = 'query' AND e.split <> 'unused')"""
 
 
 def pair_rows(spark, sf_dir):

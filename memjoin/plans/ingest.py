@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from memjoin.functions.text import tokens
 from memjoin.operators import cards as C
 from memjoin.operators import exports as X
+from memjoin.operators import fields as P
 from memjoin.plans import sqltext as S
 from memjoin.plans.registry import query
-from memjoin.session import scratch_dir
+from memjoin.session import cut_lineage, scratch_dir
 from memjoin.sources import caches, jsonl, tables
 
 
@@ -37,10 +38,45 @@ def s1(spark, sf_dir):
     return jsonl.scan(spark, path, TURN_SCHEMA).select("uid", "turn", "role", "text")
 
 
-@query("s4_jsonl_sink", """SELECT '{"role":"' || role || '","turn":' || turn || ',"uid":' || conv_id || '}' AS line FROM conversations""")
+def ordered_files(rows, path, *order):
+    """`rows` as JSON lines in several files of different size whose path order is `order`."""
+    jsonl.write(rows.repartitionByRange(6, *order).sortWithinPartitions(*order), path)
+
+
+@query("s1_jsonl_limit", "SELECT conv_id AS uid, turn, role, text FROM conversations ORDER BY conv_id * conv_id % 97, conv_id, turn LIMIT 150")
+def s1_limit(spark, sf_dir):
+    """The first records, in file order, of files that Spark would read largest first."""
+    path = scratch(spark, "scan")
+    rows = turn_lines(spark, sf_dir).withColumn("k", F.col("uid") * F.col("uid") % 97)
+    ordered_files(rows, path, "k", "uid", "turn")
+    return jsonl.scan(spark, path, f"{TURN_SCHEMA}, k bigint", limit=150).select("uid", "turn", "role", "text")
+
+
+@query("s3_slice", "SELECT doc_id, n - 1 AS pos FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS n FROM documents) WHERE n > 40 AND n <= 140 AND doc_id % 9 <> 2")
+def s3_slice(spark, sf_dir):
+    """Lines 40 to 139 of several files; broken lines keep their number and are left out."""
+    n = F.col("doc_id").cast("string")
+    line = F.when(F.col("doc_id") % 9 == 2, F.concat(F.lit('{"doc_id":'), n)).otherwise(F.concat(F.lit('{"doc_id":'), n, F.lit("}")))
+    path = scratch(spark, "slice")
+    rows = tables.table(spark, sf_dir, "documents").select("doc_id", "n_chars", line.alias("value"))
+    rows.repartitionByRange(5, "n_chars", "doc_id").sortWithinPartitions("n_chars", "doc_id").select("value").write.text(path)
+    kept = jsonl.require_kept(jsonl.sanitized(jsonl.scan_text_lines(spark, path), "doc_id bigint", offset=40, limit=100))
+    return kept.select("record.doc_id", "pos")
+
+
+@query("s10_split_over_files", "SELECT uid, turn, CASE WHEN n <= floor((SELECT count(*) FROM conversations) * 0.8) THEN 'train' ELSE 'eval' END AS split FROM (SELECT conv_id AS uid, turn, row_number() OVER (ORDER BY turn DESC, conv_id) AS n FROM conversations)")
+def s10_files(spark, sf_dir):
+    path = scratch(spark, "split")
+    rows = turn_lines(spark, sf_dir).select("uid", "turn", (-F.col("turn")).alias("k"))
+    ordered_files(rows, path, "k", "uid")
+    placed = jsonl.file_numbered(jsonl.scan(spark, path, "uid bigint, turn bigint, k bigint"))
+    return jsonl.ordered_split(placed, 0.8).select("uid", "turn", "split")
+
+
+@query("s4_jsonl_sink", """SELECT '{"role":"' || role || '","text":' || to_json(text) || ',"turn":' || turn || ',"uid":' || conv_id || '}' AS line FROM conversations""")
 def s4(spark, sf_dir):
     path = scratch(spark, "sink")
-    jsonl.write(turn_lines(spark, sf_dir).drop("text"), path)
+    jsonl.write(turn_lines(spark, sf_dir), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
@@ -98,18 +134,24 @@ def s3_counts(spark, sf_dir):
 
 @query(
     "s6_audit_append",
-    "SELECT conv_id || '_' || turn AS item_id, 1 + (turn % 2)::BIGINT AS prediction_count, role AS first_value FROM conversations",
+    """WITH x AS (SELECT conv_id || '_' || turn AS item_id, turn, role, turn % 2 AS odd, conv_id FROM conversations)
+    SELECT item_id, row_number() OVER (PARTITION BY odd ORDER BY conv_id, turn) - 1 AS index, 1 + odd::BIGINT AS prediction_count, role AS first_value,
+      sha256('{"cache_key_mode":"stable-text-v1","prompt_version":"field-classifier-v1","text":"' || item_id || ' ' || role || '"}') AS cache_key FROM x""",
 )
 def s6(spark, sf_dir):
-    """Audit rows appended in two runs, the even turns and then the odd ones."""
+    """Audit rows appended in two runs, the even turns and then the odd ones, each row with its place in the run and its cache key."""
     path = scratch(spark, "audit")
     one = F.struct(F.lit("speaker").alias("field_name"), F.col("role").alias("value"), F.lit(0.9).alias("confidence"))
     for odd in (0, 1):
-        rows = turn_lines(spark, sf_dir).where(F.col("turn") % 2 == odd)
+        run = cut_lineage(turn_lines(spark, sf_dir).where(F.col("turn") % 2 == odd).orderBy("uid", "turn"))
         listed = F.array_repeat(one, odd + 1)
-        rows.select(F.concat_ws("_", "uid", "turn").alias("item_id"), F.size(listed).cast("bigint").alias("prediction_count"), listed.alias("predictions")).write.mode("append").json(path)
-    back = spark.read.schema("item_id string, prediction_count bigint, predictions array<struct<field_name:string,value:string,confidence:double>>").json(path)
-    return back.select("item_id", "prediction_count", F.get("predictions", F.lit(0))["value"].alias("first_value"))
+        rows = jsonl.numbered(run).select(
+            F.concat_ws("_", "uid", "turn").alias("item_id"), F.col("pos").alias("index"), P.stable_key(F.concat_ws(" ", F.concat_ws("_", "uid", "turn"), "role")).alias("cache_key"),
+            F.size(listed).cast("bigint").alias("prediction_count"), listed.alias("predictions"),
+        )
+        rows.write.mode("append").json(path)
+    back = spark.read.schema("item_id string, index bigint, cache_key string, prediction_count bigint, predictions array<struct<field_name:string,value:string,confidence:double>>").json(path)
+    return back.select("item_id", "index", "cache_key", "prediction_count", F.get("predictions", F.lit(0))["value"].alias("first_value"))
 
 
 @query(
@@ -147,15 +189,14 @@ def s8(spark, sf_dir):
 
 @query("s10_ordered_split", "SELECT split, count(*) AS n, min(item_id) AS first, max(item_id) AS last FROM (SELECT item_id, CASE WHEN item_id < floor((SELECT count(*) FROM benchmark) * 0.7) THEN 'train' ELSE 'eval' END AS split FROM benchmark) GROUP BY split")
 def s10(spark, sf_dir):
-    rows = jsonl.ordered_split(jsonl.numbered(tables.table(spark, sf_dir, "benchmark")), 0.7)
+    rows = jsonl.ordered_split(jsonl.file_numbered(tables.table(spark, sf_dir, "benchmark")), 0.7)
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first"), F.max("item_id").alias("last"))
 
 
 @query("s11_float_mapping_scan", "SELECT event_id, 'k' AS field, (props::JSON->>'k')::DOUBLE AS value FROM events")
 def s11(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"fields":'), "props", F.lit("}"))).otherwise(F.col("props")).alias("value"))
-    wrapped = F.coalesce(F.get_json_object("value", "$.fields"), F.col("value"))
-    return rows.select("event_id", F.explode(F.from_json(wrapped, "map<string,double>")).alias("field", "value"))
+    return jsonl.float_mapping(rows, keep=("event_id",))
 
 
 @query(

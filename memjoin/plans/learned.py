@@ -144,7 +144,7 @@ def x3(spark, sf_dir):
     from memjoin.operators.hooks import SCORERS, register_scorer
     from memjoin.operators.lexical import idf_token_scores
 
-    register_scorer("token_idf", lambda qry, mem: idf_token_scores(mem, qry, W.MAX_POSTINGS, W.FETCH))
+    register_scorer("token_idf", lambda qry, mem: idf_token_scores(mem, qry, None, W.FETCH))
     out = SCORERS["token_idf"](tables.queries(spark, sf_dir).select("q", "text"), tables.memories(spark, sf_dir).select("id", "text"))
     return out.select("q", "id", F.col("rank").cast("bigint").alias("rank"))
 

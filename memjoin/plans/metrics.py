@@ -304,10 +304,10 @@ def a22(spark, sf_dir):
     """The ranking computed twice, the second time from shuffled input in other partitions."""
     from memjoin.operators.lexical import idf_token_scores
 
-    mem, qry = tables.memories(spark, sf_dir).select("id", "text"), tables.queries(spark, sf_dir).select("q", "text")
-    one = M.signature(idf_token_scores(mem, qry, W.MAX_POSTINGS, W.FETCH), 6)
+    mem, qry = tables.card_texts(spark, sf_dir), tables.queries(spark, sf_dir).select("q", "text")
+    one = M.signature(idf_token_scores(mem, qry, None, W.FETCH), 6)
     shuffled = mem.repartition(13, F.xxhash64("id", F.lit(7)))
-    two = M.signature(idf_token_scores(shuffled, qry.repartition(5), W.MAX_POSTINGS, W.FETCH), 6)
+    two = M.signature(idf_token_scores(shuffled, qry.repartition(5), None, W.FETCH), 6)
     return one.join(two.withColumnRenamed("signature", "again"), "q").select("q", "signature", (F.col("signature") != F.col("again")).alias("differs"))
 
 

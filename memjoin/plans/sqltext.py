@@ -17,7 +17,7 @@ QRY = """qry AS (
 REL = "rel AS (SELECT b.item_id AS q, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 TURNS = """turns AS (
-  SELECT conv_id AS uid, turn AS pos, conv_id || '_t' || lpad(turn::VARCHAR, 4, '0') AS id, (turn // 3)::BIGINT AS session, role AS speaker, text
+  SELECT conv_id AS uid, turn AS pos, conv_id || '_t' || lpad(turn::VARCHAR, greatest(4, length(turn::VARCHAR))::INT, '0') AS id, (turn // 3)::BIGINT AS session, role AS speaker, text
   FROM conversations)"""
 
 FEEDBACK = """fb AS (
@@ -65,11 +65,12 @@ def ranked(source: str, by: str = "q", tie: str = "id", score: str = "score") ->
     return f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY round({score}, 9) DESC, {tie}) AS rank FROM {source}"
 
 
-def lexical(cap: int = 512, limit: int = 32) -> str:
+def lexical(cap: int | None = None, limit: int = 32) -> str:
     """CTEs `dtok`, `qtok`, `post`, `idf`, `lex` (q, id, score, rank); needs mem and qry."""
+    kept = "dtok" if cap is None else f"(SELECT * FROM (SELECT tok, id, row_number() OVER (PARTITION BY tok ORDER BY id) AS pos FROM dtok) WHERE pos <= {cap})"
     return f"""dtok AS (SELECT id, unnest(list_distinct({toks('text')})) AS tok FROM mem),
 qtok AS (SELECT q, unnest(list_distinct({toks('text')})) AS tok FROM qry),
-post AS (SELECT * FROM (SELECT tok, id, row_number() OVER (PARTITION BY tok ORDER BY id) AS pos FROM dtok) WHERE pos <= {cap}),
+post AS (SELECT * FROM {kept}),
 idf AS (SELECT tok, ln(1.0 + (SELECT count(*) FROM mem) / count(*)::DOUBLE) AS idf FROM post GROUP BY tok),
 lex_s AS (SELECT q, id, sum(idf) AS score FROM qtok JOIN idf USING (tok) JOIN post USING (tok) GROUP BY q, id),
 lex AS (SELECT * FROM ({ranked('lex_s')}) WHERE rank <= {limit})"""

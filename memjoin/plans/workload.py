@@ -13,7 +13,7 @@ from memjoin.operators.vector import exact_vector_topk
 from memjoin.plans import sqltext as S
 from memjoin.sources import tables
 
-MAX_POSTINGS = 512
+POSTINGS_CAP = 512  # of the capped queries only; the original defaults to 4096, which the small tables never reach
 FETCH = 32
 TOP_K = 8
 BUDGET = 900
@@ -29,13 +29,11 @@ def masked(df: DataFrame, key: str, text: str = "text", name: str = "mask") -> D
 
 
 def lexical_ranked(spark: SparkSession, sf_dir: str, limit: int = FETCH) -> DataFrame:
-    mem, qry = tables.memories(spark, sf_dir), tables.queries(spark, sf_dir)
-    return idf_token_scores(mem.select("id", "text"), qry.select("q", "text"), MAX_POSTINGS, limit)
+    return idf_token_scores(tables.card_texts(spark, sf_dir), tables.queries(spark, sf_dir).select("q", "text"), None, limit)
 
 
 def vector_ranked(spark: SparkSession, sf_dir: str, limit: int = FETCH) -> DataFrame:
-    mem, qry = tables.memories(spark, sf_dir), tables.queries(spark, sf_dir)
-    return exact_vector_topk(embedded(mem, "id"), embedded(qry, "q"), limit, DIMS)
+    return exact_vector_topk(embedded(tables.card_texts(spark, sf_dir), "id"), embedded(tables.queries(spark, sf_dir), "q"), limit, DIMS)
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +43,7 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def costed(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
     """Ranked ids with their token cost; the text itself never travels with the ranking."""
-    cost = tables.memories(spark, sf_dir).select("id", token_cost(F.col("text")).alias("cost"))
+    cost = tables.card_texts(spark, sf_dir).select("id", token_cost(F.col("text")).alias("cost"))
     return ranked.join(cost, "id")
 
 
@@ -55,7 +53,7 @@ def packed(spark: SparkSession, sf_dir: str, ranked: DataFrame, budget: int = BU
 
 # SQL counterparts -----------------------------------------------------------------------------------------------
 BASE = ",\n".join([S.MEM, S.QRY, S.REL])
-LEX = ",\n".join([BASE, S.lexical(MAX_POSTINGS, FETCH)])
+LEX = ",\n".join([BASE, S.lexical(limit=FETCH)])
 VEC = ",\n".join([BASE, S.vector(FETCH)])
 POOL = ",\n".join([LEX, S.vector(FETCH), "pool AS (SELECT q, id FROM lex UNION SELECT q, id FROM vec)"])
 COST = f"cost AS (SELECT id, {S.cost('text')} AS cost FROM mem)"

@@ -5,7 +5,9 @@ On a cluster the caller brings its own session; nothing here is needed then.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,7 +36,10 @@ def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for cut lineage: the cluster's `spark.checkpoint.dir`, else a test folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 

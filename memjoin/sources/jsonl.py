@@ -17,35 +17,43 @@ BAD_ESCAPE = r"\\u(?![0-9a-fA-F]{4})"  # fixed value: `\u` not followed by four
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Add `pos`, the global row number in file order, without moving rows to one task.
+    """Add `pos`, the global row number in the order of the partitions, without moving rows to one task.
 
-    Row counts per partition come first; each row's number is its place in the partition plus the rows before it.
-    The input is read twice, so its partitions must not change between reads: scans keep theirs, anything shuffled has
-    to be written first (`cut_lineage`).
+    Row counts per partition come first; each row's number is its place in the partition plus the rows before it. For
+    sorted rows that were written (`cut_lineage`), as the input is read twice. Files have an order of their own
+    (`file_numbered`).
     """
     tagged = df.withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per file split
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_start"))
-    return (
-        tagged.withColumn("_part", part)
-        .join(starts, "_part")
-        .withColumn("pos", F.col("_start") + place)
-        .drop("_m", "_part", "_start")
-    )
+    return _placed(tagged.withColumn("_block", F.shiftright("_m", 33)))
+
+
+def file_numbered(df: DataFrame) -> DataFrame:
+    """Add `pos`, the global row number in file order, to a file scan.
+
+    Spark packs file blocks into tasks by size, so the order is taken from the path and the start of each block: a row's
+    number is its place in the block plus the rows of the blocks before it.
+    """
+    block = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    return _placed(df.select("*", F.monotonically_increasing_id().alias("_m"), block.alias("_block")))
+
+
+def _placed(tagged: DataFrame) -> DataFrame:
+    """`pos` from the increasing `_m` within each `_block`, blocks in order."""
+    counts = tagged.groupBy("_block").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # one row for each partition, or block of a file
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_block", "_first", before.alias("_start"))
+    return tagged.join(starts, "_block").withColumn("pos", F.col("_start") + F.col("_m") - F.col("_first")).drop("_m", "_block", "_first", "_start")
 
 
 def scan(spark: SparkSession, path: str, schema: str, limit: int = 0) -> DataFrame:
     """One record per line, blank lines skipped; `limit` keeps the first records in file order."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return rows if limit <= 0 else numbered(rows).where(F.col("pos") < limit).drop("pos")
+    return rows if limit <= 0 else file_numbered(rows).where(F.col("pos") < limit).drop("pos")
 
 
 def scan_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    return numbered(spark.read.text(path))
+    return file_numbered(spark.read.text(path))
 
 
 def sanitized(lines: DataFrame, schema: str, offset: int = 0, limit: int = 0) -> DataFrame:
@@ -63,6 +71,14 @@ def sanitized(lines: DataFrame, schema: str, offset: int = 0, limit: int = 0) ->
     return rows.select("pos", "line", "record", (F.col("record").isNotNull() & F.col("record._corrupt").isNull()).alias("kept"))
 
 
+def require_kept(rows: DataFrame) -> DataFrame:
+    """The kept rows; an error where no line of the slice is one."""
+    kept = rows.where("kept")
+    if kept.isEmpty():
+        raise ValueError("no valid record in this slice of the file")
+    return kept
+
+
 def kept_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("skipped"))
 
@@ -113,11 +129,11 @@ def polymorphic_items(spark: SparkSession, path: str, schema: str, text_key: str
     return items.withColumn("item_text", item_text([F.col(c) for c in order], F.to_json(sorted_struct(items))))
 
 
-def float_mapping(payloads: DataFrame, column: str = "value") -> DataFrame:
-    """(field, value) of a JSON object of floats, optionally wrapped in `fields`."""
+def float_mapping(payloads: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(field, value) of a JSON object of floats, optionally wrapped in `fields`, after the columns `keep`."""
     wrapped = F.get_json_object(column, "$.fields")
     body = F.coalesce(wrapped, F.col(column))
-    return payloads.select(F.explode(F.from_json(body, "map<string,double>")).alias("field", "value"))
+    return payloads.select(*keep, F.explode(F.from_json(body, "map<string,double>")).alias("field", "value"))
 
 
 def ordered_split(df: DataFrame, fraction: float) -> DataFrame:

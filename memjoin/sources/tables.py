@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has cores; text work per row is heavy.
+    """In local sessions, spread a table of one row group over the cores; on a cluster a scan keeps its splits."""
+    context = df.sparkSession.sparkContext
+    return df.repartition(context.defaultParallelism) if context.master.startswith("local[") else df
 
-    A table of many files has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def card_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text) of the memory cards, for rankings that need nothing else."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         conv.alias("uid"),
         turn.alias("pos"),
-        F.concat(conv.cast("string"), F.lit("_t"), F.lpad(turn.cast("string"), 4, "0")).alias("id"),
+        F.concat(conv.cast("string"), F.lit("_t"), F.lpad(turn.cast("string"), F.greatest(F.lit(4), F.length(turn.cast("string"))), "0")).alias("id"),
         (turn / F.lit(3)).cast("bigint").alias("session"),
         F.col("role").alias("speaker"),
         "text",
