@@ -10,7 +10,7 @@ import hashlib
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,23 +158,31 @@ def resolved(predictions: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def field_values(predictions: DataFrame) -> DataFrame:
-    return predictions.select("field", "value").distinct()
+def field_values(predictions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(field, value): every different value, with those of the `known` table."""
+    values = predictions.select("field", "value")
+    return (values if known is None else values.unionByName(known.select("field", "value"))).distinct()
 
 
-def count_fields(predictions: DataFrame) -> DataFrame:
-    """(field, seen, confidence, distinct_values). Partial sums per task; values are deduplicated before they are counted."""
+def count_fields(predictions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(field, seen, confidence, fresh): rows, confidences and values that the `known` (field, value) table does not hold.
+
+    Partial sums per task; values are deduplicated before they are counted.
+    """
     per_value = predictions.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("c"))
-    return per_value.groupBy("field").agg(
-        F.sum("n").alias("seen"), F.sum("c").alias("confidence"), F.count(F.lit(1)).alias("distinct_values")
-    )
+    if known is not None:
+        per_value = per_value.join(known.select("field", "value", F.lit(0).alias("new")), ["field", "value"], "left")
+    new = F.coalesce("new", F.lit(1)) if known is not None else F.lit(1)
+    return per_value.groupBy("field").agg(F.sum("n").alias("seen"), F.sum("c").alias("confidence"), F.sum(new).alias("fresh"))
+
 
+def record_predictions(registry: DataFrame, predictions: DataFrame, known: DataFrame | None = None, version: int = 1) -> DataFrame:
+    """Registry with the counters of these (resolved) predictions added; unknown fields enter as proposed.
 
-def record_predictions(registry: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Registry with the counters of these (resolved) predictions added; unknown fields enter as proposed."""
-    seen = count_fields(predictions)
-    version = F.max("version").over(Window.partitionBy(F.lit(0)))  # the registry holds field names only, a few rows
-    joined = registry.withColumn("registry_version", version).join(seen, F.col("name") == F.col("field"), "full_outer")
+    `known` is the (field, value) table of what the registry has counted (`field_values`), so that values of several
+    batches add up in any order; `version` is the registry's own, which new fields take.
+    """
+    joined = registry.join(count_fields(predictions, known), F.col("name") == F.col("field"), "full_outer")
     zero = F.lit(0).cast("bigint")
     return joined.select(
         F.coalesce("name", "field").alias("name"),
@@ -182,17 +190,23 @@ def record_predictions(registry: DataFrame, predictions: DataFrame) -> DataFrame
         F.coalesce("description", F.lit("")).alias("description"),
         F.coalesce("examples", F.array().cast("array<string>")).alias("examples"),
         F.coalesce("status", F.lit("proposed")).alias("status"),
-        F.coalesce("version", F.lit(1)).alias("version"),
+        F.coalesce("version", F.lit(version)).alias("version"),
         (F.coalesce("seen_count", zero) + F.coalesce("seen", zero)).alias("seen_count"),
         F.round(F.coalesce("confidence_sum", F.lit(0.0)) + F.coalesce("confidence", F.lit(0.0)), 8).alias("confidence_sum"),
-        F.greatest(F.coalesce("distinct_count", zero), F.coalesce("distinct_values", zero)).alias("distinct_count"),
+        (F.coalesce("distinct_count", zero) + F.coalesce("fresh", zero)).alias("distinct_count"),
         F.coalesce("validation_lift", F.lit(0.0)).alias("validation_lift"),
         F.coalesce("hard_negative_delta", F.lit(0.0)).alias("hard_negative_delta"),
     )
 
 
-def promote_ready(registry: DataFrame, lifts: DataFrame, hard_deltas: DataFrame, limits: dict[str, float] = PROMOTION) -> DataFrame:
-    """Promote fields that pass every gate; the version rises by one for them."""
+def raised_version(before: DataFrame, after: DataFrame, version: int = 1) -> int:
+    """The registry's version after promotion: one more if any field was promoted."""
+    done = F.col("status") == "promoted"
+    return version + int(not after.where(done).join(before.where(done), "name", "left_anti").isEmpty())
+
+
+def promote_ready(registry: DataFrame, lifts: DataFrame, hard_deltas: DataFrame, limits: dict[str, float] = PROMOTION, version: int = 1) -> DataFrame:
+    """Promote fields that pass every gate; they take the version after the registry's own, `version`."""
     joined = (
         registry.join(lifts.select(F.col("field").alias("name"), F.col("value").alias("lift")), "name", "left")
         .join(hard_deltas.select(F.col("field").alias("name"), F.col("value").alias("hard")), "name", "left")
@@ -211,20 +225,21 @@ def promote_ready(registry: DataFrame, lifts: DataFrame, hard_deltas: DataFrame,
     return flagged.select(
         *[c for c in registry.columns if c not in ("status", "version", "validation_lift", "hard_negative_delta")],
         F.when(F.col("ready"), "promoted").otherwise(F.col("status")).alias("status"),
-        (F.col("version") + F.col("ready").cast("int")).alias("version"),
+        F.when(F.col("ready"), F.lit(version + 1)).otherwise(F.col("version")).alias("version"),
         F.when(F.col("ready"), F.col("lift")).otherwise(F.col("validation_lift")).alias("validation_lift"),
         F.when(F.col("ready"), F.col("hard")).otherwise(F.col("hard_negative_delta")).alias("hard_negative_delta"),
     )
 
 
-def derived_metadata(predictions: DataFrame, registry: DataFrame) -> DataFrame:
-    """(item, fields): map of promoted field -> predictions ordered by value."""
+def derived_metadata(predictions: DataFrame, registry: DataFrame, source_type: str = "rule", teacher_version: str = PROMPT_VERSION, schema_version: int = 1) -> DataFrame:
+    """(item, fields, source_type, teacher_version, schema_version): map of promoted field -> predictions ordered by value."""
     promoted = registry.where(F.col("status") == "promoted").select(F.col("name").alias("field"))
     entry = F.struct("value", F.round("confidence", 8).alias("confidence"), "span")
     per_field = (
         predictions.join(promoted, "field", "left_semi").groupBy("item", "field").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     )
-    return per_field.groupBy("item").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "entries")))).alias("fields"))
+    out = per_field.groupBy("item").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "entries")))).alias("fields"))
+    return out.select("item", "fields", F.lit(source_type).alias("source_type"), F.lit(teacher_version).alias("teacher_version"), F.lit(schema_version).cast("bigint").alias("schema_version"))
 
 
 def registry_json(registry: DataFrame) -> DataFrame:

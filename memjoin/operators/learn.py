@@ -16,6 +16,12 @@ SELECTION = {"f1": 0.5, "mrr": 0.3, "recall": 0.2}
 POSITIVE_CAP = 16.0
 
 
+def split(rows: DataFrame, by: str = "q", held: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Training and held-out rows; every `held`-th query by its hash is held out with all its rows."""
+    out = F.pmod(F.xxhash64(by), F.lit(held)) == 0
+    return rows.where(~out), rows.where(out)
+
+
 def _numbers(df: DataFrame, features: str) -> DataFrame:
     return df.withColumn("_x", array_to_vector(F.col(features)))
 

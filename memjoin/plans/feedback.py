@@ -10,6 +10,7 @@ from memjoin.operators.ranking import pack_budget, ranked
 from memjoin.plans import features as FE
 from memjoin.plans import metrics as Q
 from memjoin.plans import records_sql as RQ
+from memjoin.plans import fields as FP
 from memjoin.plans import sqltext as S
 from memjoin.plans import workload as W
 from memjoin.plans.graphs import shape
@@ -197,12 +198,11 @@ def t2_stream(spark, sf_dir):
     source = scratch(spark, "events")
     events = tables.feedback_events(spark, sf_dir)
     quarter = (events.agg(F.max("seq")).first()[0] or 0) // 4 + 1
-    for part in range(4):  # log segments arrive in sequence order, one file each
-        events.where(F.floor(F.col("seq") / quarter) == part).coalesce(1).write.mode("append").parquet(source)
-    schema = spark.read.parquet(source).schema
-    state = state_table(spark)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    fold_stream(stream, state, scratch(spark, "progress")).awaitTermination()
+    state, progress = state_table(spark), scratch(spark, "progress")
+    for part in range(4):  # log segments arrive in sequence order; each run of the stream takes the files that are new
+        events.where(F.floor(F.col("seq") / quarter) == part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        fold_stream(stream, state, progress).awaitTermination()
     return rounded(state.read())
 
 
@@ -246,17 +246,24 @@ def t6(spark, sf_dir):
     return out
 
 
-@query("t7_streaming_field_extraction")
+STREAMED = """best AS (SELECT item, field, value, max(confidence) AS confidence FROM pred GROUP BY ALL),
+reg AS (SELECT coalesce(s.name, c.field) AS name, CASE WHEN s.name IS NULL THEN 'proposed' ELSE 'promoted' END AS status, coalesce(c.n, 0) AS seen_count,
+  round(coalesce(c.c, 0.0), 6) AS confidence_sum, coalesce(c.d, 0) AS distinct_count FROM seed s FULL JOIN
+  (SELECT field, count(*) AS n, sum(confidence) AS c, count(DISTINCT value) AS d FROM best GROUP BY field) c ON c.field = s.name)"""
+
+
+@query("t7_streaming_field_extraction", S.with_(FP.ITEMS, FP.PRED, FP.SEED, STREAMED) + "SELECT name, status, seen_count, confidence_sum, distinct_count FROM reg")
 def t7(spark, sf_dir):
-    """Labelled document texts as a file stream; the registry counters after the last batch."""
+    """Labelled document texts as a file stream in several batches; the counters after the last one are those of all texts."""
     from memjoin.operators import fields as P
     from memjoin.plans.fields import labelled_texts
-    from memjoin.streaming.feedback import VersionedTable, extraction_stream
+    from memjoin.streaming.feedback import VALUES_DDL, VersionedTable, extraction_stream
 
     source = scratch(spark, "texts")
     labelled_texts(spark, sf_dir).repartition(3).write.parquet(source)
     stream = spark.readStream.schema("item bigint, text string").option("maxFilesPerTrigger", 1).parquet(source)
     seed = P.seed_registry(spark)
     registry = VersionedTable(spark, scratch(spark, "registry"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seed.schema.fields))
-    extraction_stream(stream, registry, seed, scratch(spark, "predictions"), scratch(spark, "progress")).awaitTermination()
+    values = VersionedTable(spark, scratch(spark, "values"), VALUES_DDL)
+    extraction_stream(stream, registry, values, seed, scratch(spark, "predictions"), scratch(spark, "progress")).awaitTermination()
     return registry.read().select("name", "status", "seen_count", F.round("confidence_sum", 6).alias("confidence_sum"), "distinct_count")

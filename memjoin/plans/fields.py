@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from memjoin.operators import fields as P
 from memjoin.plans import sqltext as S
 from memjoin.plans.registry import query
+from memjoin.session import cut_lineage, scratch_dir
 from memjoin.sources import tables
 
 # Every document with a header naming a user, project, session, brand, tool, colour and tone, as agent memories have.
@@ -178,10 +181,39 @@ def float_table(spark, payload):
     return float_mapping(spark.createDataFrame([(payload,)], "value string"))
 
 
-def promoted(spark, sf_dir):
+def gated(spark, registry):
     lifts = float_table(spark, '{"fields": {"license_constraint": 0.05, "topic": 0.2}}')
     deltas = float_table(spark, '{"license_constraint": 0.0}')
-    return P.promote_ready(counted(spark, sf_dir), lifts, deltas)
+    return P.promote_ready(registry, lifts, deltas)
+
+
+def promoted(spark, sf_dir):
+    return gated(spark, counted(spark, sf_dir))
+
+
+GATE = """gate AS (SELECT *, status <> 'promoted' AND seen_count >= 25 AND round(confidence_sum / greatest(seen_count, 1), 9) >= 0.82 AND distinct_count >= 5 AND name = 'license_constraint' AS ok FROM reg)"""
+
+
+@query(
+    "s8_registry_snapshot",
+    S.with_(ITEMS, PRED, SEED, RENAMED, REG, GATE)
+    + """SELECT g.name, CASE WHEN ok THEN 'promoted' ELSE status END AS status, (1 + ok::INT)::BIGINT AS version, 1 + (SELECT bool_or(ok) FROM gate)::BIGINT AS registry_version, seen_count, distinct_count,
+      coalesce(array_to_string(list_sort(s.aliases), ','), '') AS aliases FROM gate g LEFT JOIN seed s ON s.name = g.name""",
+)
+def registry_snapshot(spark, sf_dir):
+    """The registry saved as counted and as promoted, under its own version; the newest version loaded."""
+    path = f"{scratch_dir(spark)}/registry-{uuid.uuid4().hex}"
+    before = cut_lineage(counted(spark, sf_dir))
+    after = gated(spark, before)
+    newest = P.raised_version(before, after)
+    for version, rows in ((1, before), (newest, after)):
+        rows.write.mode("overwrite").parquet(f"{path}/registry_version={version}")
+    stored = spark.read.parquet(path)
+    loaded = stored.where(F.col("registry_version") == stored.agg(F.max("registry_version")).scalar())
+    return loaded.select(
+        "name", "status", F.col("version").cast("bigint").alias("version"), F.col("registry_version").cast("bigint").alias("registry_version"), "seen_count", "distinct_count",
+        F.array_join(F.array_sort("aliases"), ",").alias("aliases"),
+    )
 
 
 @query(
@@ -201,18 +233,20 @@ def promotion_gate(spark, sf_dir):
         "best AS (SELECT item, field, value, max(confidence) AS c FROM res GROUP BY ALL)",
         "per AS (SELECT item, field, string_agg(value || '@' || printf('%.2f', c), ',' ORDER BY value) AS e FROM best WHERE field IN (SELECT name FROM reg WHERE status = 'promoted' OR (name = 'license_constraint' AND seen_count >= 25 AND distinct_count >= 5)) GROUP BY ALL)",
     )
-    + "SELECT item, string_agg(field || '=' || e, ';' ORDER BY field) AS fields FROM per GROUP BY item",
+    + "SELECT item, string_agg(field || '=' || e, ';' ORDER BY field) AS fields, 'rule' AS source_type, 'field-classifier-v1' AS teacher_version, 1 + (SELECT count(*) > 0 FROM reg WHERE name = 'license_constraint' AND seen_count >= 25 AND distinct_count >= 5)::BIGINT AS schema_version FROM per GROUP BY item",
 )
 def derived_metadata(spark, sf_dir):
     rows = P.stable_predictions(resolved_rows(spark, sf_dir))
-    out = P.derived_metadata(rows, promoted(spark, sf_dir))
+    before = cut_lineage(counted(spark, sf_dir))
+    after = gated(spark, before)
+    out = P.derived_metadata(rows, after, schema_version=P.raised_version(before, after))
     shown = F.transform(
         F.array_sort(F.map_entries("fields")),
         lambda e: F.concat(
             e["key"], F.lit("="), F.array_join(F.transform(e["value"], lambda v: F.concat(v["value"], F.lit("@"), F.format_string("%.2f", v["confidence"]))), ",")
         ),
     )
-    return out.select("item", F.array_join(shown, ";").alias("fields"))
+    return out.select("item", F.array_join(shown, ";").alias("fields"), "source_type", "teacher_version", "schema_version")
 
 
 # The cache holds rule predictions of the even turns under the stable key and of every third turn under the registry key.

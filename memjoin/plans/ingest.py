@@ -172,21 +172,6 @@ def s7(spark, sf_dir):
     return caches.upsert(spark.read.parquet(path), latest(rows.where(F.col("version") > middle)), "key", "version")
 
 
-@query(
-    "s8_registry_snapshot",
-    "SELECT source AS name, count(*) AS seen_count, 2::BIGINT AS version, string_agg(DISTINCT lang, ',' ORDER BY lang) AS aliases FROM documents GROUP BY source",
-)
-def s8(spark, sf_dir):
-    """Field definitions counted from the documents, saved as version 1 and 2, the newest version loaded."""
-    path = scratch(spark, "registry")
-    rows = tables.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("seen_count"), F.array_sort(F.collect_set("lang")).alias("aliases"))
-    for version in (1, 2):
-        rows.withColumn("version", F.lit(version).cast("bigint")).write.partitionBy("version").mode("append").parquet(path)
-    stored = spark.read.parquet(path)
-    newest = stored.agg(F.max("version")).scalar()
-    return stored.where(F.col("version") == newest).select("name", "seen_count", F.col("version").cast("bigint").alias("version"), F.array_join("aliases", ",").alias("aliases"))
-
-
 @query("s10_ordered_split", "SELECT split, count(*) AS n, min(item_id) AS first, max(item_id) AS last FROM (SELECT item_id, CASE WHEN item_id < floor((SELECT count(*) FROM benchmark) * 0.7) THEN 'train' ELSE 'eval' END AS split FROM benchmark) GROUP BY split")
 def s10(spark, sf_dir):
     rows = jsonl.ordered_split(jsonl.file_numbered(tables.table(spark, sf_dir, "benchmark")), 0.7)

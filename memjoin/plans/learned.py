@@ -28,22 +28,24 @@ def training_rows(spark, sf_dir):
 
 
 def heads(rows):
-    return L.fit_head(rows, "x", "label"), L.fit_head(rows, "x", "label", "include_weight")
+    """Both heads, fitted on the training queries; the queries below score the held-out ones."""
+    train, _ = L.split(rows)
+    return L.fit_head(train, "x", "label"), L.fit_head(train, "x", "label", "include_weight")
 
 
 @query("l1_relevance_and_include_models")
 def l1(spark, sf_dir):
-    """Logits of both heads for every candidate."""
+    """Logits of both heads for every candidate of the held-out records."""
     rows = training_rows(spark, sf_dir)
     relevance, include = heads(rows)
-    scored = L.logit(include, L.logit(relevance, rows, "x", "relevance_logit"), "x", "include_logit")
+    scored = L.logit(include, L.logit(relevance, L.split(rows)[1], "x", "relevance_logit"), "x", "include_logit")
     return scored.select("q", "id", "label", F.round("relevance_logit", 4).alias("relevance_logit"), F.round("include_logit", 4).alias("include_logit"))
 
 
 @query("l2_calibrated_rerank")
 def l2(spark, sf_dir):
     rows = training_rows(spark, sf_dir)
-    out = L.calibrated_rerank(rows, *heads(rows), "x", 6)
+    out = L.calibrated_rerank(L.split(rows)[1], *heads(rows), "x", 6)
     return out.select("q", "id", F.round("score", 4).alias("score"), F.round("include_probability", 4).alias("include_probability"), "rank")
 
 
@@ -51,8 +53,9 @@ def l2(spark, sf_dir):
 def l3(spark, sf_dir):
     rows = training_rows(spark, sf_dir)
     models = heads(rows)
-    cheap = L.fit_head(rows, "x", "label", reg=0.1, iterations=3)
-    return L.cascade_rerank(rows, cheap, models, "x", 8, 4).select("q", "id", F.round("score", 4).alias("score"), "rank")
+    train, held = L.split(rows)
+    cheap = L.fit_head(train, "x", "label", reg=0.1, iterations=3)
+    return L.cascade_rerank(held, cheap, models, "x", 8, 4).select("q", "id", F.round("score", 4).alias("score"), "rank")
 
 
 @query("l4_context_selector")
@@ -63,8 +66,9 @@ def l4(spark, sf_dir):
     names = F.array(*[F.lit(r) for r in V.REASONS])
     reason = F.array_position(names, V.reason_label(F.col("role"), F.col("relevant"), F.col("cluster"))) - 1
     data = cut_lineage(rows.select("q", "id", F.col("relevant").cast("double").alias("label"), reason.cast("double").alias("reason"), V.padded(list(V.selector_features(F.lit(900)).values()), 31).alias("x")))
-    select = L.logit(L.fit_head(data, "x", "label"), data, "x", "select_logit")
-    classes = L.fit_classes(data, "x", "reason", len(V.REASONS))
+    train, held = L.split(data)
+    select = L.logit(L.fit_head(train, "x", "label"), held, "x", "select_logit")
+    classes = L.fit_classes(train, "x", "reason", len(V.REASONS))
     out = classes.transform(L._numbers(select, "x"))
     return out.select("q", "id", F.round(L.sigmoid(F.col("select_logit")), 4).alias("select_probability"), F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("reason"))
 
@@ -75,19 +79,20 @@ def l5(spark, sf_dir):
     pairs = FE.turn_pairs(spark, sf_dir)
     action = V.heuristic_action(pairs).select("q", "id", F.col("attach").cast("double").alias("label"))
     data = cut_lineage(pairs.select("q", "id", V.padded(list(V.candidate_features().values()), 16).alias("x")).join(action, ["q", "id"]))
-    scored = L.logit(L.fit_head(data, "x", "label"), data, "x", "logit").withColumn("score", L.sigmoid(F.col("logit")))
+    train, held = L.split(data)
+    scored = L.logit(L.fit_head(train, "x", "label"), held, "x", "logit").withColumn("score", L.sigmoid(F.col("logit")))
     proposals = V.edge_proposals(scored.select("q", "id", "score", (F.col("score") >= 0.5).alias("attach")), records.tasks(spark, sf_dir), 0.5)
     return proposals.select("q", F.coalesce("id", F.lit("")).alias("id"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"), "new_cluster")
 
 
 @query("l6_model_selection")
 def l6(spark, sf_dir):
-    """Three regularisation strengths, the best by the balanced score of the ranking metrics."""
-    rows = training_rows(spark, sf_dir)
-    relevant = rows.where(F.col("label") == 1).groupBy("q").agg(F.count(F.lit(1)).alias("relevant_count"))
+    """Three regularisation strengths, the best by the balanced score of the ranking metrics on held-out records."""
+    train, held = L.split(training_rows(spark, sf_dir))
+    relevant = held.where(F.col("label") == 1).groupBy("q").agg(F.count(F.lit(1)).alias("relevant_count"))
     tried = None
     for reg in (0.001, 0.01, 0.1):
-        scored = L.logit(L.fit_head(rows, "x", "label", reg=reg, iterations=10), rows.drop("score", "rank"), "x", "score")
+        scored = L.logit(L.fit_head(train, "x", "label", reg=reg, iterations=10), held.drop("score", "rank"), "x", "score")
         flagged = ranked(scored, "q").withColumn("is_relevant", F.col("label").cast("int"))
         one = V.learned_metrics(flagged, relevant, 3, 0.0).withColumn("reg", F.lit(reg))
         tried = one if tried is None else tried.unionByName(one)

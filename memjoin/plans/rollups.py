@@ -136,22 +136,54 @@ def system_rows(spark, sf_dir):
 
 
 _avg = [f"avg({m}) AS {m}" for m in METRICS]
+# Latencies are the values of the view and the click events, as the measured column of the two systems.
+LATENCY = {"lexical": "view", "vector": "click"}
+LAT = "lt AS (SELECT CASE event_type WHEN 'view' THEN 'lexical' ELSE 'vector' END AS system, avg(value) AS latency FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL)"
 
 
-@query("a11_system_rollup", S.with_(SYS) + "SELECT system, count(*) AS queries, " + r6(*_avg) + ", 0::BIGINT AS mismatches FROM sys GROUP BY system")
+def mismatches(spark, sf_dir):
+    """(system, mismatches): queries whose ranking differs when it is computed again from rows dealt out anew."""
+    from memjoin.operators.lexical import idf_token_scores
+    from memjoin.operators.vector import exact_vector_topk
+
+    mem, qry = tables.card_texts(spark, sf_dir), tables.queries(spark, sf_dir).select("q", "text")
+    dealt, asked = mem.repartition(13, F.xxhash64("id", F.lit(7))), qry.repartition(5)
+    again = {"lexical": idf_token_scores(dealt, asked, None, W.FETCH), "vector": exact_vector_topk(W.embedded(dealt, "id"), W.embedded(asked, "q"), W.FETCH, W.DIMS)}
+    out = None
+    for name, ranked in (("lexical", W.lexical_ranked(spark, sf_dir)), ("vector", W.vector_ranked(spark, sf_dir))):
+        both = M.signature(ranked, 6).join(M.signature(again[name], 6).withColumnRenamed("signature", "again"), "q", "full_outer")
+        one = both.agg(F.count_if(~F.col("signature").eqNullSafe(F.col("again"))).alias("mismatches")).select(F.lit(name).alias("system"), "mismatches")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def latencies(spark, sf_dir):
+    system = F.when(F.col("event_type") == LATENCY["lexical"], "lexical").otherwise("vector")
+    rows = tables.table(spark, sf_dir, "events").where(F.col("event_type").isin(*LATENCY.values()))
+    return rows.select(system.alias("system"), "value")
+
+
+PLACES = {"p50": ceil_rule(0.5), "p95": ceil_rule(0.95)}
+
+
+@query("a11_system_rollup", S.with_(SYS, "lr AS (SELECT CASE event_type WHEN 'view' THEN 'lexical' ELSE 'vector' END AS system, value FROM events WHERE event_type IN ('view', 'click'))", "pl AS (" + place_sql("lr", "system", "value", PLACES) + ")") + "SELECT system, count(*) AS queries, " + r6(*_avg) + ", 0::BIGINT AS mismatches, (SELECT count(*) FROM documents) AS memories, any_value(p50) AS latency_p50, any_value(p95) AS latency_p95 FROM sys JOIN pl USING (system) GROUP BY system")
 def a11(spark, sf_dir):
     out = system_rows(spark, sf_dir).groupBy("system").agg(F.count(F.lit(1)).alias("queries"), *[F.avg(m).alias(m) for m in METRICS])
-    return rounded(out).withColumn("mismatches", F.lit(0).cast("bigint"))
+    late = R.exact_quantiles(latencies(spark, sf_dir), "system", "value", {"latency_p50": (0.5, R.ceil_place), "latency_p95": (0.95, R.ceil_place)})
+    counted = tables.card_texts(spark, sf_dir).agg(F.count(F.lit(1)).alias("memories"))
+    return rounded(out).join(mismatches(spark, sf_dir), "system").join(late, "system").withColumn("memories", counted.scalar())
 
 
 @query(
     "a21_leaderboard_score",
-    S.with_(SYS, "av AS (SELECT system, " + ", ".join(_avg) + " FROM sys GROUP BY system)", "sc AS (SELECT system, " + " + ".join(f"{w}::DOUBLE * {m}" for m, w in R.LEADERBOARD.items()) + " - 0.1::DOUBLE * greatest(0.0, (240.0 - 200.0) / 200.0) AS score FROM av)")
+    S.with_(SYS, LAT, "av AS (SELECT system, " + ", ".join(_avg) + " FROM sys GROUP BY system)", "sc AS (SELECT system, " + " + ".join(f"{w}::DOUBLE * {m}" for m, w in R.LEADERBOARD.items()) + " - 0.1::DOUBLE * greatest(0.0, (latency - 20.0) / 20.0) AS score FROM av JOIN lt USING (system))")
     + "SELECT system, round(score, 6)::DOUBLE AS score, row_number() OVER (ORDER BY round(score, 9) DESC, system) AS place FROM sc",
 )
 def a21(spark, sf_dir):
     rolled = system_rows(spark, sf_dir).groupBy("system").agg(*[F.avg(m).alias(m) for m in METRICS])
-    scored = rolled.select("system", R.leaderboard_score(F.lit(240.0), 200.0, F.lit(0)).alias("score"))
+    late = latencies(spark, sf_dir).groupBy("system").agg(F.avg("value").alias("latency"))
+    rolled = rolled.join(late, "system").join(mismatches(spark, sf_dir), "system")
+    scored = rolled.select("system", R.leaderboard_score(F.col("latency"), 20.0, F.col("mismatches")).alias("score"))
     order = Window.orderBy(F.round("score", 9).desc(), "system")  # one row per system
     return rounded(scored.select("system", "score", F.row_number().over(order).cast("bigint").alias("place")))
 

@@ -59,8 +59,14 @@ def fold_stream(events: DataFrame, state: VersionedTable, checkpoint: str):
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def extraction_stream(items: DataFrame, registry: VersionedTable, seed: DataFrame, output: str, checkpoint: str):
-    """Extract fields from arriving texts (item, text), append the predictions and add their counts to the registry."""
+VALUES_DDL = "field string, value string"
+
+
+def extraction_stream(items: DataFrame, registry: VersionedTable, values: VersionedTable, seed: DataFrame, output: str, checkpoint: str):
+    """Extract fields from arriving texts (item, text), append the predictions and add their counts to the registry.
+
+    `values` keeps the (field, value) table beside the registry, so that different values add up over the batches.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         if batch_id in registry.versions():
@@ -70,7 +76,9 @@ def extraction_stream(items: DataFrame, registry: VersionedTable, seed: DataFram
         held = registry.read(batch_id)
         known = held if registry.versions() else seed
         written = batch.sparkSession.read.parquet(f"{output}/batch={batch_id}")
-        registry.write(P.record_predictions(known, P.resolved(written, known)), batch_id)
+        found, counted = P.resolved(written, known), values.read(batch_id)
+        values.write(P.field_values(found, counted), batch_id)
+        registry.write(P.record_predictions(known, found, counted), batch_id)
 
     return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
