@@ -29,7 +29,7 @@ from memjoin.llm.common import documents, text_rows, written
 CAPACITY = 4096
 END_ID = 1  # fixed by the contract
 GROUP_ROWS = 32_768
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 MARK, MARKS = "\x7f", ".,;:!?|*&#$%"
 
 

@@ -33,7 +33,7 @@ ORDER = 5
 HELD_OUT = 5  # every fifth trusted document by its hash
 QUANTILE, SLACK, LEAST = 0.99, 1.1, 20
 SHARD_TERMS = 3_000_000
-SLOTS = 22  # bits of the score cache of a task
+SLOTS = 20  # bits of the score cache of a task
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -32,7 +32,7 @@ from memjoin.llm.common import LOC, WORD_BASE, components, documents, drop_rows,
 BITS, BLOCKS = 64, 4
 SEED = 42  # fixed by the contract
 SKETCH, MARGIN, FAR = 256, 0.12, 7
-VISITS = 1 << 21  # (query, node) pairs held at a time
+VISITS = 1 << 20  # (query, node) pairs held at a time
 
 
 def fingerprint(text: bytes, size: int) -> int:
@@ -106,28 +106,26 @@ def within(values: np.ndarray, trees: tuple[np.ndarray, np.ndarray, np.ndarray],
     place = parent[children] * (BITS + 1) + edge[children]
     order = np.argsort(place, kind="stable")
     place, children = place[order], children[order]
-    stack = [(queries, root[queries])]
+    nobody = np.zeros(0, np.int64)
+    stack = [(queries[at : at + VISITS], root[queries[at : at + VISITS]], nobody, nobody) for at in range(0, len(queries), VISITS)]
     while stack:
-        query, node = stack.pop()
-        if len(query) > VISITS:
-            half = len(query) // 2
-            stack += [(query[:half], node[:half]), (query[half:], node[half:])]
-            continue
+        query, node, low, high = stack.pop()
+        if len(low):  # edges to follow; long frontiers are halved before they unfold, so that memory stays bounded
+            fan = high - low
+            if int(fan.sum()) > VISITS and len(query) > 1:
+                half = len(query) // 2
+                stack += [(query[:half], nobody, low[:half], high[:half]), (query[half:], nobody, low[half:], high[half:])]
+                continue
+            steps = np.arange(int(fan.sum())) - np.repeat(np.cumsum(fan) - fan, fan)
+            query, node = np.repeat(query, fan), children[np.repeat(low, fan) + steps]
         apart = np.bitwise_count(values[query] ^ values[node]).astype(np.int64)
         near = apart <= radius
         yield query[near], node[near]
         low = np.searchsorted(place, node * (BITS + 1) + np.maximum(apart - radius, 0), side="left")
         high = np.searchsorted(place, node * (BITS + 1) + np.minimum(apart + radius, BITS), side="right")
-        fan = high - low
-        total = int(fan.sum())
-        if not total:
-            continue
-        # Long frontiers are unfolded in pieces, so that memory stays bounded.
-        for part in np.array_split(np.arange(len(query)), 1 + total // VISITS):
-            wide = fan[part]
-            steps = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide)
-            if len(steps):
-                stack.append((np.repeat(query[part], wide), children[np.repeat(low[part], wide) + steps]))
+        open_ = high > low
+        if open_.any():
+            stack.append((query[open_], nobody, low[open_], high[open_]))
 
 
 def join_roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
