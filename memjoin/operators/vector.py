@@ -9,6 +9,8 @@ built. Two routes, chosen by counting the queries first:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -177,7 +179,7 @@ def _blockwise(memories: DataFrame, queries: DataFrame, k: int, dims: int) -> Da
 
 def sign_buckets(vec: Column, plan: Column, tables: int, bits: int) -> Column:
     """`tables` bucket numbers per vector from the signs of `tables * bits` sparse projections."""
-    signs = F.transform(plan, lambda points: (project(vec, points) >= 0).cast("int"))
+    signs = F.transform(plan, lambda points: (F.round(project(vec, points), SCORE_PLACES) >= 0).cast("int"))
     return F.transform(
         F.sequence(F.lit(0), F.lit(tables - 1)),
         lambda t: F.aggregate(F.slice(signs, t * bits + 1, bits), t, lambda a, s: a * 2 + s),
@@ -190,10 +192,20 @@ def project(vec: Column, points: Column) -> Column:
     return total / F.sqrt(F.greatest(F.size(points), F.lit(1)).cast("double"))
 
 
-def bucketed_vector_topk(memories: DataFrame, queries: DataFrame, k: int, dims: int, tables: int = 8, bits: int = 4) -> DataFrame:
+BUCKET_ROWS = 64
+
+
+def bucket_bits(count: int) -> int:
+    """Bits of a bucket, so that it holds about `BUCKET_ROWS` vectors whatever their number; at least four."""
+    return max(4, math.ceil(math.log2(max(1, count) / BUCKET_ROWS)))
+
+
+def bucketed_vector_topk(memories: DataFrame, queries: DataFrame, k: int, dims: int, tables: int = 8, bits: int | None = None) -> DataFrame:
     """Approximate top-k: vectors meet only inside equal sign buckets, then are scored exactly."""
     from memjoin.operators.hashed import projection_plan
 
+    bits = bits or bucket_bits(memories.count())
+
     plan = projection_plan(dims, tables * bits, 8)
 
     def spread(df: DataFrame, id_col: str) -> DataFrame:

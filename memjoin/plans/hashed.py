@@ -45,11 +45,6 @@ def levels(spark, sf_dir, emitted):
     return cut_lineage(mem.join(mean, "id", "left").select("id", level.alias("level")))
 
 
-_points = ", ".join(
-    f"({a}, {d}, {s})" for a, points in enumerate(H.projection_points(DIMS, ACTIONS, WIDTH)) for d, s in points
-)
-
-
 def tokens_sql(name: str, source: str, key: str, vectors: str) -> str:
     slot = " UNION ALL ".join(f"SELECT tok, ({S.fnv(chr(39) + 'field-lex:' + chr(39) + ' || tok || ' + chr(39) + ':' + str(i) + chr(39))} % {ACTIONS})::INT AS action FROM {name}_u" for i in range(3))
     return f"""{name}_s AS (SELECT DISTINCT {key}, tok FROM (SELECT {key}, unnest({S.toks('text')}) AS tok FROM {source}) WHERE length(tok) > 1),
@@ -63,7 +58,7 @@ def tokens_sql(name: str, source: str, key: str, vectors: str) -> str:
   FROM {name}_v v LEFT JOIN {name}_h h ON h.{key} = v.{key} AND h.action = v.action)) WHERE n <= {KEEP})"""
 
 
-PTS = f"pts AS (SELECT * FROM (VALUES {_points}) t(action, dim, sign))"
+PTS = S.points(str(ACTIONS), DIMS, WIDTH)
 TOK = ",\n".join([W.BASE, S.hash_vectors("mv", "mem", "id"), S.hash_vectors("qv", "qry", "q"), PTS, tokens_sql("mt", "mem", "id", "mv"), tokens_sql("qt", "qry", "q", "qv")])
 LEVEL = f"""lim AS (SELECT m.id, least(0.95::DOUBLE, {CHANCE}::DOUBLE * (1.0::DOUBLE + {BIAS}::DOUBLE * (0.5::DOUBLE * coalesce(t.w, 0.0)
   + 0.5::DOUBLE * ({S.fnv("'field-importance:' || m.id || ':' || length(m.text)")} % 1000)::DOUBLE / 1000.0::DOUBLE))) AS p

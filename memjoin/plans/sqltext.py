@@ -57,6 +57,13 @@ def fnv(s: str) -> str:
     )
 
 
+def points(actions: str, dims: int, width: int, name: str = "pts") -> str:
+    """CTE (action, dim, sign): projection points read off the hash of `field-action:action:offset`; `actions` is SQL."""
+    key = "'field-action:' || a || ':' || o"
+    return f"""{name} AS (SELECT a AS action, (h % {dims}::HUGEINT)::INT AS dim, CASE WHEN (h // 8388608::HUGEINT) % 2::HUGEINT = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign
+  FROM (SELECT a, o, {fnv(key)} AS h FROM (SELECT unnest(range(0, ({actions})::BIGINT)) AS a) CROSS JOIN (SELECT unnest(range(0, {width})) AS o)))"""
+
+
 def signed(h: str) -> str:
     return f"(CASE WHEN {h} >= 9223372036854775808::HUGEINT THEN ({h} - 18446744073709551616::HUGEINT)::BIGINT ELSE ({h})::BIGINT END)"
 

@@ -36,13 +36,27 @@ def text_topk(spark, sf_dir):
     return shape(W.vector_ranked(spark, sf_dir))
 
 
-@query("j2_approximate_vector_candidates")
+# Eight tables of sign buckets; bits grow with the number of vectors.
+BUCKETED = """bits AS (SELECT greatest(4, ceil(log2(greatest(1, count(*)) / 64.0)))::BIGINT AS b FROM embeddings),
+""" + S.points("8 * (SELECT b FROM bits)", 64, 8) + """,
+sg AS (SELECT vec_id, action, (round(sum(sign * embedding[dim + 1]::DOUBLE) / sqrt(8.0), 9) >= 0)::INT AS s FROM embeddings CROSS JOIN pts GROUP BY vec_id, action),
+bk AS (SELECT vec_id, action // b AS t, string_agg(s::VARCHAR, '' ORDER BY action) AS bucket FROM sg, bits GROUP BY vec_id, t),
+cd AS (SELECT DISTINCT x.vec_id AS q, y.vec_id AS id FROM bk x JOIN bk y ON x.t = y.t AND x.bucket = y.bucket),
+sc AS (SELECT q, id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM cd JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = id),
+tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS rank FROM sc) WHERE rank <= 10)"""
+
+
+@query("j2_approximate_vector_candidates", S.with_(BUCKETED) + "SELECT q, id, round(score, 6) AS score, rank FROM tk")
 def approximate(spark, sf_dir):
     mem = tables.vectors(spark, sf_dir)
     return shape(V.bucketed_vector_topk(mem, mem.withColumnRenamed("id", "q"), 10, 64))
 
 
-@query("j2_recall_against_exact")
+@query(
+    "j2_recall_against_exact",
+    S.with_(BUCKETED, "ex AS (SELECT * FROM (SELECT a.vec_id AS q, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b) WHERE rank <= 10)")
+    + "SELECT ex.q, count(tk.id) / 10.0::DOUBLE AS recall FROM ex LEFT JOIN tk ON tk.q = ex.q AND tk.id = ex.id GROUP BY ex.q",
+)
 def approximate_recall(spark, sf_dir):
     """Per query share of the exact ten nearest that the bucketed search also returns."""
     mem = tables.vectors(spark, sf_dir)
