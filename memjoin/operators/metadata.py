@@ -103,11 +103,12 @@ def metadata_scores(values: DataFrame, buckets: DataFrame, cards: DataFrame, lim
     return top_k(joined.select("q", "id", total.alias("score"), "sources"), "q", limit)
 
 
-def metadata_graph(index: DataFrame, specs: list[tuple[str, str, float, int]] = EDGE_SPECS) -> DataFrame:
+def metadata_graph(index: DataFrame, specs: list[tuple[str, str, float, int]] = EDGE_SPECS, only: DataFrame | None = None) -> DataFrame:
     """(source, target, type, weight, edge_rank): every card linked to its neighbours in id order inside each value bucket.
 
     One distributed sort numbers all buckets; neighbours meet by equal position, so a large bucket costs its rows times
-    the reach, never its square. The sorted rows are written first because numbering reads them twice.
+    the reach, never its square. The sorted rows are written first because numbering reads them twice. With `only` (id),
+    nothing but the edges of those sources is made.
     """
     fields = [s[0] for s in specs]
     held = index.where(F.col("field").isin(fields)).select(F.concat_ws(":", "source", "field").alias("bucket"), "field", "value", "id")
@@ -119,6 +120,8 @@ def metadata_graph(index: DataFrame, specs: list[tuple[str, str, float, int]] =
         F.array(*[F.struct(F.lit(n).alias("order"), F.lit(s[1]).alias("type"), F.lit(s[2]).alias("weight"), F.lit(s[3]).alias("reach")) for n, s in enumerate(specs)]),
     )
     asked = lines.select("bucket", "value", F.col("id").alias("source"), "pos", F.try_element_at(spec, F.col("field")).alias("s"))
+    if only is not None:
+        asked = asked.join(only.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
     steps = F.filter(F.sequence(-F.col("s.reach"), F.col("s.reach")), lambda d: d != 0)
     asked = asked.select("bucket", "value", "source", "s", "pos", F.explode(steps).alias("d")).select("bucket", "value", "source", "s", (F.col("pos") + F.col("d")).alias("pos"))
     met = asked.join(lines.select("bucket", "value", "pos", F.col("id").alias("target")), ["bucket", "value", "pos"]).where(F.col("source") != F.col("target"))

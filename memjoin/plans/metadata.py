@@ -95,8 +95,8 @@ def j8(spark, sf_dir):
     return rounded(scored(spark, sf_dir).select("q", "id", "score", F.array_join("sources", ",").alias("sources"), F.col("rank").cast("bigint").alias("rank")))
 
 
-def graph(spark, sf_dir):
-    return M.metadata_graph(M.metadata_index(tables.memories(spark, sf_dir)))
+def graph(spark, sf_dir, only=None):
+    return M.metadata_graph(M.metadata_index(tables.memories(spark, sf_dir)), only=only)
 
 
 @query("j9_metadata_graph", S.with_(S.MEM, S.QRY, ORIGINAL, GRAPH) + "SELECT source, target, type, weight, edge_rank FROM gr")
@@ -105,8 +105,10 @@ def j9(spark, sf_dir):
 
 
 def graph_scored(spark, sf_dir, vector, token, meta):
-    seeds = M.graph_seeds([(vector, HEAD), (token, HEAD), (meta, HEAD)])
-    return M.graph_scores(seeds, graph(spark, sf_dir), tables.memories(spark, sf_dir), PER_SEED, LIMIT)
+    from memjoin.session import cut_lineage
+
+    seeds = cut_lineage(M.graph_seeds([(vector, HEAD), (token, HEAD), (meta, HEAD)]))
+    return M.graph_scores(seeds, graph(spark, sf_dir, seeds), tables.memories(spark, sf_dir), PER_SEED, LIMIT)
 
 
 @query("j10_graph_scores", S.with_(BOTH_RANKED, GRAPH, SEEDS) + "SELECT q, id, round(score, 6) AS score, sources, rank FROM gt")

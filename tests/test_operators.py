@@ -197,3 +197,49 @@ def test_growth_keeps_the_relevant_cards_ranked(spark):
     grown = mem.unionByName(A.growth_cards(case, "unrelated", 15, 3).select("id", "text"))
     for pool in (mem, grown):
         assert idf_token_scores(pool, asked, 100, 3).orderBy("rank").first().id == "m7"
+
+
+def test_file_order_follows_paths_not_sizes(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"n": {i}}}\n' for i in range(5)))
+    (tmp_path / "b.jsonl").write_text("".join(f'{{"n": {i}, "pad": "{"x" * 400}"}}\n' for i in range(100, 150)))
+    found = jsonl.scan(spark, str(tmp_path), "n int", limit=7).orderBy("n").collect()
+    assert [r.n for r in found] == [0, 1, 2, 3, 4, 100, 101]
+    (tmp_path / "c.jsonl").write_text('{"n": 500}\n\n{"n": 501\n')
+    lines = jsonl.scan_text_lines(spark, str(tmp_path))
+    cut = jsonl.sanitized(lines, "n int", offset=54, limit=10)
+    assert [(r.pos, r.kept) for r in cut.orderBy("pos").collect()] == [(54, True), (55, True), (57, False)]
+    assert jsonl.require_kept(cut).count() == 2
+    with pytest.raises(ValueError):
+        jsonl.require_kept(jsonl.sanitized(lines, "n int", offset=57, limit=1))
+
+
+def test_registry_counts_do_not_depend_on_batches(spark):
+    def rows(values):
+        return spark.createDataFrame([("topic", v, 0.9) for v in values], "field string, value string, confidence double")
+
+    seed = P.seed_registry(spark)
+    one = rows(["a", "b", "a"])
+    first, known = P.record_predictions(seed, one), P.field_values(one)
+    two = rows(["c", "d", "b"])
+    second = P.record_predictions(first, two, known).where("name = 'topic'").first()
+    assert (second.seen_count, second.distinct_count) == (6, 4)
+    assert P.field_values(two, known).count() == 4
+
+
+def test_promotion_raises_the_version_once(spark):
+    preds = spark.createDataFrame([(f, f"v{i}", 0.95) for f in ("new_a", "new_b") for i in range(30)], "field string, value string, confidence double")
+    before = P.record_predictions(P.seed_registry(spark), preds, version=3)
+    gates = spark.createDataFrame([("new_a", 0.1), ("new_b", 0.1)], "field string, value double")
+    after = P.promote_ready(before, gates, gates.limit(0), version=3)
+    assert {r.version for r in after.where("name like 'new%'").collect()} == {4}
+    assert P.raised_version(before, after, 3) == 4 and P.raised_version(after, after, 4) == 4
+
+
+def test_no_machine_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from memjoin.session import scratch_dir
+
+    remote = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        scratch_dir(remote)
