@@ -1,6 +1,6 @@
 """Substring dedup with repeated-phrase automata: words of passages of 50 words that an earlier document also has.
 
-1. Minimizer phrases of 16 words are counted over all documents; those of two documents recur.
+1. Minimizer phrases of 25 words are counted over all documents; those of two documents recur.
 2. Documents with recurring phrases are dealt out evenly; each shard compiles the recurring phrases of its documents into an
    Aho-Corasick automaton (pyahocorasick) and streams the documents through it to locate every occurrence.
 3. Each window of 50 words around an occurrence is confirmed exactly: the smallest document of every window is found by one
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from memjoin.llm.common import BYTE_BASE, LOC, OCTET, WORD_BASE, Rolling, documents, located, octets, text_rows, word_bounds, written
 from memjoin.llm.seeds import chosen, survey, with_recurring
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 25
 
 
 def plain(text: bytes) -> tuple[bytes, int]:
