@@ -150,6 +150,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     going = surveyed.join(going.select("rid"), "rid", "left_semi")
     pairs = going.select("doc_id", F.explode("seeds").alias("seed"))
     recurring = pairs.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed")
+    recurring = written(recurring, "recurring")  # likewise for a frequent phrase
     candidates = written(candidate_windows(with_recurring(docs, going, recurring), gram, window), "windows")
     rows = candidates.select("rid", "doc_id", F.arrays_zip("starts", "hashes").alias("w")).select("rid", "doc_id", F.inline("w"))
     first = rows.groupBy("hashes").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hashes", "low")
