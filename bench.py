@@ -22,6 +22,13 @@ HEADLINE = [
     "a5_metric_rollup",
     "f21_rule_field_extraction",
     "t2_memory_state_fold",
+    "j19_collision_candidates",
+    "j22_hybrid_vector_token",
+    "j34_basin_descent",
+    "relevance_verbatim",
+    "a6_bootstrap_ci",
+    "p11_retrieval_pair_rows",
+    "s3_sanitize_and_slice",
 ]
 
 
