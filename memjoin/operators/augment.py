@@ -120,6 +120,23 @@ def decoy_cards(questions: DataFrame, donors: DataFrame, count: int, templates:
     return stable_row_pick(base, state, "g", "donor").drop("g")
 
 
+def legacy_states(decoys: DataFrame, project: Column, templates: list[tuple] = LEGACY_DECOYS) -> DataFrame:
+    """Decoys of the legacy style: usage state by family in place of the donor's, age moved by the hash of `key:age`."""
+
+    def of(place: int, kind: str) -> Column:
+        out = F.lit(None).cast(kind)
+        for family, _, state in templates:
+            out = F.when(F.col("role") == family, F.lit(state[place]).cast(kind)).otherwise(out)
+        return out
+
+    moved = umod(fnv1a64(F.concat("key", F.lit(":age"))), 9)
+    state = {
+        "summary": F.lit(""), "cluster": project, "age_days": of(0, "bigint") + moved, "use_count": of(1, "bigint"), "evidence_count": of(2, "bigint"),
+        "last_outcome": of(3, "string"), "importance": of(4, "double"),
+    }
+    return decoys.withColumns(state)
+
+
 def training_labels(decoys: DataFrame, include_weight: float, label_weight: float, max_rank: int = 16) -> DataFrame:
     """Decoys as training rows: fixed labels and weights, hash-drawn base rank and score."""
     rank = 1 + umod(fnv1a64(F.concat("key", F.lit(":rank"))), max_rank)

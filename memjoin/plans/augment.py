@@ -44,7 +44,7 @@ def p15_cards(spark, sf_dir):
 QUESTIONS = RQ.CARDS + ",\n" + RQ.REL + """,
 ps AS (SELECT r.q, string_agg(c.text, ' ' ORDER BY c.id) AS positive, string_agg(c.id, ',' ORDER BY c.id) AS relevant FROM rel r JOIN cards c USING (q, id) GROUP BY r.q),
 qs AS (SELECT t.q AS uid, 'qa' || t.q AS qa_id, t.query, CASE WHEN t.q % 2 = 0 THEN '' ELSE 'answer ' || t.q END AS answer, substr(coalesce(p.positive, ''), 1, 360) AS positive, coalesce(p.relevant, '') AS relevant FROM task t LEFT JOIN ps p USING (q)),
-dn AS (SELECT q AS uid, id AS donor, importance, row_number() OVER (PARTITION BY q ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY q) AS c FROM cards ANTI JOIN rel USING (q, id))"""
+dn AS (SELECT q AS uid, id AS donor, importance, row_number() OVER (PARTITION BY q ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY q) AS c FROM (FROM cards ANTI JOIN rel USING (q, id) UNION ALL FROM cards WHERE q NOT IN (SELECT q FROM cards ANTI JOIN rel USING (q, id))))"""
 
 
 def questions(spark, sf_dir):
@@ -62,7 +62,10 @@ def questions(spark, sf_dir):
 
 
 def donors(spark, sf_dir):
-    cards = records.cards(spark, sf_dir).join(records.relevance(spark, sf_dir), ["q", "id"], "left_anti")
+    """Cards that are not relevant; all cards of a record where every one is."""
+    every = records.cards(spark, sf_dir)
+    free = every.join(records.relevance(spark, sf_dir), ["q", "id"], "left_anti")
+    cards = free.unionByName(every.join(free.select("q").distinct(), "q", "left_anti"))
     return cards.select(
         F.col("q").alias("uid"), F.concat(F.lit("qa"), F.col("q").cast("string")).alias("qa_id"), "id", F.col("text").alias("summary"), "cluster", "importance", "age_days", "use_count", "evidence_count", "last_outcome"
     )
@@ -109,6 +112,19 @@ def p17(spark, sf_dir):
     return eval_decoys(spark, sf_dir).select("uid", "id", "role", F.md5("text").alias("text"))
 
 
+_legacy = "SELECT * FROM (VALUES " + ", ".join(f"('{t[0]}', {t[2][0]}, {t[2][1]}, {t[2][2]}, '{t[2][3]}', {t[2][4]}::DOUBLE)" for t in A.LEGACY_DECOYS) + ") t(role, age, uses, evidence, outcome, weight)"
+
+
+@query(
+    "p17_legacy_decoys",
+    S.with_(QUESTIONS, decoy_sql(4, A.LEGACY_DECOYS, A.EVAL_FALLBACK, "adversarial_eval::"), f"ls AS ({_legacy})")
+    + f"SELECT uid, id, role, md5(text) AS text, 'memory' AS cluster, age + ({S.fnv(chr(100) + '.key || ' + chr(39) + ':age' + chr(39))} % 9)::BIGINT AS age_days, uses::BIGINT AS use_count, evidence::BIGINT AS evidence_count, outcome AS last_outcome, weight AS importance FROM dec d JOIN ls USING (role)",
+)
+def p17_legacy(spark, sf_dir):
+    decoys = A.decoy_cards(questions(spark, sf_dir), donors(spark, sf_dir), 4, A.LEGACY_DECOYS, A.EVAL_FALLBACK, "adversarial_eval::")
+    return A.legacy_states(decoys, F.lit("memory")).select("uid", "id", "role", F.md5("text").alias("text"), "cluster", "age_days", "use_count", "evidence_count", "last_outcome", "importance")
+
+
 @query("p16_donor_state", S.with_(QUESTIONS, EVAL_SQL) + "SELECT uid, id, donor, importance FROM dec")
 def p16(spark, sf_dir):
     return eval_decoys(spark, sf_dir).select("uid", "id", "donor", "importance")
