@@ -275,15 +275,22 @@ def ended(links: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     return links.join(first, "a").join(second, "b")
 
 
+def nearest(links: DataFrame) -> DataFrame:
+    """Of the links (a, b, apart) those that are the nearest one, the nearest earlier or the nearest later one of an end."""
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other"), "apart").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"), "apart"))
+    sides = ends.groupBy("node", (F.col("other") < F.col("node")).alias("earlier")).agg(F.min(F.struct("apart", "other")).alias("best"))
+    return sides.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
+
+
 def alike(links: DataFrame, prints: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links whose whole texts have a Jaccard similarity of word shingles of at least `similarity`.
 
     What travels grows from step to step while the links get fewer: the fingerprints, which are some bits apart on average
-    (`FAR`); sketches of the smallest hashes, exact for short texts; the whole sets for what is left of the long ones.
+    (`FAR`), of which each text keeps its nearest; sketches of the smallest hashes, exact for short texts; the whole sets for what is left of the long ones.
     """
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
-    near = ended(links, prints, "prints").where(apart <= FAR * F.size("x")).select("a", "b")
-    near = written(near, "near")
+    near = ended(links, prints, "prints").select("a", "b", apart.alias("apart"), F.size("x").alias("tables")).where(F.col("apart") <= FAR * F.col("tables"))
+    near = written(nearest(near), "near")
     ends = near.select(F.col("a").alias("rid")).unionByName(near.select(F.col("b").alias("rid"))).distinct()
     wanted = prints.select("rid", "file", "row").join(ends, "rid")
     sets = written(shingle_sets(texts.join(wanted, ["file", "row"]), words), "shingles")
