@@ -67,7 +67,7 @@ def survey(docs: DataFrame, prepare: Callable[[bytes], tuple[bytes, int]], symbo
 
 def with_recurring(docs: DataFrame, surveyed: DataFrame, recurring: DataFrame) -> DataFrame:
     """(rid, doc_id, text, found) of the surveyed rows that hold seeds of `recurring`; `found` lists its rows as structs."""
-    held = surveyed.select("rid", F.explode("seeds").alias("seed"))  # a seed may stand in a text twice, and then twice in `found`
+    held = surveyed.select("rid", F.explode(F.array_distinct("seeds")).alias("seed"))
     found = held.join(recurring, "seed").groupBy("rid").agg(F.collect_list(F.struct(*recurring.columns)).alias("found"))
     rows = surveyed.select("rid", "file", "row").join(found, "rid")
     placed = located(docs.select("doc_id", "text"))
