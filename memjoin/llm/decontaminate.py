@@ -1,14 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
 
 The test items are a stated query set: they go to the tasks in blocks of at most `block_items` items and `block_bytes` bytes,
-and every block meets all documents. A first pass counts in how many documents each n-gram of the items occurs. The seeds of
-an item are its rarer n-grams, those not above the median of its counts, so each item has seeds even if all documents hold
-it. A second pass finds the seeds in whole texts, groups the hits of an item along diagonals, and aligns the words around
-each group with the item (match 2, mismatch -1, gap -1). The score is the best alignment over a perfect one.
+and every block meets all documents in one pass. The score is the best local alignment of the item with the whole text (match
+2, mismatch -1, gap -1) over a perfect one.
+
+The seeds lose no pair that reaches the threshold. Two words that follow each other in an alignment have c edits between
+them; with c of 0 or 1 they are a pair of words one or two places apart in the item and in the text. Such a pair weighs 2 - c.
+An alignment of score s with m matches and e = 2m - s edits has pairs that weigh 2(m - 1) - e = s - 2 in all, and its gaps
+keep the diagonals of its matches within 2n - s of each other, n being the words of the item. So a text is aligned where pairs
+of that weight stand within so many diagonals, on all words that such an alignment can reach.
 
 Defined cases: words are lower-cased runs of letters, digits and non-ASCII characters; an item without words has no hits; an
-item shorter than a seed is its own seed; null and empty texts have no hits; repeated rows and repeated items give a row for
-each pair; empty tables give no rows; other columns are not read.
+item shorter than `size` words is its own seed; null and empty texts have no hits; repeated rows and repeated items give a row
+for each pair; empty tables give no rows; other columns are not read. With a threshold that one matching word of an item of
+`size` words reaches, one pair is asked for.
 """
 
 from __future__ import annotations
@@ -20,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memjoin.llm.common import BYTE_BASE, OCTET, WORD_BASE, Rolling, documents, drop_rows, located, octets, text_rows, word_bounds
+from memjoin.llm.common import BYTE_BASE, OCTET, WORD_BASE, Rolling, documents, drop_rows, located, mix, octets, text_rows, word_bounds
 from memjoin.llm.licenses import FOLD, SEPARATORS
 
-SEED_WORDS = 4
+SEED_WORDS = 4  # shorter items are matched as they stand
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 PAIRS_AT_ONCE = 256
+HITS_AT_ONCE = 1 << 21
 
 
 class Words:
@@ -50,70 +56,60 @@ class Words:
         return self.chain.slices(self.chain.prefix(words), starts, starts + size), starts
 
 
+def pairs(words: np.ndarray, owner: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word with the one `step` places later in its row, and the place of the first."""
+    starts = np.flatnonzero(owner[:-step] == owner[step:])
+    return mix(words[starts] * WORD_BASE + words[starts + step]), starts
+
+
 class Items:
-    """A block of test items: their words and n-grams (gram, item, place), ordered by gram."""
+    """A block of test items: their words and seeds (gram, item, place, weight, length), ordered by gram.
 
-    def __init__(self, ids: list, texts: list[str | None], size: int):
+    Seeds of length 0 are pairs of words; an item of fewer than `size` words has itself as its only seed, of its length.
+    """
+
+    def __init__(self, ids: list, texts: list[str | None], size: int, threshold: float = THRESHOLD):
         words = Words()
         hashed, owner = words.of([(t or "").encode() for t in texts])
         self.ids = ids
         self.starts = np.searchsorted(owner, np.arange(len(ids) + 1))
         self.words = hashed
         self.sizes = np.diff(self.starts)
-        grams, at, length = [], [], []
-        for n in range(1, size + 1):  # items shorter than a seed are their own seed
+        least = np.ceil(MATCH * threshold * self.sizes - 1e-9).astype(np.int64)
+        self.need = np.where(self.sizes < size, 0, np.maximum(least - MATCH, 1))
+        self.reach = np.maximum(MATCH * self.sizes - least, 0)
+        grams, at, length, step = [], [], [], []
+        for n in range(1, size):
             found, starts = words.grams(hashed, owner, n)
-            fit = np.minimum(self.sizes[owner[starts]], size) == n
+            fit = self.sizes[owner[starts]] == n
             grams.append(found[fit])
             at.append(starts[fit])
             length.append(np.full(int(fit.sum()), n))
-        grams, at, length = map(np.concatenate, (grams, at, length))
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.item, self.length = grams[order], owner[at[order]], length[order]
-        self.place = at[order] - self.starts[self.item]
-
-    def keep(self, rare: np.ndarray) -> None:
-        self.grams, self.item, self.length, self.place = self.grams[rare], self.item[rare], self.length[rare], self.place[rare]
-
-
-def hits(items: Items, words: Words, hashed: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(place in the texts, first and past-last posting of the gram) for each gram of the texts that an item has."""
-    for n in np.unique(items.length):
-        grams, starts = words.grams(hashed, owner, int(n))
-        low, high = np.searchsorted(items.grams, grams, side="left"), np.searchsorted(items.grams, grams, side="right")
-        found = high > low
-        yield starts[found], low[found], high[found]
-
-
-def document_counts(docs: DataFrame, shared) -> dict[int, int]:
-    """In how many documents each gram of the block occurs; at most a row for each gram of the block reaches the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, words = shared.value, Words()
-        total = np.zeros(len(items.grams), dtype=np.int64)
-        for batch in batches:
-            for _, rows in text_rows(batch, "text"):
-                hashed, owner = words.of(rows)
-                for at, low, _ in hits(items, words, hashed, owner):
-                    once = np.unique(np.stack([owner[at], low]), axis=1)
-                    total += np.bincount(once[1], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {row["gram"]: row["n"] for row in counted.collect()}
-
-
-def rarer_half(items: Items, seen: dict[int, int]) -> np.ndarray:
-    """The grams of each item whose count is not above the median of the item's counts."""
-    first = np.searchsorted(items.grams, items.grams, side="left")
-    count = np.array([seen.get(int(g), 0) for g in first], dtype=np.int64)
-    rare = np.zeros(len(count), dtype=bool)
-    order = np.argsort(items.item, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(items.item[order])) + 1):
-        if len(part):
-            rare[part] = count[part] <= np.sort(count[part])[(len(part) - 1) // 2]
-    return rare
+            step.append(np.zeros(int(fit.sum()), np.int64))
+        for apart in (1, 2):
+            found, starts = pairs(hashed, owner, apart)
+            fit = self.sizes[owner[starts]] >= size
+            grams.append(found[fit])
+            at.append(starts[fit])
+            length.append(np.zeros(int(fit.sum()), np.int64))
+            step.append(np.full(int(fit.sum()), apart))
+        grams, at, length, step = map(np.concatenate, (grams, at, length, step))
+        order = np.lexsort((grams, length))
+        self.item, self.place, self.step = owner[at[order]], (at - self.starts[owner[at]])[order], step[order]
+        cuts = np.searchsorted(length[order], np.arange(size + 1))
+        self.seeds = {n: (int(cuts[n]), grams[order][cuts[n] : cuts[n + 1]]) for n in range(size) if cuts[n] < cuts[n + 1]}
+
+
+def hits(items: Items, words: Words, hashed: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the texts, first and past-last posting, words apart in the text) for each seed that stands in the texts."""
+    out = []
+    for n, (base, seeds) in items.seeds.items():
+        for step in (1, 2) if n == 0 else (0,):
+            grams, starts = pairs(hashed, owner, step) if n == 0 else words.grams(hashed, owner, n)
+            low, high = np.searchsorted(seeds, grams, side="left"), np.searchsorted(seeds, grams, side="right")
+            found = high > low
+            out.append((starts[found], base + low[found], base + high[found], np.full(int(found.sum()), step)))
+    return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int64),) * 4
 
 
 def align(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
@@ -136,19 +132,27 @@ def align(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def groups(items: Items, at, low, high, first: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(row, item, from, to) around hits of one item whose diagonals are near each other; places are in the texts."""
+def groups(items: Items, at, low, high, apart, first: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(row, item, from, to) where the seeds of an item allow the threshold; places are in the texts."""
     fan = high - low
     posting = np.repeat(low, fan) + np.arange(int(fan.sum())) - np.repeat(np.cumsum(fan) - fan, fan)
-    place = np.repeat(at, fan)
-    item, row = items.item[posting], owner[place]
-    diagonal = place - items.place[posting]
-    order = np.lexsort((diagonal, item, row))
-    row, item, diagonal = row[order], item[order], diagonal[order]
-    apart = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > items.sizes[item[1:]] // 2 + 2)
+    place, item = np.repeat(at, fan), items.item[posting]
+    row, diagonal = owner[place], place - items.place[posting]
+    weight = np.where((items.step[posting] == 1) & (np.repeat(apart, fan) == 1), 2, 1)
+    pair = row * len(items.ids) + item
+    stride = int(diagonal.max() - diagonal.min() + items.reach.max() + 1)
+    order = np.argsort(pair * stride + (diagonal - diagonal.min()), kind="stable")
+    pair, item, diagonal, row = pair[order], item[order], diagonal[order], row[order]
+    line = pair * stride + (diagonal - diagonal.min())
+    total = np.concatenate([[0], np.cumsum(weight[order])])
+    begins = total[np.searchsorted(line, line + items.reach[item], side="right")] - total[:-1] >= items.need[item]
+    row, item, diagonal, pair = row[begins], item[begins], diagonal[begins], pair[begins]
+    if not len(row):
+        return []
+    apart = (pair[1:] != pair[:-1]) | (diagonal[1:] - diagonal[:-1] > items.reach[item[1:]])
     begin = np.concatenate([[0], np.flatnonzero(apart) + 1])
     end = np.append(begin[1:], len(row)) - 1
-    pad = items.sizes[item[begin]] // 2 + 2
+    pad = items.reach[item[begin]]
     start = np.maximum(diagonal[begin] - pad, first[row[begin]])
     stop = np.minimum(diagonal[end] + items.sizes[item[begin]] + pad, first[row[begin] + 1])
     return list(zip(row[begin].tolist(), item[begin].tolist(), start.tolist(), stop.tolist()))
@@ -164,10 +168,11 @@ def aligned(docs: DataFrame, shared, threshold: float, kinds: tuple[str, str]) -
             for base, rows in text_rows(batch, "text"):
                 hashed, owner = words.of(rows)
                 first = np.searchsorted(owner, np.arange(len(rows) + 1))
-                todo = []
-                for at, low, high in hits(items, words, hashed, owner):
-                    if len(at):
-                        todo += groups(items, at, low, high, first, owner)
+                todo, found_at = [], hits(items, words, hashed, owner)
+                load = np.cumsum(np.bincount(owner[found_at[0]], found_at[2] - found_at[1], len(rows))).astype(np.int64) // HITS_AT_ONCE
+                for part in np.unique(load[owner[found_at[0]]]):  # whole rows, about `HITS_AT_ONCE` hits at a time
+                    mine = load[owner[found_at[0]]] == part
+                    todo += groups(items, *(column[mine] for column in found_at), first, owner)
                 todo.sort(key=lambda g: g[3] - g[2])  # like lengths side by side
                 for cut in range(0, len(todo), PAIRS_AT_ONCE):
                     part = todo[cut : cut + PAIRS_AT_ONCE]
@@ -206,8 +211,7 @@ def contaminated(
     for block in range(blocks):
         mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block
         rows = bench.where(mine).collect()  # a block of the query set, bounded by its parameters
-        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], size)
-        items.keep(rarer_half(items, document_counts(texts, spark.sparkContext.broadcast(items))))
+        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], size, threshold)
         found = aligned(texts, spark.sparkContext.broadcast(items), threshold, kinds)
         out = found if out is None else out.unionByName(found)
     return out

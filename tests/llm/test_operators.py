@@ -276,6 +276,36 @@ def test_decontamination(spark, docs):
     assert sorted(r.doc_id for r in left.collect()) == [*range(30), 43, 44]
 
 
+def test_decontamination_finds_edited_copies(spark):
+    rng = random.Random(11)
+
+    def edit(words, share):
+        out = []
+        for word in words:
+            out += [word] if rng.random() >= share else rng.choice([[], [f"x{rng.randrange(10**6)}"], [word, f"y{rng.randrange(10**6)}"]])
+        return out
+
+    items = [cases.prose(rng, rng.randrange(20, 50)) for _ in range(24)] + [cases.prose(rng, n) for n in (4, 5, 6, 7)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    data = [(i, cases.prose(rng, 200)) for i in range(20)]
+    for number, item in enumerate(items):
+        words = item.split()
+        texts = [edit(words, share) for share in (0.15, 0.2, 0.3)]
+        texts.append([w for word in words for w in (word, "between")])
+        texts.append(words[: len(words) // 2] + cases.prose(rng, len(words) // 2).split() + words[len(words) // 2 :])
+        texts += [words] * 3 if number % 2 else []  # alone, and beside exact copies
+        data += [(len(data) + i, f"{cases.prose(rng, 15)} {' '.join(text)} {cases.prose(rng, 15)}") for i, text in enumerate(texts)]
+    expected = {}
+    for doc, text in data:
+        for number, item in enumerate(items):
+            share = plain.align(item.split(), text.split()) / (2 * len(item.split()))
+            if share >= decontaminate.THRESHOLD:
+                expected[doc, number] = pytest.approx(share)
+    found = decontaminate.contaminated(cases.table(spark, data), bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == expected
+    assert len(expected) > 100
+
+
 def test_alignment():
     rng = np.random.default_rng(2)
     items = [rng.integers(0, 5, rng.integers(1, 12)).astype(np.uint64) for _ in range(40)]
