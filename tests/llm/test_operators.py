@@ -218,6 +218,27 @@ def test_near_copies(spark):
     assert sorted(r.doc_id for r in left.collect()) == [*range(12), 200, 201, 202]
 
 
+def shingle_jaccard(x, y, size=5):
+    a, b = ({tuple(words[i : i + size]) for i in range(len(words) - size + 1)} for words in (x.split(), y.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_with_contiguous_edits(spark):
+    rng = random.Random(17)
+    data, pairs = [], 0
+    for i in range(40):
+        n = rng.randrange(100, 600)
+        words, other = cases.prose(rng, n, 3000).split(), cases.prose(rng, n, 3000).split()
+        copies = [words[: int(n * 0.83)], words + other[: int(n * 0.22)], words[: n // 2] + other[: n // 16] + words[n // 2 + n // 16 :]]
+        data.append((i, " ".join(words)))
+        for copy, edited in enumerate(copies):
+            assert shingle_jaccard(data[-1 - copy][1], " ".join(edited)) >= 0.8
+            data.append((1000 * (copy + 1) + i, " ".join(edited)))
+            pairs += 1
+    left = sorted(r.doc_id for r in simhash.drop_near_copies(cases.table(spark, data)).collect())
+    assert pairs == 120 and left == list(range(40))
+
+
 def test_components(spark):
     chain = spark.range(1, 300).selectExpr("id as a", "id - 1 as b")
     other = spark.createDataFrame([(1000, 1001), (1002, 1001), (5000, 5000)], "a bigint, b bigint")
