@@ -296,19 +296,28 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
 
     Texts are candidates if one of `bands` bands of `BAND` minima of their `words`-word shingles is equal, wherever the texts
     differ: at Jaccard 0.8 all but 0.04 % of the pairs, at 0.5 half of them. Each is verified on the sets of shingles of both
-    whole texts. Texts without words stay. A row meets only the first row of its band.
+    whole texts. A row whose link to the first row of its band fails is offered the next rows of those that failed, twice as
+    many in each round, until one passes or none is left. Texts without words stay.
     """
     placed = located(docs.select("doc_id", "text"))
     texts = placed.select("text", F.col(LOC)["file"].alias("file"), F.col(LOC)["row"].alias("row"))
     prints = banded(placed.drop(LOC), words, bands)
-    rows = prints.select("rid", F.explode("keys").alias("key"))
-    dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", "rid")
-    offered = dealt.select("key", "rid").mapInArrow(offers(1), "key bigint, a bigint, b bigint, last boolean")
-    links = written(offered.select("a", "b").distinct(), "links")
-    ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).distinct()
-    wanted = prints.select("rid", "file", "row").join(ends, "rid")
-    sets = written(shingle_sets(texts.join(wanted, ["file", "row"]), words), "shingles")
-    good = alike(links, sets, similarity)
+    rows, sets, good, leaders = prints.select("rid", F.explode("keys").alias("key")), None, None, 1
+    while True:
+        dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", "rid")
+        offered = written(dealt.select("key", "rid").mapInArrow(offers(leaders), "key bigint, a bigint, b bigint, last boolean"), "offered")
+        if offered.isEmpty() and good is not None:
+            break
+        links = offered.select("a", "b").distinct()
+        if sets is None:
+            ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).distinct()
+            wanted = prints.select("rid", "file", "row").join(ends, "rid")
+            sets = written(shingle_sets(texts.join(wanted, ["file", "row"]), words), "shingles")
+        passed = written(alike(links, sets, similarity), "passed")
+        good = passed if good is None else good.unionByName(passed)
+        judged = offered.where("last").join(passed.withColumn("good", F.lit(1)), ["a", "b"], "left")
+        rows = judged.groupBy("key", F.col("b").alias("rid")).agg(F.max("good").alias("good")).where("good IS NULL").select("rid", "key")
+        leaders *= 2
     groups = components(good, "a", "b").join(prints.select(F.col("rid").alias("node"), "doc_id", "file", "row"), "node")
     stays = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("stay"))
     return groups.join(stays, "root").where(F.col("stay.node") != F.col("node")).select("file", "row")

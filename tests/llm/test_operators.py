@@ -239,6 +239,22 @@ def test_near_copies_with_contiguous_edits(spark):
     assert pairs == 120 and left == list(range(40))
 
 
+def test_near_copies_behind_nearer_bags(spark):
+    """Rows with the words of others in another order, and a crowd that shares a band but not the similarity."""
+    rng = random.Random(18)
+    data = []
+    for i in range(12):
+        words = cases.prose(rng, 200, 3000).split()
+        shuffled = [rng.sample(words, len(words)) for _ in range(3)]
+        edited = words[:90] + [f"e{j}" for j in range(4)] + words[94:]
+        data += [(100 * i + j, " ".join(w)) for j, w in enumerate([*shuffled, words, edited])]
+    shared = cases.prose(rng, 150, 3000)
+    crowd = [f"{shared} {cases.prose(rng, 50, 3000)}" for _ in range(30)]  # 0.6 alike
+    data += [(5000 + j, text) for j, text in enumerate(crowd)] + [(6000 + j, text + " more words") for j, text in enumerate(crowd)]
+    left = sorted(r.doc_id for r in simhash.drop_near_copies(cases.table(spark, data)).collect())
+    assert left == sorted([100 * i + j for i in range(12) for j in range(4)] + [5000 + j for j in range(30)])
+
+
 def test_components(spark):
     chain = spark.range(1, 300).selectExpr("id as a", "id - 1 as b")
     other = spark.createDataFrame([(1000, 1001), (1002, 1001), (5000, 5000)], "a bigint, b bigint")
