@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memjoin.llm import decontaminate, exact_dedup, licenses, packing, perplexity, phrases, pii, repeats, sharding, simhash
+from memjoin.llm import decontaminate, exact_dedup, licenses, merkle, packing, perplexity, phrases, pii, repeats, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op8_pii": (pii.op8_pii, None),
     "op9_decontaminate": (decontaminate.op9_decontaminate, None),
     "op10_licenses": (licenses.op10_licenses, None),
+    "op13_merkle_manifest": (merkle.op13_merkle_manifest, merkle.OP13_SQL),
 }
 
 

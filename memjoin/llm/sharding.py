@@ -87,12 +87,13 @@ for _bit in range(8):
     _BIT_ENTRIES.append(_value)
 
 
-def _crc_sql() -> str:
+def crc_sql(string: str = "coalesce(text, '')") -> str:
+    """The unsigned CRC-32 of a string expression's UTF-8 bytes, in DuckDB SQL."""
     entry = "0::BIGINT"
     for bit, value in enumerate(_BIT_ENTRIES):
         entry = f"xor({entry}, (((c & 255) >> {bit}) & 1) * {value}::BIGINT)"
     step = entry.replace("c & 255", "xor(c, x) & 255")
-    octet_list = "list_transform(range(1, strlen(coalesce(text, '')) + 1), lambda i: ('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i - 1, 2))::BIGINT)"
+    octet_list = f"list_transform(range(1, strlen({string}) + 1), lambda i: ('0x' || substr(hex(encode({string})), 2 * i - 1, 2))::BIGINT)"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octet_list}), lambda c, x: xor(c >> 8, {step})), 4294967295::BIGINT)"
 
 
@@ -104,7 +105,7 @@ WITH sized AS (
 placed AS (
   SELECT doc_id, size, place, text, (list_position(bids[1:16], list_max(bids[1:16])) - 1)::INTEGER AS shard,
          (list_position(bids, list_max(bids)) - 1)::INTEGER AS grown_shard FROM sized)
-SELECT doc_id, size, {_crc_sql()} AS text_crc32, 'key' AS law, shard,
+SELECT doc_id, size, {crc_sql()} AS text_crc32, 'key' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, size) - 1 AS slot, grown_shard
 FROM placed
 """
