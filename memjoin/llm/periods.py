@@ -126,13 +126,12 @@ class Texts:
         starts, ends, periods = starts[order], ends[order], periods[order]
         found_at, found_by = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in np.flatnonzero((periods[1:] == periods[:-1]) & (starts[1:] <= ends[:-1])):
-            period, first, second = int(periods[k]), int(starts[k + 1]), None
+            period, first = int(periods[k]), int(starts[k + 1])
             phases = np.arange(ends[k] - 2 * period + 1, ends[k] - period + 1)
             equal = phases[self.hashes(phases, phases + period) == self.hashes(np.array([first]), np.array([first + period]))]
-            if not len(equal):
+            if not len(equal) or equal[0] >= first:
                 continue
-            second = first - int(equal[0])
-            offsets = np.arange(second, min(ends[k] - starts[k], ends[k + 1] - first) + period + 1, period)
+            offsets = np.arange(first - int(equal[0]), min(ends[k] - starts[k], ends[k + 1] - first) + period + 1, period)
             low = np.maximum(starts[k], first - offsets)
             high = np.minimum(ends[k], ends[k + 1] - offsets)
             fits = high - low >= offsets

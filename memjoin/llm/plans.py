@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memjoin.llm import decontaminate, exact_dedup, licenses, merkle, packing, periods, perplexity, phrases, pii, repeats, sharding, simhash
+from memjoin.llm import decontaminate, edit_prints, exact_dedup, licenses, merkle, packing, periods, perplexity, phrases, pii, repeats, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op9_decontaminate": (decontaminate.op9_decontaminate, None),
     "op10_licenses": (licenses.op10_licenses, None),
     "op11_periodic_runs": (periods.op11_periodic_runs, None),
+    "op12_edit_fingerprints": (edit_prints.op12_edit_fingerprints, None),
     "op13_merkle_manifest": (merkle.op13_merkle_manifest, merkle.OP13_SQL),
 }
 
