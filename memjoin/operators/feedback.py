@@ -72,23 +72,30 @@ def clamped_folds(events: DataFrame, key: str, runs: dict[str, Column], seq: str
             return rows.drop("at")
 
 
-def memory_state(events: DataFrame, slices: int | None = None) -> DataFrame:
-    """Per memory: counts, clamped importance delta and bias, last outcome, sticky protection. `events`: memory_id, seq, outcome, protected."""
-    runs = {
+def memory_runs() -> dict[str, Column]:
+    return {
         "importance": _run(by_outcome(F.col("outcome"), IMPORTANCE_STEP), IMPORTANCE_BOUND),
         "bias": _run(by_outcome(F.col("outcome"), BIAS_STEP), BIAS_BOUND),
     }
-    folds = clamped_folds(events, "memory_id", runs, "seq", slices)
-    plain = events.groupBy("memory_id").agg(
-        F.sum(by_outcome(F.col("outcome"), USE_STEP)).alias("use_count_delta"),
-        F.sum(by_outcome(F.col("outcome"), EVIDENCE_STEP)).alias("evidence_count_delta"),
+
+
+def memory_counts(events: DataFrame) -> DataFrame:
+    """Per memory what does not depend on the clamps: counts, last outcome, sticky protection."""
+    return events.groupBy("memory_id").agg(
+        F.sum(by_outcome(F.col("outcome"), USE_STEP)).cast("bigint").alias("use_count_delta"),
+        F.sum(by_outcome(F.col("outcome"), EVIDENCE_STEP)).cast("bigint").alias("evidence_count_delta"),
         F.max_by("outcome", "seq").alias("last_outcome"),
         F.bool_or("protected").alias("protected"),
         *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in OUTCOMES],
     )
+
+
+def memory_state(events: DataFrame, slices: int | None = None) -> DataFrame:
+    """Per memory: counts, clamped importance delta and bias, last outcome, sticky protection. `events`: memory_id, seq, outcome, protected."""
+    folds = clamped_folds(events, "memory_id", memory_runs(), "seq", slices)
     zero = F.lit(0.0)
-    return plain.join(folds, "memory_id").select(
-        "memory_id", F.col("use_count_delta").cast("bigint").alias("use_count_delta"), F.col("evidence_count_delta").cast("bigint").alias("evidence_count_delta"),
+    return memory_counts(events).join(folds, "memory_id").select(
+        "memory_id", "use_count_delta", "evidence_count_delta",
         _applied(F.col("importance"), zero).alias("importance_delta"), _applied(F.col("bias"), zero).alias("score_bias"), "last_outcome", "protected", *[f"n_{o}" for o in OUTCOMES],
     )
 
@@ -102,12 +109,9 @@ def signature_state(events: DataFrame, slices: int | None = None) -> DataFrame:
 
 def merge_state(current: DataFrame, events: DataFrame) -> DataFrame:
     """State after more events: the new events' runs are applied to the stored values, as if folded one by one."""
-    runs = {
-        "importance": _run(by_outcome(F.col("outcome"), IMPORTANCE_STEP), IMPORTANCE_BOUND),
-        "bias": _run(by_outcome(F.col("outcome"), BIAS_STEP), BIAS_BOUND),
-    }
-    folds = clamped_folds(events, "memory_id", runs, "seq")
-    fresh = memory_state(events).select(F.col("memory_id"), *[F.col(c).alias(f"new_{c}") for c in ("use_count_delta", "evidence_count_delta", "last_outcome", "protected", *[f"n_{o}" for o in OUTCOMES])])
+    folds = clamped_folds(events, "memory_id", memory_runs(), "seq")
+    counts = memory_counts(events)
+    fresh = counts.select("memory_id", *[F.col(c).alias(f"new_{c}") for c in counts.columns if c != "memory_id"])
     joined = current.join(fresh.join(folds, "memory_id"), "memory_id", "full_outer")
     zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
 
@@ -125,6 +129,16 @@ def merge_state(current: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def merge_signatures(current: DataFrame, events: DataFrame) -> DataFrame:
+    """Signature states (signature, bias, n) after more events."""
+    folds = clamped_folds(events, "signature", {"run": _run(by_outcome(F.col("outcome"), SIGNATURE_STEP), SIGNATURE_BOUND)}, "seq")
+    fresh = events.groupBy("signature").agg(F.count(F.lit(1)).alias("new_n"))
+    joined = current.join(fresh.join(folds, "signature"), "signature", "full_outer")
+    start, zero = F.coalesce("bias", F.lit(0.0)), F.lit(0).cast("bigint")
+    moved = F.when(F.col("run").isNotNull(), _applied(F.col("run"), start)).otherwise(start)
+    return joined.select("signature", moved.alias("bias"), (F.coalesce("n", zero) + F.coalesce("new_n", zero)).alias("n"))
+
+
 def feedback_labels(packed: DataFrame, relevance: DataFrame) -> DataFrame:
     """(q, id, outcome): packed and relevant helpful, packed only ignored, relevant only corrected."""
     both = packed.select("q", "id").distinct().withColumn("in_context", F.lit(True)).join(relevance.select("q", "id").distinct().withColumn("relevant", F.lit(True)), ["q", "id"], "full_outer")

@@ -28,7 +28,11 @@ def relevant_counts(relevance: DataFrame) -> DataFrame:
 
 def ranked_metrics(queries: DataFrame, ranked: DataFrame, relevance: DataFrame, context: DataFrame, k: int) -> DataFrame:
     """recall@k, reciprocal rank, context precision / recall, noise; zeros for a query without relevant ids."""
-    rows = flagged(ranked, relevance, context)
+    return flagged_metrics(queries, flagged(ranked, relevance, context), relevant_counts(relevance), k)
+
+
+def flagged_metrics(queries: DataFrame, rows: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """`ranked_metrics` of rows that carry their flags; `relevant`: q, relevant_count."""
     top = F.col("rank") <= k
     sums = rows.groupBy("q").agg(
         F.sum((top & (F.col("is_relevant") == 1)).cast("int")).alias("hits"),
@@ -36,7 +40,7 @@ def ranked_metrics(queries: DataFrame, ranked: DataFrame, relevance: DataFrame,
         F.sum("in_context").alias("included"),
         F.sum(F.col("in_context") * F.col("is_relevant")).alias("context_hits"),
     )
-    base = queries.select("q").join(sums, "q", "left").join(relevant_counts(relevance), "q", "left")
+    base = queries.select("q").join(sums, "q", "left").join(relevant, "q", "left")
     base = base.fillna(0, ["hits", "included", "context_hits", "relevant_count"])
     has = F.col("relevant_count") > 0
 

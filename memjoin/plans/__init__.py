@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "lexical", "scalars", "vectors", "metadata", "graphs", "fields", "packing", "metrics", "rollups", "hashed", "basins", "ingest",
-    "augment", "features", "feedback", "learned",
+    "augment", "features", "feedback", "online", "learned",
 )
 
 

@@ -184,66 +184,36 @@ def t4(spark, sf_dir):
     return rows.select("q", *[B.policy_allows(n, 0.05, 0.6, 0.2).alias(n) for n in names])
 
 
-def state_table(spark, name="state"):
-    from memjoin.streaming.feedback import STATE_DDL, VersionedTable
-
-    return VersionedTable(spark, scratch(spark, name), STATE_DDL)
-
-
 @query("t2_memory_state_stream", S.with_(S.FEEDBACK, STATE) + SHOW_STATE)
 def t2_stream(spark, sf_dir):
-    """The event table as a file stream, folded batch by batch into versioned state; the last version equals the batch fold."""
-    from memjoin.streaming.feedback import fold_stream
+    """The event table as a file stream in four segments, folded into keyed state on disk; the state then equals the batch fold."""
+    from memjoin.streaming import folds
 
-    source = scratch(spark, "events")
+    source, progress = scratch(spark, "events"), scratch(spark, "progress")
     events = tables.feedback_events(spark, sf_dir)
-    quarter = (events.agg(F.max("seq")).first()[0] or 0) // 4 + 1
-    state, progress = state_table(spark), scratch(spark, "progress")
-    for part in range(4):  # log segments arrive in sequence order; each run of the stream takes the files that are new
-        events.where(F.floor(F.col("seq") / quarter) == part).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(events.schema).parquet(source)
-        fold_stream(stream, state, progress).awaitTermination()
-    return rounded(state.read())
-
-
-@query("t5_online_evaluation")
-def t5(spark, sf_dir):
-    """Benchmark passages in four batches; each is ranked under the state the batches before it left behind."""
-    from memjoin.streaming.feedback import evaluate_online
-
-    qry, mem, rel = tables.queries(spark, sf_dir), tables.memories(spark, sf_dir), tables.relevance(spark, sf_dir)
-    base = W.lexical_ranked(spark, sf_dir)
-    from memjoin.session import cut_lineage
+    in_segments(spark, events, source, lambda stream: folds.fold_stream(stream, progress))
+    return rounded(folds.state_table(spark, progress))
 
-    base = cut_lineage(base.select("q", "id", "score", "rank"))
-    cost = cut_lineage(W.costed(spark, sf_dir, mem.select("id")).select("id", "cost"))
-    batches = [qry.where(F.pmod(F.col("q"), F.lit(4)) == n).select("q") for n in range(4)]
-    state = state_table(spark)
-    rows = evaluate_online(batches, state, lambda q, held: base.join(q, "q", "left_semi"), cut_lineage(rel), cost, Q.BUDGET)
-    out = None
-    for number, df in enumerate(rows):
-        part = df.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).withColumn("batch", F.lit(number))
-        out = part if out is None else out.unionByName(part)
-    return out.select("batch", "outcome", "n")
 
+def in_segments(spark, events, source, fold, count: int = 4):
+    """Append the events to a log in sequence order, segment by segment, and run the stream after each."""
+    size = (events.agg(F.max("seq")).first()[0] or 0) // count + 1
+    for part in range(count):
+        events.where(F.floor(F.col("seq") / size) == part).write.mode("append").parquet(source)
+        fold(spark.readStream.schema(events.schema).parquet(source)).awaitTermination()
 
-@query("t6_evolved_dataset")
-def t6(spark, sf_dir):
-    """Two replay passes: cards as they stand before each pass, tagged, with feedback folded in between."""
-    from memjoin.streaming.feedback import evaluate_online
 
-    qry, mem, rel = tables.queries(spark, sf_dir).select("q"), tables.memories(spark, sf_dir), tables.relevance(spark, sf_dir)
+@query("t3_signature_state_stream", S.with_(SIG) + "SELECT signature, round(bias, 6) AS bias, n FROM sb")
+def t3_stream(spark, sf_dir):
+    """The signature feedback of consecutive turns as a stream into keyed state on disk."""
     from memjoin.session import cut_lineage
+    from memjoin.streaming import folds
 
-    base = cut_lineage(W.lexical_ranked(spark, sf_dir).select("q", "id", "score", "rank"))
-    cost = cut_lineage(W.costed(spark, sf_dir, mem.select("id")).select("id", "cost"))
-    rel, state = cut_lineage(rel), state_table(spark)
-    out = None
-    for number in range(2):
-        cards = B.apply_state(mem, state.read(number)).select(F.lit(number).alias("pass"), "id", "use_count", "evidence_count", F.round("importance", 6).alias("importance"), "last_outcome")
-        out = cards if out is None else out.unionByName(cards)
-        evaluate_online([qry], state, lambda q, held: base, rel, cost, Q.BUDGET, start=number)
-    return out
+    source, progress = scratch(spark, "events"), scratch(spark, "progress")
+    events = cut_lineage(signature_events(spark, sf_dir).select("signature", "seq", "outcome", F.lit(False).alias("protected")))
+    in_segments(spark, events, source, lambda stream: folds.fold_stream(stream, progress, folds.SIGNATURE))
+    held = folds.state_table(spark, progress, folds.SIGNATURE)
+    return rounded(held.select("signature", F.col("score_bias").alias("bias"), F.expr("n_helpful + n_corrected + n_ignored").alias("n")))
 
 
 STREAMED = """best AS (SELECT item, field, value, max(confidence) AS confidence FROM pred GROUP BY ALL),

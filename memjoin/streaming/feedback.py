@@ -1,39 +1,26 @@
-"""Feedback, evaluation and field extraction as Structured Streaming jobs.
+"""Field extraction as a Structured Streaming job.
 
-State lives in versioned Parquet folders under a shared path. Every micro-batch reads the newest complete version, writes
+Its state lives in versioned Parquet folders under a shared path. Every micro-batch reads the newest complete version, writes
 the next one and only then moves on, so a replayed batch id finds its version already written and is skipped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memjoin.operators import feedback as B
 from memjoin.operators import fields as P
 
-STATE_DDL = (
-    "memory_id bigint, use_count_delta bigint, evidence_count_delta bigint, importance_delta double, score_bias double, last_outcome string, "
-    "protected boolean, n_helpful bigint, n_corrected bigint, n_ignored bigint"
-)
-
 
 class VersionedTable:
-    """Parquet versions `v=<batch>` under one folder; a version counts once its `_SUCCESS` marker exists."""
+    """Parquet versions `v=<batch>` under one folder; a version counts once its number stands in the manifest beside them."""
 
     def __init__(self, spark: SparkSession, path: str, ddl: str):
         self.spark, self.path, self.ddl = spark, path, ddl
+        spark.createDataFrame([], "version bigint").write.mode("append").parquet(f"{path}/manifest")
 
     def versions(self) -> list[int]:
-        base = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(base):
-            return []
-        done = [s.getPath() for s in fs.listStatus(base) if s.isDirectory()]
-        marked = [p for p in done if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().split("=")[1]) for p in marked if p.getName().startswith("v="))
+        return sorted(r.version for r in self.spark.read.schema("version bigint").parquet(f"{self.path}/manifest").distinct().collect())
 
     def read(self, before: int | None = None) -> DataFrame:
         held = [v for v in self.versions() if before is None or v < before]
@@ -43,20 +30,7 @@ class VersionedTable:
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-
-
-def fold_stream(events: DataFrame, state: VersionedTable, checkpoint: str):
-    """Fold a stream of feedback events (memory_id, seq, outcome, protected) into the memory state.
-
-    Clamped steps depend on order, so the log must deliver its segments in sequence order; inside a batch `seq` decides.
-    """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in state.versions():
-            return
-        state.write(B.merge_state(state.read(batch_id), batch), batch_id)
-
-    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        self.spark.createDataFrame([(version,)], "version bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
 
 VALUES_DDL = "field string, value string"
@@ -81,40 +55,3 @@ def extraction_stream(items: DataFrame, registry: VersionedTable, values: Versio
         registry.write(P.record_predictions(known, found, counted), batch_id)
 
     return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def evaluate_online(
-    batches: list[DataFrame],
-    state: VersionedTable,
-    rank: Callable[[DataFrame, DataFrame], DataFrame],
-    relevance: DataFrame,
-    cost: DataFrame,
-    budget: int,
-    bias_scale: float = 1.0,
-    start: int = 0,
-) -> list[DataFrame]:
-    """Query batches in order: rank under the frozen state, pack, label, fold the labels into the next state version.
-
-    `rank(queries, state)` gives q, id, score, rank. A batch of one query is the fully serial loop. Returns the feedback
-    rows of every batch (q, id, outcome, seq).
-    """
-    from memjoin.operators.ranking import pack_budget, ranked
-    from memjoin.session import cut_lineage
-
-    out = []
-    for number, queries in enumerate(batches, start=start):
-        held = state.read(number)
-        scored = rank(queries, held)
-        bias = held.select(F.col("memory_id").alias("id"), F.col("score_bias").alias("bias"))
-        biased = scored.join(bias, "id", "left").select("q", "id", (F.col("score") + bias_scale * F.coalesce("bias", F.lit(0.0))).alias("score"))
-        packed = pack_budget(ranked(biased, "q").join(cost, "id"), budget)
-        asked = relevance.join(queries.select("q"), "q", "left_semi")
-        place = F.coalesce("rank", F.lit(1 << 20))
-        labels = B.feedback_labels(packed, asked).join(packed.select("q", "id", "rank"), ["q", "id"], "left")
-        from memjoin.sources.jsonl import numbered
-
-        # feedback order: query, rank, id; numbered after it is written, so that every event has its own sequence number
-        events = numbered(cut_lineage(labels.orderBy("q", place, "id"))).select("q", "id", "outcome", F.col("pos").alias("seq"))
-        state.write(B.merge_state(held, events.select(F.col("id").alias("memory_id"), "seq", "outcome", F.lit(False).alias("protected"))), number)
-        out.append(events)
-    return out
