@@ -104,3 +104,44 @@ def triplets(df: DataFrame, per_positive: int, prefix: str = "") -> DataFrame:
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1))).alias("o"))
     pick = F.pmod(F.col("p") * per_positive + F.col("o"), F.size("negatives"))
     return rows.select("q", "p", "o", shown(F.col("query")).alias("anchor"), shown(F.col("positive")).alias("positive"), shown(F.get("negatives", pick)).alias("negative"))
+
+
+DATASETS = {  # dataset family -> the columns that name one of its rows
+    "field_labels": ["split", "kind", "item_id"],
+    "sft": ["metadata.split", "metadata.kind", "metadata.item_id"],
+    "retrieval_pairs": ["split", "query_id", "candidate_id", "is_evidence"],
+}
+SPLITS = ("train", "holdout")
+MANIFEST = "dataset string, rows bigint, checksum bigint, path string"
+
+
+def row_checksum(names: list[str]) -> Column:
+    """A number of 32 bits for what names a row; sums of it do not depend on order."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
+    return F.conv(F.substring(F.md5(F.encode(key, "UTF-8")), 1, 8), 16, 10).cast("bigint")
+
+
+def export_datasets(families: dict[str, DataFrame], path: str, version: str) -> DataFrame:
+    """Write every family once, partitioned by split, and a manifest beside them; the manifest as (dataset, rows, checksum, path).
+
+    Seven datasets: all, train and holdout of the field labels, train and holdout of the chat rows and of the retrieval pairs.
+    A split is a folder of its family, so no row is written twice; counts and checksums are read back from what was written.
+    """
+    spark = next(iter(families.values())).sparkSession
+    entries = None
+    for family, names in DATASETS.items():
+        rows = families[family]
+        split = F.col(names[0])
+        rows.withColumn("split_name", split).where(split.isin(*SPLITS)).write.partitionBy("split_name").json(f"{path}/{family}")
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        back = spark.read.schema(f"{kinds}, split_name string").json(f"{path}/{family}")
+        sums = back.groupBy("split_name").agg(F.count(F.lit(1)).alias("rows"), F.sum(row_checksum(names)).alias("checksum"))
+        wanted = spark.createDataFrame([(name,) for name in SPLITS], "split_name string")
+        full = wanted.join(sums, "split_name", "left").fillna(0, ["rows", "checksum"])
+        parts = full.select(F.concat(F.lit(f"{family}_"), "split_name").alias("dataset"), "rows", "checksum", F.concat(F.lit(f"{path}/{family}/split_name="), "split_name").alias("path"))
+        if family == "field_labels":
+            whole = full.agg(F.sum("rows").alias("rows"), F.sum("checksum").alias("checksum"))
+            parts = parts.unionByName(whole.select(F.lit(f"{family}_all").alias("dataset"), "rows", "checksum", F.lit(f"{path}/{family}").alias("path")))
+        entries = parts if entries is None else entries.unionByName(parts)
+    entries.withColumn("dataset_version", F.lit(version)).coalesce(1).write.json(f"{path}/manifest")
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memjoin.functions.text import tokens
-from memjoin.operators.ranking import top_k
+from memjoin.operators.ranking import first_places, top_k
+from memjoin.session import cut_lineage
 
 
 def token_rows(df: DataFrame, key: str, text: str = "text", token: str = "tok") -> DataFrame:
@@ -29,9 +33,24 @@ def token_postings(memories: DataFrame, max_postings: int | None = None, vocabul
     return rows.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= max_postings)
 
 
-def idf_token_scores(memories: DataFrame, queries: DataFrame, max_postings: int | None, limit: int) -> DataFrame:
-    """(q, id, score, rank): sum of ln(1 + N / df) over shared distinct tokens; df over all postings, or over the capped ones."""
+ASKED_ROWS, MATRIX_BYTES = 1 << 20, 128 << 20  # query tokens and bytes of the query matrix that may travel to the memories
+SLICE_BYTES = 32 << 20
+
+
+def idf_token_scores(memories: DataFrame, queries: DataFrame, max_postings: int | None, limit: int, matrix_bytes: int = MATRIX_BYTES) -> DataFrame:
+    """(q, id, score, rank): sum of ln(1 + N / df) over shared distinct tokens; df over all postings, or over the capped ones.
+
+    A frequent token stands in most texts and most queries, so joining postings would send nearly every pair. Where the
+    queries' tokens fit (they are counted first), they travel to the memories instead: texts are scanned once into codes of
+    the asked tokens, and scores are matrix products inside a block, of which only the best `limit` rows of each query leave.
+    Beyond that, and for capped lists, postings are joined.
+    """
     asked = token_rows(queries, "q")
+    if max_postings is None:
+        head = asked.limit(ASKED_ROWS + 1).toArrow()
+        words = pc.unique(head["tok"]).sort()
+        if head.num_rows <= ASKED_ROWS and len(words) * len(pc.unique(head["q"])) * 8 <= matrix_bytes:
+            return top_k(_matrix_scores(memories, head, words, limit), "q", limit)
     postings = token_postings(memories, max_postings, asked.select("tok").distinct())
     total = memories.agg(F.count(F.lit(1))).scalar()
     idf = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).select("tok", F.log(1.0 + total / F.col("df")).alias("idf"))
@@ -40,6 +59,62 @@ def idf_token_scores(memories: DataFrame, queries: DataFrame, max_postings: int
     return top_k(scores, "q", limit)
 
 
+def token_codes(memories: DataFrame, words: pa.Array) -> DataFrame:
+    """(id, codes): the places in `words` of the distinct tokens of every text, written once."""
+    shared = memories.sparkSession.sparkContext.broadcast(words)
+
+    def encode(batches):
+        for batch in batches:
+            toks = batch.column("toks")
+            codes = pc.index_in(toks.flatten(), value_set=shared.value)
+            rows = pc.list_parent_indices(toks).to_numpy()
+            known = codes.is_valid().to_numpy(zero_copy_only=False)
+            counts = np.bincount(rows[known], minlength=len(toks))
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), codes.drop_null().cast(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "codes"])
+
+    rows = memories.select("id", F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("toks"))
+    return cut_lineage(rows.mapInArrow(encode, f"id {memories.schema['id'].dataType.simpleString()}, codes array<int>"))
+
+
+def _matrix_scores(memories: DataFrame, asked: pa.Table, words: pa.Array, limit: int) -> DataFrame:
+    """(q, id, score): the best `limit` rows of every query in each block of memories."""
+    index = token_codes(memories, words)
+    found = index.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("df")).toArrow()
+    total = index.count()
+    idf = np.zeros(len(words))
+    idf[found["code"].to_numpy()] = np.log(1.0 + total / found["df"].to_numpy().astype(np.float64))
+    queries, row = np.unique(asked["q"].to_numpy(), return_inverse=True)
+    weights = np.zeros((len(words), len(queries)))
+    weights[pc.index_in(asked["tok"], value_set=words).to_numpy(), row] = 1.0
+    shared = memories.sparkSession.sparkContext.broadcast((queries, weights * idf[:, None]))
+    q_type = asked.schema.field("q").type
+
+    def score(batches):
+        q_ids, matrix = shared.value
+        step = max(1, SLICE_BYTES // (8 * max(1, len(matrix))))
+        for batch in batches:
+            ids, lists = batch.column("id"), batch.column("codes")
+            order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+            lists, parts = lists.take(pa.array(order)), []
+            for at in range(0, len(order), step):
+                piece = lists.slice(at, step)
+                one = np.zeros((len(piece), len(matrix)))
+                one[pc.list_parent_indices(piece).to_numpy(), piece.flatten().to_numpy(zero_copy_only=False)] = 1.0
+                parts.append(one @ matrix)
+            if not parts or not len(q_ids):
+                continue
+            scores = np.concatenate(parts)
+            best = [first_places(scores[:, k] > 0, scores[:, k], limit) for k in range(len(q_ids))]
+            rows = np.concatenate(best)
+            columns = np.repeat(np.arange(len(q_ids)), [len(b) for b in best])
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[columns], q_type), ids.take(pa.array(order[rows])), pa.array(scores[rows, columns])], ["q", "id", "score"])
+
+    q_kind = "bigint" if pa.types.is_int64(q_type) else "int" if pa.types.is_int32(q_type) else "string"
+    return index.mapInArrow(score, f"q {q_kind}, id {index.schema['id'].dataType.simpleString()}, score double")
+
+
 def verbatim_hits(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """(q, id) of documents that contain a passage verbatim, without comparing every pair.
 

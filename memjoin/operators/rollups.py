@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,23 +65,47 @@ def metric_rollup(long: DataFrame, p50_rule=ceil_place) -> DataFrame:
     return exact_quantiles(long, "metric", "value", {"p50": (0.5, p50_rule), "p95": (0.95, ceil_place)}, stats=True)
 
 
-def draw(rep: Column, place: Column, n: Column) -> Column:
-    """Deterministic resampling index: two quadratic mixes modulo 2**31 - 1."""
-    prime = (1 << 31) - 1
-    mixed = (rep * 1_000_003 + place) % prime
-    for step in (12345, 54321):
-        mixed = (mixed * mixed + mixed * step + 7) % prime
-    return mixed % n
+PRIME, SPREAD, MIXES = (1 << 31) - 1, 1_000_003, (12345, 54321)  # fixed values of the resampling hash
+# A row enters a resample as often as a Poisson variable of mean one says: the hash is compared with its distribution function.
+COUNTS = [math.floor(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(10)]
+RESAMPLE_ROWS = 4096
+
+
+def resample_sums(repeats: int):
+    """Task function: rows (key, metric, value) -> (metric, rep, weight, total), one row for each metric, resample and task."""
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        reps = np.arange(repeats, dtype=np.int64) * SPREAD
+        for batch in batches:
+            metric = batch.column("metric").dictionary_encode()
+            codes, names = metric.indices.to_numpy(zero_copy_only=False), metric.dictionary.to_pylist()
+            keys, values = batch.column("key").to_numpy(zero_copy_only=False), batch.column("value").to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, RESAMPLE_ROWS):
+                part = slice(at, at + RESAMPLE_ROWS)
+                mixed = (reps + keys[part, None]) % PRIME
+                for step in MIXES:
+                    mixed = (mixed * mixed + mixed * step + 7) % PRIME
+                weight = np.searchsorted(COUNTS, mixed, side="right").astype(np.float64)
+                for code in np.unique(codes[part]):
+                    own = codes[part] == code
+                    held = sums.setdefault(names[code], np.zeros((2, repeats)))
+                    held += [weight[own].sum(axis=0), values[part][own] @ weight[own]]
+        for name, (weight, total) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * repeats), pa.array(np.arange(repeats)), pa.array(weight), pa.array(total)], ["metric", "rep", "weight", "total"])
+
+    return run
 
 
 def bootstrap_ci(long: DataFrame, repeats: int = 300) -> DataFrame:
-    """(metric, ci_low, ci_high): nearest-rank 2.5 and 97.5 % of `repeats` resampled means."""
-    placed = numbered(cut_lineage(long.select("metric", "value").orderBy("metric", "value")))
-    bounds = placed.groupBy("metric").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"))
-    local = placed.join(bounds, "metric").select("metric", "value", "n", (F.col("pos") - F.col("start")).alias("at"))
-    drawn = local.select("metric", "n", "at", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
-    drawn = drawn.select("metric", "rep", draw(F.col("rep").cast("bigint"), F.col("at"), F.col("n")).alias("at"))
-    means = drawn.join(local.select("metric", "at", "value"), ["metric", "at"]).groupBy("metric", "rep").agg(F.avg("value").alias("mean"))
+    """(metric, ci_low, ci_high): nearest-rank 2.5 and 97.5 % of `repeats` resampled means. `long`: key (integer), metric, value.
+
+    Resamples are weights, not copies of rows: all sums are made in one pass inside the tasks, and a task sends `repeats` rows
+    for each metric. A row's weights depend on its key alone, so the answer does not depend on order or partitions.
+    """
+    rows = long.where("value is not null").select(F.coalesce(F.col("key").cast("bigint"), F.lit(0)).alias("key"), "metric", F.col("value").cast("double").alias("value"))
+    sums = rows.mapInArrow(resample_sums(repeats), "metric string, rep bigint, weight double, total double")
+    means = sums.groupBy("metric", "rep").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("mean")).where("mean is not null")
     return exact_quantiles(means, "metric", "mean", {"ci_low": (0.025, ceil_place), "ci_high": (0.975, ceil_place)})
 
 

@@ -1,4 +1,4 @@
-"""Exact and bucketed vector top-k.
+"""Exact and approximate vector top-k.
 
 All pairs are scored inside tasks by matrix product and only the best k per query leave a block; no pair rows are
 built. Two routes, chosen by counting the queries first:
@@ -9,8 +9,6 @@ built. Two routes, chosen by counting the queries first:
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -177,42 +175,68 @@ def _blockwise(memories: DataFrame, queries: DataFrame, k: int, dims: int) -> Da
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
-def sign_buckets(vec: Column, plan: Column, tables: int, bits: int) -> Column:
-    """`tables` bucket numbers per vector from the signs of `tables * bits` sparse projections."""
-    signs = F.transform(plan, lambda points: (F.round(project(vec, points), SCORE_PLACES) >= 0).cast("int"))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(tables - 1)),
-        lambda t: F.aggregate(F.slice(signs, t * bits + 1, bits), t, lambda a, s: a * 2 + s),
-    )
-
-
 def project(vec: Column, points: Column) -> Column:
     """Signed sum of the named dimensions over sqrt(width)."""
     total = F.aggregate(points, F.lit(0.0), lambda s, p: s + p["sign"] * F.get(vec, p["dim"]).cast("double"))
     return total / F.sqrt(F.greatest(F.size(points), F.lit(1)).cast("double"))
 
 
-BUCKET_ROWS = 64
+CELLS, SAMPLE, TARGET = 64, 256, 0.95
+MIX, MODULUS = 2_654_435_761, 1 << 32  # fixed values: the order in which rows are drawn
 
 
-def bucket_bits(count: int) -> int:
-    """Bits of a bucket, so that it holds about `BUCKET_ROWS` vectors whatever their number; at least four."""
-    return max(4, math.ceil(math.log2(max(1, count) / BUCKET_ROWS)))
+def drawn(df: DataFrame, key: str, count: int) -> pa.Table:
+    """The `count` rows that come first when ids are mixed: a sample of bounded size that does not depend on partitions."""
+    mixed = F.pmod(F.col(key) * F.lit(MIX), F.lit(MODULUS))
+    return df.select(key, "vec").orderBy(mixed, key).limit(count).toArrow()
 
 
-def bucketed_vector_topk(memories: DataFrame, queries: DataFrame, k: int, dims: int, tables: int = 8, bits: int | None = None) -> DataFrame:
-    """Approximate top-k: vectors meet only inside equal sign buckets, then are scored exactly."""
-    from memjoin.operators.hashed import projection_plan
+def probe_order(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The cells of each vector, the nearest centre first; equal products keep the lower cell."""
+    return np.argsort(-np.round(vectors @ centres.T, SCORE_PLACES), axis=1, kind="stable")
 
-    bits = bits or bucket_bits(memories.count())
 
-    plan = projection_plan(dims, tables * bits, 8)
+def in_cells(df: DataFrame, key: str, centres: np.ndarray, dims: int, probes: int) -> DataFrame:
+    """(key, vec, cell): each row once for each of its `probes` nearest cells."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)
 
-    def spread(df: DataFrame, id_col: str) -> DataFrame:
-        buckets = sign_buckets(F.col("vec"), plan, tables, bits)
-        return df.select(id_col, "vec", F.posexplode(buckets).alias("t", "b")).select(
-            id_col, "vec", (F.col("t") * (tables * (1 << bits)) + F.col("b")).alias("key")
-        )
-
-    found = _blockwise(spread(memories, "id"), spread(queries, "q"), k, dims)
-    return top_k(found.dropDuplicates(["q", "id"]), "q", k)
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                order = probe_order(_matrix(batch.column("vec"), dims), shared.value)[:, :probes]
+                rows = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), order.shape[1])))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(order.ravel().astype(np.int32))], [key, "vec", "key"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(key, "vec").schema)
+    return df.select(key, "vec").mapInArrow(place, f"{kinds}, key int")
+
+
+def probes_needed(memories: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, dims: int, target: float, sample: int) -> int:
+    """Cells to probe so that `target` of the true neighbours of a sample of the queries lie in them: measured, so it follows
+    the data and not their number. The sample and its neighbours (sample x k rows) are all that the driver sees."""
+    asked = drawn(queries, "q", sample)
+    own = memories.sparkSession.createDataFrame(asked)
+    near = exact_vector_topk(memories, own, k, dims).select("q", "id").join(memories.select("id", "vec"), "id").select("q", "vec").toArrow()
+    order = probe_order(_matrix(asked["vec"], dims), centres)
+    rank = np.argsort(order, axis=1)  # place of each cell among a query's cells
+    at = {q: row for row, q in enumerate(asked["q"].to_pylist())}
+    home = probe_order(_matrix(near["vec"], dims), centres)[:, 0]
+    places = np.sort(rank[[at[q] for q in near["q"].to_pylist()], home])
+    return int(places[max(0, int(np.ceil(target * len(places))) - 1)]) + 1 if len(places) else 1
+
+
+def celled_vector_topk(memories: DataFrame, queries: DataFrame, k: int, dims: int, cells: int = CELLS, target: float = TARGET, sample: int = SAMPLE) -> DataFrame:
+    """Approximate top-k: every memory lies in the cell of its nearest centre, every query probes its nearest cells, and what
+    meets is scored exactly, once.
+
+    Centres are `cells` drawn rows; the number of probes is measured on `sample` drawn queries against the exact answer, so
+    that recall holds whatever the size and shape of the data. Large cells are cut into blocks of bounded size.
+    """
+    memories, queries = memories.select("id", "vec"), queries.select("q", "vec")
+    chosen = drawn(memories, "id", cells)
+    if not chosen.num_rows:
+        return exact_vector_topk(memories, queries, k, dims)
+    centres = _matrix(chosen["vec"], dims)[np.argsort(chosen["id"].to_numpy(), kind="stable")]
+    probes = probes_needed(memories, queries, centres, k, dims, target, sample)
+    found = _blockwise(in_cells(memories, "id", centres, dims, 1), in_cells(queries, "q", centres, dims, probes), k, dims)
+    return top_k(found, "q", k)

@@ -430,3 +430,26 @@ def s5(spark, sf_dir):
     X.label_rows(items, cached_fields(items), "v1").write.partitionBy("split").json(path)
     back = spark.read.schema("split string, kind string, item_id string").json(path)
     return back.groupBy("split", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+SUM = "sum(('0x' || substr(md5({key}), 1, 8))::BIGINT)::BIGINT AS checksum"
+LABELLED = "lb AS (SELECT split, kind, item_id FROM es WHERE split <> 'unused' AND last_outcome <> '' AND text <> '')"
+_label, _pair = SUM.format(key="split || '|' || kind || '|' || item_id"), SUM.format(key="split || '|' || query_id || '|' || candidate_id || '|' || ev")
+
+
+@query(
+    "s5_seven_datasets",
+    S.with_(S.MEM, S.QRY, S.REL, PAIRS, LABELLED, "pd AS (SELECT split, query_id, candidate_id, bool_or(ev) AS ev FROM rp GROUP BY split, query_id, candidate_id)")
+    + f"""SELECT 'field_labels_all' AS dataset, count(*) AS rows, {_label} FROM lb UNION ALL SELECT 'field_labels_' || split, count(*), {_label} FROM lb GROUP BY split
+UNION ALL SELECT 'sft_' || split, count(*), {_label} FROM lb GROUP BY split UNION ALL SELECT 'retrieval_pairs_' || split, count(*), {_pair} FROM pd GROUP BY split""",
+)
+def s5_seven(spark, sf_dir):
+    """Field labels, chat rows and retrieval pairs written by split; rows and checksums of the seven datasets from the manifest."""
+    from memjoin.operators.fields import seed_registry
+
+    items = export_items(spark, sf_dir)
+    labels = X.label_rows(items, cached_fields(items), "v1")
+    chats = X.chat_rows(labels, "You label memory fields.", X.prompt(items, seed_registry(spark)))
+    pairs = pair_rows(spark, sf_dir).dropDuplicates(["split", "query_id", "candidate_id"])
+    manifest = X.export_datasets({"field_labels": labels, "sft": chats, "retrieval_pairs": pairs}, scratch(spark, "datasets"), "v1")
+    return manifest.select("dataset", "rows", "checksum")

@@ -9,6 +9,7 @@ from memjoin.functions.text import tokens
 from memjoin.operators import hashed as H
 from memjoin.operators.merge import max_merge
 from memjoin.operators.ranking import top_k
+from memjoin.operators.vector import exact_vector_topk
 from memjoin.plans import sqltext as S
 from memjoin.plans import workload as W
 from memjoin.plans.registry import query
@@ -24,25 +25,34 @@ def plan():
     return H.projection_plan(DIMS, ACTIONS, WIDTH)
 
 
-def side(df, key):
-    base = df.select(key, "text", hash_embedding(tokens(F.col("text")), DIMS).alias("vec"))
-    # The token table is the index every later step reads several times, so it is written once.
-    return cut_lineage(H.field_tokens(base, key, plan(), ACTIONS, KEEP, BUCKET))
+def indexed(df, key):
+    """The field index of one side: tokens, vector and mask of every text from one scan, written once."""
+    toks = df.select(key, "text", tokens(F.col("text")).alias("toks"))
+    rows = toks.select(key, "text", hash_embedding(F.col("toks"), DIMS).alias("vec"), activation_mask(F.col("toks")).alias("mask"))
+    field = H.with_field_tokens(rows, plan(), ACTIONS, KEEP, BUCKET)
+    mean = F.coalesce(F.aggregate("field", F.lit(0.0), lambda total, t: total + t["weight"]) / F.nullif(F.size("field"), F.lit(0)), F.lit(0.0))
+    level = H.promoted_level(F.col(key).cast("string"), F.length("text"), mean, LAYERS, CHANCE, BIAS)
+    return cut_lineage(field.select(key, "vec", "mask", "field", level.alias("level")))
 
 
-def memory_tokens(spark, sf_dir):
-    return side(tables.memories(spark, sf_dir), "id")
+def memory_index(spark, sf_dir):
+    return indexed(tables.card_texts(spark, sf_dir), "id")
 
 
-def query_tokens(spark, sf_dir):
-    return side(tables.queries(spark, sf_dir), "q")
+def query_index(spark, sf_dir):
+    return indexed(tables.queries(spark, sf_dir).select("q", "text"), "q")
+
+
+def field_rows(index, key):
+    return index.select(key, F.explode("field").alias("t")).select(key, "t.action", "t.bucket", "t.weight")
 
 
-def levels(spark, sf_dir, emitted):
-    mean = emitted.groupBy("id").agg(F.avg("weight").alias("mean"))
-    mem = tables.memories(spark, sf_dir).select("id", F.length("text").alias("n"))
-    level = H.promoted_level(F.col("id").cast("string"), F.col("n"), F.coalesce("mean", F.lit(0.0)), LAYERS, CHANCE, BIAS)
-    return cut_lineage(mem.join(mean, "id", "left").select("id", level.alias("level")))
+def memory_tokens(spark, sf_dir):
+    return field_rows(memory_index(spark, sf_dir), "id")
+
+
+def query_tokens(spark, sf_dir):
+    return field_rows(query_index(spark, sf_dir), "q")
 
 
 def tokens_sql(name: str, source: str, key: str, vectors: str) -> str:
@@ -132,7 +142,7 @@ def emission(spark, sf_dir):
 
 @query("j15_hash_level", S.with_(TOK, LEVEL) + "SELECT id, level::BIGINT AS level FROM lvl")
 def hash_level(spark, sf_dir):
-    return levels(spark, sf_dir, memory_tokens(spark, sf_dir)).select("id", F.col("level").cast("bigint").alias("level"))
+    return memory_index(spark, sf_dir).select("id", F.col("level").cast("bigint").alias("level"))
 
 
 @query(
@@ -141,8 +151,8 @@ def hash_level(spark, sf_dir):
     + "SELECT layer::BIGINT AS layer, action::BIGINT AS action, bucket::BIGINT AS bucket, count(*) AS n, sum(id)::BIGINT AS ids, round(sum(weight), 6) AS weight FROM posted GROUP BY ALL",
 )
 def field_index(spark, sf_dir):
-    emitted = memory_tokens(spark, sf_dir)
-    rows = H.layered_postings(emitted, levels(spark, sf_dir, emitted))
+    index = memory_index(spark, sf_dir)
+    rows = H.layered_postings(field_rows(index, "id"), index.select("id", "level"))
     return rows.groupBy(*[F.col(c).cast("bigint").alias(c) for c in ("layer", "action", "bucket")]).agg(
         F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.round(F.sum("weight"), 6).alias("weight")
     )
@@ -154,24 +164,26 @@ def collisions(spark, sf_dir):
     return out.select("q", "id", F.round("score", 6).alias("score"))
 
 
+PREFILTER, LEAST_COLLISION, LEAST_OVERLAP = 400, 0.2, 0.02
+
+
+def matches(index, asked):
+    return cut_lineage(H.field_matches(index, asked, RADIUS, LAYERS, BEAM, PREFILTER, CAP))
+
+
+def candidates(index, asked):
+    return H.collision_candidates(matches(index, asked), asked, LAYERS, BEAM, MIN_CANDIDATES, CAP, PREFILTER, LEAST_COLLISION, LEAST_OVERLAP)
+
+
 @query("j18_layer_routing", S.with_(COLLIDE) + "SELECT q, id, round(score, 6) AS routed FROM fr1")
 def routing(spark, sf_dir):
-    emitted = memory_tokens(spark, sf_dir)
-    level = levels(spark, sf_dir, emitted)
-    out = H.route_layers(query_tokens(spark, sf_dir), H.layered_postings(emitted, level), level, LAYERS, RADIUS, BEAM)
+    out = H.routed_beam(matches(memory_index(spark, sf_dir), query_tokens(spark, sf_dir)), LAYERS, BEAM)
     return out.select("q", "id", F.round("routed", 6).alias("routed"))
 
 
-def candidates(spark, sf_dir, emitted, asked):
-    level = levels(spark, sf_dir, emitted)
-    routed = H.route_layers(asked, H.layered_postings(emitted, level), level, LAYERS, RADIUS, BEAM)
-    hits = H.bucket_collisions(asked, emitted, RADIUS)
-    return H.collision_candidates(hits, routed, asked, emitted, MIN_CANDIDATES, CAP, 400, 0.2, 0.02)
-
-
 @query("j19_collision_candidates", S.with_(CAND) + OUT + "cand")
 def collision_candidates(spark, sf_dir):
-    return shape(candidates(spark, sf_dir, memory_tokens(spark, sf_dir), query_tokens(spark, sf_dir)))
+    return shape(candidates(memory_index(spark, sf_dir), query_tokens(spark, sf_dir)))
 
 
 @query(
@@ -186,15 +198,14 @@ def overlap(spark, sf_dir):
     return pairs.join(scored, ["q", "id"], "left").select("q", "id", F.round(F.coalesce("overlap", F.lit(0.0)), 6).alias("overlap"))
 
 
-def scored(spark, sf_dir, found, emitted, asked, fetch, weights):
-    found = cut_lineage(found.select("q", "id", "score"))
-    # only documents some query kept are embedded and masked
-    mem, qry = tables.memories(spark, sf_dir).join(found.select("id").distinct(), "id", "left_semi"), tables.queries(spark, sf_dir)
-    q_side = W.embedded(qry, "q").withColumnRenamed("vec", "q_vec").join(W.masked(qry, "q", name="q_mask"), "q")
-    toks = mem.select("id", tokens(F.col("text")).alias("toks"))
-    m_side = toks.select("id", hash_embedding(F.col("toks"), DIMS).alias("vec"), activation_mask(F.col("toks")).alias("mask"))
-    near = H.field_overlap(found.select("q", "id"), asked, emitted, RADIUS)
-    return H.token_field_scores(found.select("q", "id", "score"), q_side, m_side, near, fetch, weights)
+def scored(found, index, asked_index, fetch, weights, near=None):
+    """Field score of given pairs; the overlap comes with the candidates, or is looked up for pairs from elsewhere."""
+    found = cut_lineage(found)
+    if "overlap" not in found.columns:
+        near = H.field_overlap(found.select("q", "id"), field_rows(asked_index, "q"), field_rows(index.join(found.select("id").distinct(), "id", "left_semi"), "id"), RADIUS)
+        found = found.join(near, ["q", "id"], "left")
+    q_side = asked_index.select("q", F.col("vec").alias("q_vec"), F.col("mask").alias("q_mask"))
+    return H.token_field_scores(found.select("q", "id", "score", "overlap"), q_side, index.select("id", "vec", "mask"), fetch, weights)
 
 
 PLAIN, HYBRID = (0.50, 0.30, 0.14, 0.06), (0.08, 0.15, 0.02, 0.75)
@@ -202,8 +213,8 @@ PLAIN, HYBRID = (0.50, 0.30, 0.14, 0.06), (0.08, 0.15, 0.02, 0.75)
 
 @query("j21_token_field_scores", S.with_(CAND, MASKS, score_sql("cand", PLAIN, 32)) + OUT + "fin")
 def token_field(spark, sf_dir):
-    emitted, asked = memory_tokens(spark, sf_dir), query_tokens(spark, sf_dir)
-    return shape(scored(spark, sf_dir, candidates(spark, sf_dir, emitted, asked), emitted, asked, 32, PLAIN))
+    index, asked = memory_index(spark, sf_dir), query_index(spark, sf_dir)
+    return shape(scored(candidates(index, field_rows(asked, "q")), index, asked, 32, PLAIN))
 
 
 MERGE = f"""vec_s AS (SELECT q.q, m.id, coalesce(s.score, 0.0) AS score FROM qry q CROSS JOIN mem m
@@ -215,19 +226,21 @@ uni AS (SELECT q, id, max(score) AS score FROM (SELECT q, id, 0.7::DOUBLE * scor
 
 @query("j12_union_max_merge", S.with_(CAND, MERGE) + "SELECT q, id, round(score, 6) AS score FROM uni")
 def union_merge(spark, sf_dir):
-    found = candidates(spark, sf_dir, memory_tokens(spark, sf_dir), query_tokens(spark, sf_dir))
+    found = candidates(memory_index(spark, sf_dir), query_tokens(spark, sf_dir))
     return max_merge(W.vector_ranked(spark, sf_dir), found).select("q", "id", F.round("score", 6).alias("score"))
 
 
 @query("j22_hybrid_vector_token", S.with_(CAND, MERGE, MASKS, score_sql("vec", HYBRID, 16)) + OUT + "fin")
 def hybrid_vector(spark, sf_dir):
-    emitted, asked = memory_tokens(spark, sf_dir), query_tokens(spark, sf_dir)
-    return shape(scored(spark, sf_dir, W.vector_ranked(spark, sf_dir), emitted, asked, 16, HYBRID))
+    index, asked = memory_index(spark, sf_dir), query_index(spark, sf_dir)
+    nearest = exact_vector_topk(index.select("id", "vec"), asked.select("q", "vec"), W.FETCH, DIMS)
+    return shape(scored(nearest.select("q", "id", "score"), index, asked, 16, HYBRID))
 
 
 @query("j22_hybrid_union_token", S.with_(CAND, MERGE, MASKS, score_sql("uni", HYBRID, 16)) + OUT + "fin")
 def hybrid_union(spark, sf_dir):
-    emitted, asked = memory_tokens(spark, sf_dir), query_tokens(spark, sf_dir)
-    merged = max_merge(W.vector_ranked(spark, sf_dir), candidates(spark, sf_dir, emitted, asked))
-    limited = top_k(merged, "q", 192)
-    return shape(scored(spark, sf_dir, limited, emitted, asked, 16, HYBRID))
+    index, asked = memory_index(spark, sf_dir), query_index(spark, sf_dir)
+    nearest = exact_vector_topk(index.select("id", "vec"), asked.select("q", "vec"), W.FETCH, DIMS)
+    merged = max_merge(nearest, candidates(index, field_rows(asked, "q")))
+    limited = top_k(merged, "q", 192).select("q", "id", "score")
+    return shape(scored(limited, index, asked, 16, HYBRID))

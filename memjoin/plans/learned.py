@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memjoin.functions.text import token_cost
 from memjoin.operators import features as V
 from memjoin.operators import learn as L
 from memjoin.operators.ranking import ranked
@@ -24,7 +25,9 @@ def training_rows(spark, sf_dir):
     rows = base.join(rel, ["q", "id"], "left").withColumn("label", F.coalesce("hit", F.lit(0.0)))
     rows = rows.withColumn("include_weight", F.when(F.col("label") == 1, 1.0).when(F.col("last_outcome") == "ignored", 8.0).otherwise(2.0))
     vector = V.padded(list(V.calibration_features(F.lit(900)).values()), 48)
-    return cut_lineage(rows.select("q", "id", "score", "rank", "label", "include_weight", vector.alias("x")))
+    cost = token_cost(F.col("text")) if "cost" not in rows.columns else F.col("cost")
+    target = L.utility_target(F.col("label"), cost, 900.0)
+    return cut_lineage(rows.select("q", "id", "score", "rank", "label", "include_weight", target.alias("utility_target"), vector.alias("x")))
 
 
 def heads(rows):
@@ -44,8 +47,10 @@ def l1(spark, sf_dir):
 
 @query("l2_calibrated_rerank")
 def l2(spark, sf_dir):
+    """Held-out records ranked by both heads, the base score and the predicted utility."""
     rows = training_rows(spark, sf_dir)
-    out = L.calibrated_rerank(L.split(rows)[1], *heads(rows), "x", 6)
+    worth = L.fit_utility(L.split(rows)[0], "x", "utility_target", "include_weight")
+    out = L.calibrated_rerank(L.split(rows)[1], *heads(rows), "x", 6, utility_model=worth)
     return out.select("q", "id", F.round("score", 4).alias("score"), F.round("include_probability", 4).alias("include_probability"), "rank")
 
 
@@ -73,6 +78,24 @@ def l4(spark, sf_dir):
     return out.select("q", "id", F.round(L.sigmoid(F.col("select_logit")), 4).alias("select_probability"), F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("reason"))
 
 
+@query("l4_auxiliary_heads")
+def l4_auxiliary(spark, sf_dir):
+    """Seven weighted label heads: thresholds tuned on one split of the records, f1 reported on another."""
+    from memjoin.operators import rollups as U
+
+    roled = FE.roled(spark, sf_dir)
+    flags = V.auxiliary_labels(F.col("role"), F.col("relevant"), V.preference_overlap(F.col("a_terms"), F.col("c_terms")), V.preference_conflict(F.col("a_terms"), F.col("c_terms")))
+    labels = roled.select("q", "id", *[v.alias(n) for n, v in flags.items()])
+    data = cut_lineage(FE.selector_rows(spark, sf_dir).select("q", "id", V.padded(list(V.selector_features(F.lit(900)).values()), 31).alias("x")).join(labels, ["q", "id"]))
+    train, chosen, reported = L.three_ways(data)
+    heads_ = L.fit_flags(train, "x", list(flags))
+    tuned = U.tune_thresholds(L.flag_samples(heads_, chosen, "x"))
+    samples = L.flag_samples(heads_, reported, "x").join(tuned.select("label", "threshold"), "label")
+    hit, want = F.col("score") >= F.col("threshold"), F.col("expected") == 1
+    counts = samples.groupBy("label", "threshold").agg(F.count_if(hit & want).alias("tp"), F.count_if(hit & ~want).alias("fp"), F.count_if(~hit & want).alias("fn"))
+    return rounded(U.with_f1(counts).select("label", "threshold", "precision", "recall", "f1"))
+
+
 @query("l5_attach_model")
 def l5(spark, sf_dir):
     """Attach probability of neighbouring turns, trained on the heuristic's attach flag."""
@@ -87,17 +110,23 @@ def l5(spark, sf_dir):
 
 @query("l6_model_selection")
 def l6(spark, sf_dir):
-    """Three regularisation strengths, the best by the balanced score of the ranking metrics on held-out records."""
-    train, held = L.split(training_rows(spark, sf_dir))
-    relevant = held.where(F.col("label") == 1).groupBy("q").agg(F.count(F.lit(1)).alias("relevant_count"))
+    """Three regularisation strengths, chosen by the balanced score on one split of the records, reported on another."""
+    train, chosen, reported = L.three_ways(training_rows(spark, sf_dir))
+    models = {reg: L.fit_head(train, "x", "label", reg=reg, iterations=10) for reg in (0.001, 0.01, 0.1)}
     tried = None
-    for reg in (0.001, 0.01, 0.1):
-        scored = L.logit(L.fit_head(train, "x", "label", reg=reg, iterations=10), held.drop("score", "rank"), "x", "score")
-        flagged = ranked(scored, "q").withColumn("is_relevant", F.col("label").cast("int"))
-        one = V.learned_metrics(flagged, relevant, 3, 0.0).withColumn("reg", F.lit(reg))
+    for reg, model in models.items():
+        one = ranking_metrics(model, chosen).withColumn("reg", F.lit(reg))
         tried = one if tried is None else tried.unionByName(one)
-    scored = tried.withColumn("selection", L.selection_score(tried, "balanced"))
-    return rounded(scored.orderBy(F.round("selection", 9).desc(), "reg").limit(1).select("reg", "selection", "recall", "mrr", "f1"))
+    best = tried.orderBy(F.round(L.selection_score(tried, "balanced"), 9).desc(), "reg").first()["reg"]
+    final = ranking_metrics(models[best], reported)
+    return rounded(final.select(F.lit(best).alias("reg"), L.selection_score(final, "balanced").alias("selection"), "recall", "mrr", "f1"))
+
+
+def ranking_metrics(model, rows):
+    """One row of ranking metrics of the model's order."""
+    relevant = rows.where(F.col("label") == 1).groupBy("q").agg(F.count(F.lit(1)).alias("relevant_count"))
+    scored = L.logit(model, rows.drop("score", "rank"), "x", "score")
+    return V.learned_metrics(ranked(scored, "q").withColumn("is_relevant", F.col("label").cast("int")), relevant, 3, 0.0)
 
 
 # Hooks: user code plugged into a step, here with a stand-in that repeats the built-in answer.

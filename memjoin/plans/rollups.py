@@ -59,16 +59,16 @@ def a7(spark, sf_dir):
     "a6_bootstrap_ci",
     S.with_(
         LONG,
-        "lo AS (SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY metric) AS n FROM lg)",
-        "m0 AS (SELECT metric, n, rep, (rep * 1000003 + place) % 2147483647 AS x FROM lo CROSS JOIN (SELECT unnest(range(0, 300)) AS rep))",
-        "m1 AS (SELECT metric, n, rep, (x * x + x * 12345 + 7) % 2147483647 AS x FROM m0)",
-        "m2 AS (SELECT metric, rep, ((x * x + x * 54321 + 7) % 2147483647) % n AS place FROM m1)",
-        "me AS (SELECT metric, rep, avg(value) AS mean FROM m2 JOIN lo USING (metric, place) GROUP BY ALL)",
+        f"m0 AS (SELECT metric, value, rep, (rep * {R.SPREAD} + q) % {R.PRIME} AS x FROM lg CROSS JOIN (SELECT unnest(range(0, 300)) AS rep))",
+        f"m1 AS (SELECT metric, value, rep, (x * x + x * {R.MIXES[0]} + 7) % {R.PRIME} AS x FROM m0)",
+        f"m2 AS (SELECT metric, value, rep, (x * x + x * {R.MIXES[1]} + 7) % {R.PRIME} AS x FROM m1)",
+        "m3 AS (SELECT metric, value, rep, " + " + ".join(f"(x >= {c})::INT" for c in R.COUNTS) + " AS weight FROM m2)",
+        "me AS (SELECT metric, rep, sum(weight * value) / sum(weight) AS mean FROM m3 GROUP BY ALL HAVING sum(weight) > 0)",
     )
     + "SELECT metric, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM (" + place_sql("me", "metric", "mean", {"ci_low": ceil_rule(0.025), "ci_high": ceil_rule(0.975)}) + ")",
 )
 def a6(spark, sf_dir):
-    return rounded(R.bootstrap_ci(long_rows(spark, sf_dir).select("metric", "value")))
+    return rounded(R.bootstrap_ci(long_rows(spark, sf_dir).select(F.col("q").alias("key"), "metric", "value")))
 
 
 FIVE = {"low": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "high": 1.0}

@@ -88,12 +88,67 @@ def test_hot_key_is_cut_into_blocks(spark, monkeypatch):
     assert len(rows) == 27 and {r.id for r in rows} == {94, 93, 92}
 
 
-def test_bucketed_search_finds_most_neighbours(spark):
-    mem = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_approximate_search_finds_nine_of_ten_neighbours(spark, sf):
+    mem = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     asked = mem.withColumnRenamed("id", "q")
-    exact = V.exact_vector_topk(mem, asked, 5, 64).select("q", "id")
-    found = V.bucketed_vector_topk(mem, asked, 5, 64).select("q", "id")
-    assert exact.join(found, ["q", "id"], "left_semi").count() / exact.count() > 0.5
+    exact = V.exact_vector_topk(mem, asked, 10, 64).select("q", "id")
+    found = V.celled_vector_topk(mem, asked, 10, 64).select("q", "id")
+    assert exact.join(found, ["q", "id"], "left_semi").count() / exact.count() >= 0.9
+
+
+def test_probes_follow_the_data(spark):
+    """Tight clusters need few probes; a table without rows gives none."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 16)) * 10
+    rows = [(i, (centres[i % 8] + rng.normal(size=16) * 0.01).tolist()) for i in range(400)]
+    mem = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    asked = mem.withColumnRenamed("id", "q")
+    assert V.probes_needed(mem, asked, centres, 5, 16, 0.95, 64) == 1
+    assert V.celled_vector_topk(mem.limit(0), asked.limit(0), 5, 16).count() == 0
+
+
+def field_side(rng, key, count):
+    return [(k, rng.randrange(4), [(a, rng.randrange(-2, 3), rng.random()) for a in rng.sample(range(6), 3)]) for k in range(count)]
+
+
+def test_field_matches_hold_every_candidate(spark, monkeypatch):
+    """The block pass gives the candidates that all colliding pairs would give, by either route of the queries."""
+    import random
+
+    from memjoin.operators import hashed as H
+
+    rng = random.Random(5)
+    memories, queries = field_side(rng, "id", 230), field_side(rng, "q", 9)
+    index = spark.createDataFrame(memories, "id bigint, level int, field array<struct<action:int,bucket:int,weight:double>>")
+    asked = spark.createDataFrame([(q, *t) for q, _, field in queries for t in field], "q bigint, action int, bucket int, weight double")
+    plain = []
+    for q, _, mine in queries:
+        scores = {}
+        for i, level, field in memories:
+            met = [(w / (1 + abs(b - y)), w * v / (1 + abs(b - y))) for a, b, w in mine for x, y, v in field if a == x and abs(b - y) <= 1]
+            shared = [0.05 * w for a, _, w in mine if a in {x for x, _, _ in field}]
+            scores[i] = (sum(m[0] for m in met), sum(m[1] for m in met), bool(met), sum(shared), bool(shared), level)
+        order = lambda value: sorted(value, key=lambda i: (-round(value[i], 9), i))
+        beam = {}
+        for layer in (3, 2, 1):
+            merged = {i: s[0] + 0.5 * beam.get(i, 0.0) for i, s in scores.items() if s[2] and s[5] >= layer}
+            beam = {i: merged[i] for i in order(merged)[:4]}
+        first = order({i: s[0] for i, s in scores.items() if s[2]})[:20]
+        kept = {i: s[0] + 0.35 * beam.get(i, 0.0) for i, s in scores.items() if s[2] and (i in beam or (i in first and s[0] >= 0.3 and s[1] >= 0.1))}
+        if len(kept) < 17:
+            kept = {i: s[3] for i, s in scores.items() if s[4]}
+        plain += [(q, i, round(kept[i], 9)) for i in order(kept)[:10]]
+    monkeypatch.setattr(H, "MEMORY_ROWS", 50)
+    monkeypatch.setattr(H, "QUERY_ROWS", 4)
+    for size in (H.QUERY_BYTES, 1):
+        matches = H.field_matches(index, asked, 1, 4, 4, 20, 10, query_bytes=size)
+        found = H.collision_candidates(matches, asked, 4, 4, 17, 10, 20, 0.3, 0.1)
+        assert sorted((r.q, r.id, round(r.score, 9)) for r in found.collect()) == sorted(plain)
+        beams = H.routed_beam(matches, 4, 4).groupBy("q").count().collect()
+        assert all(r["count"] <= 4 for r in beams)
 
 
 def test_int8_rounds_half_to_even(spark):

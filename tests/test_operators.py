@@ -163,9 +163,25 @@ def test_numbering_and_quantiles(spark):
 
 
 def test_bootstrap_bounds_hold_the_mean(spark):
-    long = spark.range(50).select(F.lit("m").alias("metric"), (F.col("id") % 5).cast("double").alias("value"))
+    long = spark.range(50).select(F.col("id").alias("key"), F.lit("m").alias("metric"), (F.col("id") % 5).cast("double").alias("value"))
     r = U.bootstrap_ci(long, 100).first()
     assert 1.0 < r.ci_low < 2.0 < r.ci_high < 3.0
+    again = U.bootstrap_ci(long.repartition(3), 100).first()
+    assert (round(again.ci_low, 9), round(again.ci_high, 9)) == (round(r.ci_low, 9), round(r.ci_high, 9))
+    none = long.limit(0)
+    assert U.bootstrap_ci(none, 100).count() == 0
+
+
+def test_resample_weights_are_poisson():
+    import numpy as np
+
+    reps = np.arange(300, dtype=np.int64) * U.SPREAD
+    mixed = (reps + np.arange(200)[:, None]) % U.PRIME
+    for step in U.MIXES:
+        mixed = (mixed * mixed + mixed * step + 7) % U.PRIME
+    weights = np.searchsorted(U.COUNTS, mixed, side="right")
+    assert abs(weights.mean() - 1) < 0.03 and abs(weights.var() - 1) < 0.05
+    assert abs((weights == 0).mean() - np.exp(-1)) < 0.02
 
 
 def test_jsonl_round_trip_and_repair(spark, tmp_path):
@@ -243,3 +259,35 @@ def test_no_machine_folder_on_a_cluster(spark):
     remote = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError):
         scratch_dir(remote)
+
+
+def test_seven_datasets_and_their_manifest(spark, tmp_path):
+    """Every split once, counts and checksums of what was written; an empty family still has its entries."""
+    from memjoin.operators import exports as X
+
+    items = [("train", "query", "query::1"), ("train", "evidence", "evidence::1::0"), ("holdout", "query", "query::9"), ("unused", "query", "query::5")]
+    labels = spark.createDataFrame(items, "split string, kind string, item_id string")
+    chats = labels.select(F.array(F.struct(F.lit("user").alias("role"), F.col("item_id").alias("content"))).alias("messages"), F.struct("split", "kind", "item_id").alias("metadata"))
+    pairs = spark.createDataFrame([], "split string, query_id string, candidate_id string, is_evidence boolean")
+    path = str(tmp_path / "datasets")
+    found = {r.dataset: r for r in X.export_datasets({"field_labels": labels, "sft": chats, "retrieval_pairs": pairs}, path, "v1").collect()}
+    assert {name: r.rows for name, r in found.items()} == {
+        "field_labels_all": 3, "field_labels_train": 2, "field_labels_holdout": 1, "sft_train": 2, "sft_holdout": 1, "retrieval_pairs_train": 0, "retrieval_pairs_holdout": 0,
+    }
+    assert found["field_labels_all"].checksum == found["field_labels_train"].checksum + found["field_labels_holdout"].checksum == found["sft_train"].checksum + found["sft_holdout"].checksum
+    back = spark.read.json(found["sft_train"].path).select("metadata.item_id").collect()
+    assert sorted(r.item_id for r in back) == ["evidence::1::0", "query::1"]
+
+
+def test_lexical_scores_by_matrix_and_by_join(spark):
+    """Queries that travel and queries that join give one ranking; null and empty texts score nothing."""
+    import random
+
+    from memjoin.operators.lexical import idf_token_scores
+
+    rng = random.Random(2)
+    texts = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(12)))) for i in range(200)] + [(900, None), (901, "")]
+    mem = spark.createDataFrame(texts, "id bigint, text string").repartition(5)
+    asked = spark.createDataFrame([(q, " ".join(f"w{rng.randrange(45)}" for _ in range(4))) for q in range(7)] + [(7, "nothing known")], "q bigint, text string")
+    rows = [sorted((r.q, r.id, round(r.score, 9), r["rank"]) for r in idf_token_scores(mem, asked, None, 5, matrix_bytes=size).collect()) for size in (128 << 20, 0)]
+    assert rows[0] == rows[1] and len(rows[0]) == 35
