@@ -276,3 +276,31 @@ def prompt_text(spark, sf_dir):
 
     rows = prompt(tables.turns(spark, sf_dir), P.seed_registry(spark))
     return rows.select("id", F.md5("prompt").alias("digest"))
+
+
+@query(
+    "s13_label_job",
+    S.with_(
+        ITEMS, PRED, "np AS (SELECT item, count(DISTINCT (field, value)) AS n FROM pred GROUP BY item)",
+        "tt AS (SELECT item, bool_or(item % 3 = 0) OVER (PARTITION BY text) AS pre, row_number() OVER (PARTITION BY text ORDER BY item) AS place FROM items)",
+    )
+    + "SELECT CASE WHEN NOT pre AND place = 1 THEN 'labelled' ELSE 'cached' END AS state, count(*) AS items, sum(coalesce(n, 0))::BIGINT AS predictions FROM tt LEFT JOIN np USING (item) GROUP BY ALL",
+)
+def label_job(spark, sf_dir):
+    """Labelled texts over a cache that holds every third; the job stops after one commit and is resumed."""
+    from memjoin.operators import labelling as J
+    from memjoin.plans.ingest import scratch
+    from memjoin.session import cut_lineage
+    from memjoin.streaming.online import BatchLog
+
+    rows = labelled_texts(spark, sf_dir).select(F.col("item").alias("index"), F.col("item").alias("item_id"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("key"), "text")
+    items = cut_lineage(rows)
+    log, rules = BatchLog(spark, scratch(spark, "label-cache")), J.classifier("rules")
+    size = max(1, items.count() // 3)
+    J.label_job(items.where(F.col("index") % 3 == 0), log, rules, 10 * size)
+    before = cut_lineage(J.audit(log).select("index"))
+    J.label_job(items, log, rules, size, stop_after=1)
+    J.label_job(items, log, rules, size)
+    found = J.outcome(items, log).join(before.withColumn("old", F.lit(True)), "index", "left")
+    state = F.when(F.col("old"), "cached").otherwise(F.col("state"))
+    return found.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("predictions")).alias("predictions"))
