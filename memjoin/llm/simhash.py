@@ -32,6 +32,9 @@ BITS, BLOCKS = 64, 4
 SEED = 42  # fixed by the contract
 SKETCH, MARGIN = 256, 0.12
 BAND = 5  # minima in a band
+ORDERS, LIKELY = 200, 0.1  # minima of a signature; how far below the similarity their equal share may be
+FASTER = 4  # growth of the partners that a row offers in each round
+SHARD_ROWS, REDEALS = 4096, 2  # rows of a band that are dealt again, and how often
 SHINGLES_AT_ONCE = 1 << 12
 VISITS = 1 << 20  # (query, node) pairs held at a time
 
@@ -195,57 +198,143 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
 
 
-def band_keys(texts: list[bytes], size: int, bands: int) -> list[list[int]]:
-    """Keys of each text, one a band: hashes of the `BAND` smallest values of its shingles under as many orders; none without words."""
+def band_minima(texts: list[bytes], size: int, bands: int) -> tuple[list[list[int]], list[bytes]]:
+    """Keys of each text, one a band: hashes of the `BAND` smallest values of its shingles under as many orders; none without
+    words. And one byte of the minimum of each of `ORDERS` orders at least: its signature."""
     rng = np.random.default_rng(SEED)
-    turn, spread = rng.integers(0, 2**63, (2, bands * BAND, 1), dtype=np.uint64)
-    low = np.full((len(texts), bands * BAND), np.iinfo(np.uint64).max)
+    orders = max(ORDERS, bands * BAND)
+    turn, spread = rng.integers(0, 2**63, (2, orders, 1), dtype=np.uint64)
+    low = np.full((len(texts), orders), np.iinfo(np.uint64).max)
     for i, text in enumerate(texts):
         hashes = shingle_hashes(text, size)
         for at in range(0, len(hashes), SHINGLES_AT_ONCE):
             low[i] = np.minimum(low[i], ((hashes[at : at + SHINGLES_AT_ONCE] ^ turn) * (spread | np.uint64(1))).min(axis=1))
     keys = np.tile(np.arange(bands, dtype=np.uint64), (len(texts), 1))
     for step in range(BAND):
-        keys = mix(keys * WORD_BASE + low[:, step::BAND])
-    return [k if text.split() else [] for text, k in zip(texts, keys.view(np.int64).tolist())]
+        keys = mix(keys * WORD_BASE + low[:, step : bands * BAND : BAND])
+    signatures = low.astype(np.uint8)
+    return [k if text.split() else [] for text, k in zip(texts, keys.view(np.int64).tolist())], [row.tobytes() for row in signatures]
 
 
 def banded(docs: DataFrame, words: int, bands: int) -> DataFrame:
-    """(rid, doc_id, file, row, keys) of every row, written."""
+    """(rid, doc_id, file, row, keys, signature) of every row, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            made = [keys for _, rows in text_rows(batch, "text") for keys in band_keys(rows, words, bands)]
-            ids = pa.array(np.arange(rid, rid + len(made)))
-            rid += len(made)
-            columns = [ids, *(batch.column(c) for c in ("doc_id", "file", "row")), pa.array(made, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "file", "row", "keys"])
+            keys, signatures = [], []
+            for _, rows in text_rows(batch, "text"):
+                more = band_minima(rows, words, bands)
+                keys += more[0]
+                signatures += more[1]
+            ids = pa.array(np.arange(rid, rid + len(keys)))
+            rid += len(keys)
+            columns = [ids, *(batch.column(c) for c in ("doc_id", "file", "row")), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "file", "row", "keys", "signature"])
 
     placed = located(docs.select("doc_id", "text"))
     rows = placed.select("doc_id", F.col(LOC)["file"].alias("file"), F.col(LOC)["row"].alias("row"), "text")
     kind = placed.schema["doc_id"].dataType.simpleString()
-    return written(rows.mapInArrow(run, f"rid bigint, doc_id {kind}, file string, row bigint, keys array<bigint>"), "bands")
+    return written(rows.mapInArrow(run, f"rid bigint, doc_id {kind}, file string, row bigint, keys array<bigint>, signature binary"), "bands")
+
+
+def shards(prints: DataFrame, most: int) -> DataFrame:
+    """(key, rid, signature): the rows that share a band with another one. A band of over `most` rows is dealt again by each
+    other band of its rows, twice if need be: near copies share several bands, crowds of half-alike texts seldom do."""
+    deals = prints.select("rid", F.explode("keys").alias("key"))
+    found = None
+    for again in range(REDEALS + 1):
+        sizes = deals.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        shared = written(deals.join(sizes, "key"), "shared")
+        small = shared.where(F.col("n") <= most) if again < REDEALS else shared
+        found = small.select("key", "rid") if found is None else found.unionByName(small.select("key", "rid"))
+        large = shared.where(F.col("n") > most).select("key", "rid")
+        if again == REDEALS or large.isEmpty():
+            break
+        deals = large.join(prints.select("rid", F.explode("keys").alias("other")), "rid").where("other <> key").select("rid", F.xxhash64("key", "other").alias("key"))
+    return written(found.join(prints.select("rid", "signature"), "rid"), "shards")
+
+
+def joined(count: int, links: list[tuple[int, int]]) -> np.ndarray:
+    """The group of each of `count` places that `links` make, by its smallest place."""
+    root = list(range(count))
+
+    def top(at: int) -> int:
+        while root[at] != at:
+            root[at] = root[root[at]]
+            at = root[at]
+        return at
+
+    for x, y in links:
+        x, y = top(x), top(y)
+        root[max(x, y)] = min(x, y)
+    return np.array([top(at) for at in range(count)], np.int64)
 
 
-def offers(leaders: int):
-    """Task function: rows (key, rid) sorted by both -> (key, a, b, last), each row b with the first `leaders` rows a of its key before it.
+def spanning(signatures: np.ndarray, good: list[tuple[int, int]], failed: list[tuple[int, int]], least: float, more: int) -> list[tuple[int, int]]:
+    """Links (places) that join the likely alike rows of a shard into as few parts as possible, the likeliest first.
 
-    `last` marks rows that are no leader themselves.
+    A tree grows by the row that is most alike to some row in it; rows that `good` links join are one, `failed` links are not
+    offered again, and a row with no likely partner begins a tree of its own. Each row also offers its `more` likeliest
+    partners of other parts.
     """
+    count, width = signatures.shape
+    groups = joined(count, good)
+    best, near = np.full(count, -1.0), np.zeros(count, np.int64)
+    waiting, links = np.ones(count, bool), []
+    barred: dict[int, list[int]] = {}
+    for x, y in failed:
+        barred.setdefault(x, []).append(y)
+        barred.setdefault(y, []).append(x)
+    for _ in range(count):
+        at = int(np.argmax(np.where(waiting, best, -2.0)))
+        if least <= best[at] <= 1.0:
+            links.append((int(near[at]), at))
+        waiting[at] = False
+        share = (signatures == signatures[at]).sum(axis=1) / width
+        share[barred.get(at, [])] = -1.0
+        share[groups == groups[at]] = 2.0  # joined already
+        if more:
+            order = np.argsort(-np.where(share > 1.0, -1.0, share), kind="stable")[:more]
+            links += [(at, int(k)) for k in order if least <= share[k] <= 1.0]
+        closer = share > best
+        best[closer], near[closer] = share[closer], at
+    return links
+
+
+def offers(least: float, more: int):
+    """Task function: rows (key, good, a, b, signature) sorted by key -> (key, a, b), the links to verify in each shard.
+
+    A member has its row number in a and a signature; a judged link has its ends and whether it was `good`.
+    """
+
+    def shard_links(table: pa.Table) -> pa.RecordBatch:
+        key, a, b = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "a", "b"))
+        good, signatures = table.column("good").to_pylist(), table.column("signature").to_pylist()
+        edges = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)).tolist()
+        out: list[tuple[int, int, int]] = []
+        for low, high in zip(edges, edges[1:]):
+            own = [k for k in range(low, high) if signatures[k] is not None]
+            matrix = np.frombuffer(b"".join(signatures[k] for k in own), np.uint8).reshape(len(own), -1)
+            place = {int(a[k]): at for at, k in enumerate(own)}
+            judged = {verdict: [(place[int(a[k])], place[int(b[k])]) for k in range(low, high) if signatures[k] is None and good[k] is verdict] for verdict in (True, False)}
+            for x, y in spanning(matrix, judged[True], judged[False], least, more):
+                ends = int(a[own[x]]), int(a[own[y]])
+                out.append((int(key[low]), min(ends), max(ends)))
+        columns = [pa.array([row[k] for row in out], pa.int64()) for k in range(3)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rid")] for batch in batches]
-        if not read:
-            return
-        keys, rids = (np.concatenate(column) for column in zip(*read))
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        place = np.arange(len(keys)) - first
-        for leader in range(min(leaders, int(place.max()))):
-            b = np.flatnonzero(place > leader)
-            columns = [keys[b], rids[first[b] + leader], rids[b], place[b] >= leaders]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "a", "b", "last"])
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = table.column("key").to_numpy()
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if len(keys) and keys[0] != keys[-1] else 0  # the last shard may go on
+            if cut:
+                yield shard_links(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None and held.num_rows:
+            yield shard_links(held)
 
     return run
 
@@ -291,34 +380,45 @@ def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
     return drop_rows(docs, lambda rows: near_copies(rows, **settings))
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 20) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 20, most: int = SHARD_ROWS) -> DataFrame:
     """(file, row) of the near copies of a document with a smaller doc_id.
 
-    Texts are candidates if one of `bands` bands of `BAND` minima of their `words`-word shingles is equal, wherever the texts
-    differ: at Jaccard 0.8 all but 0.04 % of the pairs, at 0.5 half of them. Each is verified on the sets of shingles of both
-    whole texts. A row whose link to the first row of its band fails is offered the next rows of those that failed, twice as
-    many in each round, until one passes or none is left. Texts without words stay.
+    Texts meet in a shard if one of `bands` bands of `BAND` minima of their `words`-word shingles is equal, wherever the texts
+    differ: at Jaccard 0.8 all but 0.04 % of the pairs. Inside a shard the shares of equal minima decide which links are likely
+    (at most LIKELY below `similarity`: all but about 0.02 % of the pairs at 0.8), and only as many are sent on as join the likely
+    rows, the likeliest first. Each is verified on the sets of shingles of both whole texts, once. In shards where links failed,
+    rows that are still apart there offer their next partners, FASTER times as many in each round, until no likely link is left that could
+    join two groups. So what is sent grows with the rows of a crowd, not with its pairs, while its links hold.
+
+    Texts without words stay; a null doc_id is smaller than any other; of rows with the same doc_id the first read stays;
+    repeated rows are near copies of each other; an empty table gives no rows.
     """
     placed = located(docs.select("doc_id", "text"))
     texts = placed.select("text", F.col(LOC)["file"].alias("file"), F.col(LOC)["row"].alias("row"))
     prints = banded(placed.drop(LOC), words, bands)
-    rows, sets, good, leaders = prints.select("rid", F.explode("keys").alias("key")), None, None, 1
+    members = shards(prints, most)
+    ends = members.select("rid").distinct()
+    sets = written(shingle_sets(texts.join(prints.select("rid", "file", "row").join(ends, "rid"), ["file", "row"]), words), "shingles")
+    own = members.select("key", F.lit(None).cast("boolean").alias("good"), F.col("rid").alias("a"), F.col("rid").alias("b"), "signature")
+    judged, known, more = None, None, 0
     while True:
-        dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", "rid")
-        offered = written(dealt.select("key", "rid").mapInArrow(offers(leaders), "key bigint, a bigint, b bigint, last boolean"), "offered")
-        if offered.isEmpty() and good is not None:
+        rows = own if known is None else own.unionByName(known.withColumn("signature", F.lit(None).cast("binary")))
+        dealt = rows.repartition(F.col("key")).sortWithinPartitions("key")
+        offered = written(dealt.mapInArrow(offers(similarity - LIKELY, more), "key bigint, a bigint, b bigint").distinct(), "offered")
+        fresh = offered.select("a", "b").distinct()
+        fresh = written(fresh if judged is None else fresh.join(judged, ["a", "b"], "left_anti"), "fresh")
+        passed = alike(fresh, sets, similarity).withColumn("good", F.lit(True))
+        verdicts = written(fresh.join(passed, ["a", "b"], "left").fillna(False, ["good"]), "verdicts")
+        judged = verdicts if judged is None else judged.unionByName(verdicts)
+        told = written(offered.join(judged, ["a", "b"]).select("key", "good", "a", "b"), "told")
+        open_ = written(told.where("not good").select("key").distinct(), "open")
+        if open_.isEmpty():
             break
-        links = offered.select("a", "b").distinct()
-        if sets is None:
-            ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).distinct()
-            wanted = prints.select("rid", "file", "row").join(ends, "rid")
-            sets = written(shingle_sets(texts.join(wanted, ["file", "row"]), words), "shingles")
-        passed = written(alike(links, sets, similarity), "passed")
-        good = passed if good is None else good.unionByName(passed)
-        judged = offered.where("last").join(passed.withColumn("good", F.lit(1)), ["a", "b"], "left")
-        rows = judged.groupBy("key", F.col("b").alias("rid")).agg(F.max("good").alias("good")).where("good IS NULL").select("rid", "key")
-        leaders *= 2
-    groups = components(good, "a", "b").join(prints.select(F.col("rid").alias("node"), "doc_id", "file", "row"), "node")
+        known = told if known is None else known.unionByName(told)
+        known, own = known.join(open_, "key", "left_semi"), own.join(open_, "key", "left_semi")
+        more = max(2, FASTER * more)
+    groups = components(judged.where("good"), "a", "b")
+    groups = groups.join(prints.select(F.col("rid").alias("node"), "doc_id", "file", "row"), "node")
     stays = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("stay"))
     return groups.join(stays, "root").where(F.col("stay.node") != F.col("node")).select("file", "row")
 

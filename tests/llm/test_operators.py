@@ -255,6 +255,49 @@ def test_near_copies_behind_nearer_bags(spark):
     assert left == sorted([100 * i + j for i in range(12) for j in range(4)] + [5000 + j for j in range(30)])
 
 
+def test_near_copies_are_whole_components(spark):
+    """Chains in which only neighbours are alike: one row of each connected group stays, also where the ends of a chain differ."""
+    rng = random.Random(23)
+    data = []
+    for chain in range(8):
+        words = cases.prose(rng, 240, 4000).split()
+        for step in range(8):
+            data.append((100 * chain + rng.randrange(1000) * 1000 + step, " ".join(words)))
+            at = rng.randrange(200)
+            words[at : at + 14] = cases.prose(rng, 14, 4000).split()
+    root = {d: d for d, _ in data}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    links = [(a, b) for i, (a, x) in enumerate(data) for b, y in data[:i] if shingle_jaccard(x, y) >= 0.8]
+    for a, b in links:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    left = sorted(r.doc_id for r in simhash.drop_near_copies(cases.table(spark, data)).collect())
+    assert left == sorted({top(d) for d, _ in data}) and len(left) < 20
+
+
+@pytest.mark.parametrize("most", [30])
+def test_links_of_a_crowd_grow_with_its_rows(spark, monkeypatch, most):
+    """A crowd that shares a band but not the similarity, and a crowd of near copies, in shards of any size."""
+    verified = []
+    alike = simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda links, sets, least: verified.append(links.count()) or alike(links, sets, least))
+    counts = []
+    for size in (60, 180):
+        rng, verified[:] = random.Random(29), []
+        shared, base = cases.prose(rng, 150, 3000), cases.prose(rng, 200, 3000)
+        crowd = [f"{shared} {cases.prose(rng, 50, 3000)}" for _ in range(size)]  # 0.6 alike
+        copies = [f"{base} tail{j}" for j in range(size)]
+        data = list(enumerate(crowd)) + [(10_000 + j, text) for j, text in enumerate(copies)]
+        gone = simhash.near_copies(cases.table(spark, data), most=most).count()
+        assert gone == size - 1
+        counts.append(sum(verified))
+    assert counts[1] < 6 * counts[0] and counts[1] < 180 * 12
+
+
 def test_components(spark):
     chain = spark.range(1, 300).selectExpr("id as a", "id - 1 as b")
     other = spark.createDataFrame([(1000, 1001), (1002, 1001), (5000, 5000)], "a bigint, b bigint")
