@@ -239,7 +239,7 @@ def banded(docs: DataFrame, words: int, bands: int) -> DataFrame:
 
 
 def shards(prints: DataFrame, most: int) -> DataFrame:
-    """(key, rid, signature): the rows that share a band with another one. A band of over `most` rows is dealt again by each
+    """(key, rid, signature, keys): the rows that share a band with another one. A band of over `most` rows is dealt again by each
     other band of its rows, twice if need be: near copies share several bands, crowds of half-alike texts seldom do."""
     deals = prints.select("rid", F.explode("keys").alias("key"))
     found = None
@@ -252,7 +252,7 @@ def shards(prints: DataFrame, most: int) -> DataFrame:
         if again == REDEALS or large.isEmpty():
             break
         deals = large.join(prints.select("rid", F.explode("keys").alias("other")), "rid").where("other <> key").select("rid", F.xxhash64("key", "other").alias("key"))
-    return written(found.join(prints.select("rid", "signature"), "rid"), "shards")
+    return written(found.join(prints.select("rid", "signature", "keys"), "rid"), "shards")
 
 
 def joined(count: int, links: list[tuple[int, int]]) -> np.ndarray:
@@ -271,9 +271,11 @@ def joined(count: int, links: list[tuple[int, int]]) -> np.ndarray:
     return np.array([top(at) for at in range(count)], np.int64)
 
 
-def spanning(signatures: np.ndarray, good: list[tuple[int, int]], failed: list[tuple[int, int]], least: float, more: int) -> list[tuple[int, int]]:
+def spanning(signatures: np.ndarray, keys: np.ndarray, band: int, good: list[tuple[int, int]], failed: list[tuple[int, int]], least: float, more: int) -> list[tuple[int, int]]:
     """Links (places) that join the likely alike rows of a shard into as few parts as possible, the likeliest first.
 
+    Two rows are judged in the first band that both share (`keys`: their bands; `band`: the shard's own, -1 if dealt again).
+
     A tree grows by the row that is most alike to some row in it; rows that `good` links join are one, `failed` links are not
     offered again, and a row with no likely partner begins a tree of its own. Each row also offers its `more` likeliest
     partners of other parts.
@@ -293,6 +295,8 @@ def spanning(signatures: np.ndarray, good: list[tuple[int, int]], failed: list[t
         waiting[at] = False
         share = (signatures == signatures[at]).sum(axis=1) / width
         share[barred.get(at, [])] = -1.0
+        if band > 0:
+            share[(keys[:, :band] == keys[at, :band]).any(axis=1)] = -1.0
         share[groups == groups[at]] = 2.0  # joined already
         if more:
             order = np.argsort(-np.where(share > 1.0, -1.0, share), kind="stable")[:more]
@@ -303,14 +307,15 @@ def spanning(signatures: np.ndarray, good: list[tuple[int, int]], failed: list[t
 
 
 def offers(least: float, more: int):
-    """Task function: rows (key, good, a, b, signature) sorted by key -> (key, a, b), the links to verify in each shard.
+    """Task function: rows (key, good, a, b, signature, keys) sorted by key -> (key, a, b), the links to verify in each shard.
 
-    A member has its row number in a and a signature; a judged link has its ends and whether it was `good`.
+    A member has its row number in a, its group in b, a signature and the keys of its bands; a judged link has its ends and
+    whether it was `good`.
     """
 
     def shard_links(table: pa.Table) -> pa.RecordBatch:
         key, a, b = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "a", "b"))
-        good, signatures = table.column("good").to_pylist(), table.column("signature").to_pylist()
+        good, signatures, keys_ = (table.column(c).to_pylist() for c in ("good", "signature", "keys"))
         edges = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)).tolist()
         out: list[tuple[int, int, int]] = []
         for low, high in zip(edges, edges[1:]):
@@ -318,7 +323,11 @@ def offers(least: float, more: int):
             matrix = np.frombuffer(b"".join(signatures[k] for k in own), np.uint8).reshape(len(own), -1)
             place = {int(a[k]): at for at, k in enumerate(own)}
             judged = {verdict: [(place[int(a[k])], place[int(b[k])]) for k in range(low, high) if signatures[k] is None and good[k] is verdict] for verdict in (True, False)}
-            for x, y in spanning(matrix, judged[True], judged[False], least, more):
+            bands = np.array([keys_[k] for k in own], np.int64)
+            at_band = np.flatnonzero((bands == key[low]).all(axis=0))
+            first: dict[int, int] = {}
+            judged[True] += [(first.setdefault(int(b[k]), at), at) for at, k in enumerate(own)]
+            for x, y in spanning(matrix, bands, int(at_band[0]) if len(at_band) else -1, judged[True], judged[False], least, more):
                 ends = int(a[own[x]]), int(a[own[y]])
                 out.append((int(key[low]), min(ends), max(ends)))
         columns = [pa.array([row[k] for row in out], pa.int64()) for k in range(3)]
@@ -387,7 +396,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     differ: at Jaccard 0.8 all but 0.04 % of the pairs. Inside a shard the shares of equal minima decide which links are likely
     (at most LIKELY below `similarity`: all but about 0.02 % of the pairs at 0.8), and only as many are sent on as join the likely
     rows, the likeliest first. Each is verified on the sets of shingles of both whole texts, once. In shards where links failed,
-    rows that are still apart there offer their next partners, FASTER times as many in each round, until no likely link is left that could
+    rows that are still apart there and were not joined elsewhere by the first links offer their next partners, FASTER times as many in each round, until no likely link is left that could
     join two groups. So what is sent grows with the rows of a crowd, not with its pairs, while its links hold.
 
     Texts without words stay; a null doc_id is smaller than any other; of rows with the same doc_id the first read stays;
@@ -399,25 +408,27 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     members = shards(prints, most)
     ends = members.select("rid").distinct()
     sets = written(shingle_sets(texts.join(prints.select("rid", "file", "row").join(ends, "rid"), ["file", "row"]), words), "shingles")
-    own = members.select("key", F.lit(None).cast("boolean").alias("good"), F.col("rid").alias("a"), F.col("rid").alias("b"), "signature")
-    judged, known, more = None, None, 0
+    own = members.select("key", F.lit(None).cast("boolean").alias("good"), F.col("rid").alias("a"), F.col("rid").alias("b"), "signature", "keys")
+    good, known, more = None, None, 0
     while True:
-        rows = own if known is None else own.unionByName(known.withColumn("signature", F.lit(None).cast("binary")))
+        blank = {"signature": F.lit(None).cast("binary"), "keys": F.lit(None).cast("array<bigint>")}
+        rows = own if known is None else own.unionByName(known.withColumns(blank))
         dealt = rows.repartition(F.col("key")).sortWithinPartitions("key")
         offered = written(dealt.mapInArrow(offers(similarity - LIKELY, more), "key bigint, a bigint, b bigint").distinct(), "offered")
-        fresh = offered.select("a", "b").distinct()
-        fresh = written(fresh if judged is None else fresh.join(judged, ["a", "b"], "left_anti"), "fresh")
-        passed = alike(fresh, sets, similarity).withColumn("good", F.lit(True))
-        verdicts = written(fresh.join(passed, ["a", "b"], "left").fillna(False, ["good"]), "verdicts")
-        judged = verdicts if judged is None else judged.unionByName(verdicts)
-        told = written(offered.join(judged, ["a", "b"]).select("key", "good", "a", "b"), "told")
+        passed = written(alike(offered.select("a", "b").distinct(), sets, similarity), "passed")
+        good = passed if good is None else good.unionByName(passed)
+        told = written(offered.join(passed.withColumn("good", F.lit(True)), ["a", "b"], "left").fillna(False, ["good"]), "told")
         open_ = written(told.where("not good").select("key").distinct(), "open")
         if open_.isEmpty():
             break
+        told = told.select("key", "good", "a", "b")
         known = told if known is None else known.unionByName(told)
         known, own = known.join(open_, "key", "left_semi"), own.join(open_, "key", "left_semi")
+        if more == 0:  # what the first links have joined anywhere is one group in every shard
+            roots = components(good, "a", "b").select(F.col("node").alias("a"), "root")
+            own = own.join(roots, "a", "left").withColumn("b", F.coalesce("root", "b")).drop("root")
         more = max(2, FASTER * more)
-    groups = components(judged.where("good"), "a", "b")
+    groups = components(good, "a", "b")
     groups = groups.join(prints.select(F.col("rid").alias("node"), "doc_id", "file", "row"), "node")
     stays = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("stay"))
     return groups.join(stays, "root").where(F.col("stay.node") != F.col("node")).select("file", "row")
