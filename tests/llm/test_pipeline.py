@@ -34,9 +34,11 @@ def test_stages_keep_columns_and_only_drop_rows(kept):
         assert after.exceptAll(before.select(after.columns)).isEmpty()
 
 
-def test_quality_drops_labelled_junk_and_keeps_good_prose(spark, kept):
-    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
-    left = ids(kept[1][1])
+def test_quality_drops_labelled_junk_and_keeps_good_prose(spark):
+    """Junk takes no part in the training, so its labels are held out; 200 documents of sf0.001 are too few to train on."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    left = ids(P.quality(spark, documents(spark, sf), sf))
     bad, good = ({r.doc_id for r in labels if r.quality == q and not r.toxic} for q in (0, 1))
     assert len(bad - left) >= 0.9 * len(bad) and len(good & left) >= 0.95 * len(good)
 
