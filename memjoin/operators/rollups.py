@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,8 +98,8 @@ def resample_sums(repeats: int):
     return run
 
 
-def bootstrap_ci(long: DataFrame, repeats: int = 300) -> DataFrame:
-    """(metric, ci_low, ci_high): nearest-rank 2.5 and 97.5 % of `repeats` resampled means. `long`: key (integer), metric, value.
+def poisson_ci(long: DataFrame, repeats: int = 300) -> DataFrame:
+    """The interval of `bootstrap_ci` by Poisson weights, whose resamples differ in size. `long`: key (integer), metric, value.
 
     Resamples are weights, not copies of rows: all sums are made in one pass inside the tasks, and a task sends `repeats` rows
     for each metric. A row's weights depend on its key alone, so the answer does not depend on order or partitions.
@@ -109,6 +110,64 @@ def bootstrap_ci(long: DataFrame, repeats: int = 300) -> DataFrame:
     return exact_quantiles(means, "metric", "mean", {"ci_low": (0.025, ceil_place), "ci_high": (0.975, ceil_place)})
 
 
+def resample_draws(repeats: int, block: int):
+    """Task function: rows (metric, n, at) -> (metric, part, draws), the places that the resamples draw, by block of places.
+
+    A draw is the resample times `block` plus the place in its block, a 32-bit integer.
+    """
+
+    def run(batches):
+        reps = np.arange(repeats, dtype=np.int64)
+        for batch in batches:
+            metric = batch.column("metric").dictionary_encode()
+            codes, names = metric.indices.to_numpy(zero_copy_only=False), metric.dictionary.to_pylist()
+            count, at = batch.column("n").to_numpy(), batch.column("at").to_numpy()
+            for first in range(0, batch.num_rows, RESAMPLE_ROWS):
+                rows = slice(first, first + RESAMPLE_ROWS)
+                mixed = (reps * SPREAD + at[rows, None]) % PRIME
+                for step in MIXES:
+                    mixed = (mixed * mixed + mixed * step + 7) % PRIME
+                drawn = mixed % count[rows, None]
+                for code in np.unique(codes[rows]):
+                    own = drawn[codes[rows] == code]
+                    parts = (own // block).ravel()
+                    draws = (reps * block + own % block).ravel().astype(np.int32)
+                    order = np.argsort(parts, kind="stable")
+                    there, starts = np.unique(parts[order], return_index=True)
+                    held = [part.tobytes() for part in np.split(draws[order], starts[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[code]] * len(there)), pa.array(there), pa.array(held, pa.binary())], ["metric", "part", "draws"])
+
+    return run
+
+
+def bootstrap_ci(long: DataFrame, repeats: int = 300, block: int = RESAMPLE_ROWS) -> DataFrame:
+    """(metric, ci_low, ci_high): nearest-rank 2.5 and 97.5 % of `repeats` resampled means. `long`: metric, value.
+
+    A resample draws as many values as there are, with replacement, by place in the order of the values; the place is a hash of
+    the resample and the number of the draw. Draws travel packed to the block of places they fall into and meet its values
+    there, so no row is copied and a task holds the values and draws of one block.
+    """
+    rows = long.select("metric", F.col("value").cast("double").alias("value"))
+    placed = numbered(cut_lineage(rows.orderBy("metric", F.col("value").asc_nulls_last())))
+    bounds = placed.groupBy("metric").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"))
+    local = placed.join(bounds, "metric").select("metric", "value", "n", (F.col("pos") - F.col("start")).alias("at"))
+    draws = local.select("metric", "n", "at").mapInArrow(resample_draws(repeats, block), "metric string, part bigint, draws binary")
+    values = local.where("value is not null").select("metric", F.floor(F.col("at") / block).alias("part"), (F.col("at") % block).cast("int").alias("place"), "value")
+
+    def sums(drawn: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        held, known = np.zeros(block), np.zeros(block, bool)
+        held[own["place"]], known[own["place"]] = own["value"], True
+        rep, place = np.divmod(np.frombuffer(b"".join(drawn["draws"]), np.int32), block)
+        rep, place = rep[known[place]], place[known[place]]
+        total, weight = np.bincount(rep, held[place], repeats), np.bincount(rep, minlength=repeats)
+        name = own["metric"].iloc[0] if len(own) else drawn["metric"].iloc[0] if len(drawn) else None
+        return pd.DataFrame({"metric": name, "rep": np.arange(repeats), "weight": weight, "total": total})
+
+    met = draws.groupBy("metric", "part").cogroup(values.groupBy("metric", "part")).applyInPandas(sums, "metric string, rep bigint, weight bigint, total double")
+    means = met.groupBy("metric", "rep").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0))).alias("mean")).where("mean is not null")
+    return exact_quantiles(means, "metric", "mean", {"ci_low": (0.025, ceil_place), "ci_high": (0.975, ceil_place)})
+
+
 def confusion_counts(score: Column, expected: Column, threshold: Column | float) -> list[Column]:
     hit, want = score >= threshold, expected == 1
     return [

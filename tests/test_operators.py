@@ -291,3 +291,17 @@ def test_lexical_scores_by_matrix_and_by_join(spark):
     asked = spark.createDataFrame([(q, " ".join(f"w{rng.randrange(45)}" for _ in range(4))) for q in range(7)] + [(7, "nothing known")], "q bigint, text string")
     rows = [sorted((r.q, r.id, round(r.score, 9), r["rank"]) for r in idf_token_scores(mem, asked, None, 5, matrix_bytes=size).collect()) for size in (128 << 20, 0)]
     assert rows[0] == rows[1] and len(rows[0]) == 35
+
+
+def test_bootstrap_draws_as_many_as_there_are(spark):
+    import numpy as np
+
+    values = {"m": sorted((k * k % 37) / 4 for k in range(150)), "one": [2.5], "two": [0.0, 1.0]}
+    long = spark.createDataFrame([(name, v) for name, vs in values.items() for v in reversed(vs)], "metric string, value double")
+    out = {r.metric: (r.ci_low, r.ci_high) for r in U.bootstrap_ci(long.repartition(5), 200, 16).collect()}
+    for name, vs in values.items():
+        mixed = (np.arange(200)[:, None] * U.SPREAD + np.arange(len(vs))) % U.PRIME
+        for step in U.MIXES:
+            mixed = (mixed * mixed + mixed * step + 7) % U.PRIME
+        means = np.sort(np.array(vs)[mixed % len(vs)].mean(axis=1))
+        assert np.allclose(out[name], (means[4], means[194]))
