@@ -415,3 +415,28 @@ def test_empty_tables(spark, empty):
         pii.find_pii(empty), decontaminate.contaminated(empty, bench), licenses.scan_licenses(empty),
     ]
     assert [m.count() for m in made] == [0] * len(made)
+
+
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """The BK-trees of op7 bring copies together, also where no band of minima would."""
+    monkeypatch.setattr(simhash, "shards", lambda prints, most, radius, plain=simhash.shards: plain(prints.withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k, "rid"))), most, radius))
+    rng = random.Random(31)
+    base = [cases.prose(rng, 400, 5000) for _ in range(10)]
+    data = list(enumerate(base)) + [(100 + i, text.upper() + " end") for i, text in enumerate(base)] + [(200, ""), (201, "")]
+    left = sorted(r.doc_id for r in simhash.drop_near_copies(cases.table(spark, data)).collect())
+    assert left == [*range(10), 200, 201]
+
+
+def test_rows_of_a_crowd_are_joined_once(spark, monkeypatch):
+    """Texts that are all a little less alike than near copies: each row meets its shards twice, whatever the number of pairs."""
+    verified = []
+    alike = simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda links, sets, least: verified.append(links.count()) or alike(links, sets, least))
+    for size in (40, 160):
+        rng, verified[:] = random.Random(37), []
+        shared = cases.prose(rng, 180, 3000)
+        crowd = [f"{shared} {cases.prose(rng, 24, 3000)}" for _ in range(size)]
+        assert 0.7 < shingle_jaccard(*crowd[:2]) < 0.8
+        data = list(enumerate(crowd)) + [(10_000 + j, text + " end") for j, text in enumerate(crowd)]
+        assert simhash.near_copies(cases.table(spark, data)).count() == size
+        assert sum(verified) < 20 * 2 * size
