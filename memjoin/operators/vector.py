@@ -19,6 +19,7 @@ from memjoin.operators.ranking import SCORE_PLACES, top_k
 BROADCAST_QUERY_BYTES = 16 << 20
 MEMORY_BLOCK_ROWS = 50_000
 QUERY_BLOCK_ROWS = 4_096
+QUERY_TILE, MEMORY_TILE = 256, 8_192  # scores held at a time
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -90,14 +91,26 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_topk(q_ids, q_matrix, ids, matrix, k):
-    """Best k of one memory block for every query, ids ascending inside equal scores; compared rounded, returned unrounded."""
+    """Best k of one memory block for every query, ids ascending inside equal scores; compared rounded, returned unrounded.
+
+    Scores exist for QUERY_TILE queries and MEMORY_TILE memories at a time; the k best so far meet each next tile.
+    """
     order = np.argsort(ids, kind="stable")
     ids, matrix = ids[order], matrix[order]
     picked = []
-    for start in range(0, len(q_ids), 512):
-        scores = q_matrix[start : start + 512] @ matrix.T
-        row, column = _best(np.round(scores, SCORE_PLACES), k)
-        picked.append((q_ids[start + row], ids[column], scores[row, column]))
+    for start in range(0, len(q_ids), QUERY_TILE):
+        asked = q_matrix[start : start + QUERY_TILE]
+        held, columns = np.zeros((len(asked), 0)), np.zeros((len(asked), 0), np.int64)
+        for low in range(0, len(ids), MEMORY_TILE):
+            scores = asked @ matrix[low : low + MEMORY_TILE].T
+            width = held.shape[1]
+            scores = np.concatenate([held, scores], axis=1)
+            row, column = _best(np.round(scores, SCORE_PLACES), k)
+            column = np.sort(column.reshape(len(asked), -1), axis=1)  # lower columns first, so that ties keep the lower id
+            held = np.take_along_axis(scores, column, axis=1)
+            before = np.concatenate([columns, np.zeros((len(asked), 1), np.int64)], axis=1)
+            columns = np.where(column < width, np.take_along_axis(before, np.minimum(column, width), axis=1), column - width + low)
+        picked.append((np.repeat(q_ids[start : start + QUERY_TILE], columns.shape[1]), ids[columns.ravel()], held.ravel()))
     return tuple(np.concatenate(part) for part in zip(*picked))
 
 

@@ -305,3 +305,25 @@ def test_bootstrap_draws_as_many_as_there_are(spark):
             mixed = (mixed * mixed + mixed * step + 7) % U.PRIME
         means = np.sort(np.array(vs)[mixed % len(vs)].mean(axis=1))
         assert np.allclose(out[name], (means[4], means[194]))
+
+
+def test_vector_scores_are_held_in_tiles(monkeypatch):
+    import numpy as np
+
+    from memjoin.operators import vector as V
+
+    rng = np.random.default_rng(3)
+    ids, asked = rng.permutation(300), np.arange(70)
+    memories, queries = np.round(rng.standard_normal((300, 4))), np.round(rng.standard_normal((70, 4)))  # many ties
+    held = []
+    best = V._best
+    monkeypatch.setattr(V, "_best", lambda scores, k: held.append(scores.size) or best(scores, k))
+    monkeypatch.setattr(V, "QUERY_TILE", 16, raising=False)
+    monkeypatch.setattr(V, "MEMORY_TILE", 32, raising=False)
+    q, found, score = V._block_topk(asked, queries, ids, memories, 5)
+    assert max(held) <= 16 * (32 + 5)
+    for row in asked:
+        own = {int(i): float(memories[at] @ queries[row]) for at, i in enumerate(ids)}
+        wanted = sorted(own, key=lambda i: (-round(own[i], 9), i))[:5]
+        got = dict(zip(found[q == row].tolist(), score[q == row].tolist()))
+        assert sorted(got, key=lambda i: (-round(got[i], 9), i)) == wanted and len(got) == 5
