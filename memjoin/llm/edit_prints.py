@@ -10,10 +10,11 @@ on, so texts of any length share the places that both reach. A sample is four bi
 the end. The fingerprint is the samples in order: its length grows with the logarithm of the text's. The likeness of two
 fingerprints is the share of equal samples, each weighted by the steps it stands for, less what chance alone gives.
 
-Near documents: fingerprints with equal digits at the sampled places of a band meet (band places are drawn by weight, for the
-text's own number of levels and for one less), each meets the band's first document only, and the meeting is verified by the
-likeness of the whole fingerprints. Equal fingerprints are one row before any band, so a crowd of copies is one member, and a
-band sends as many pairs as it has members.
+Near documents: fingerprints with equal digits at the sampled places of a band meet. Band places are drawn by weight, for the
+text's own number of levels and, if it has little of the last one, for one less, so that two texts of the least likeness share
+one of the BANDS bands but for 0.02 % (by calculation). Each meets the band's first document, and the members of a band
+that this leaves apart are all compared inside its task; only links verified by the likeness of the whole fingerprints count, and the
+groups are their connected components. Equal fingerprints are one row before any band, so a crowd of copies is one member.
 
 A text's next document comes from a cut of the order of doc_id into slices of bounded size: the first row of a slice also goes
 to the slice before, so each text moves once and every slice is read as a stream.
@@ -33,11 +34,11 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from memjoin.llm.common import LOC, documents, located, mix, scratch_path, written
+from memjoin.llm.common import LOC, components, documents, located, mix, scratch_path, written
 from memjoin.llm.order import numbered
 
 SAMPLES, FIRST = 64, 64  # samples in each level, steps of the first level
@@ -46,7 +47,9 @@ CROWD = 100  # texts that are worth walking side by side
 CHUNK = 1 << 23  # characters at a time
 ROWS, SLICES = 256, 100_000  # rows of a slice at least, slices at most
 CHANCE = 1 / 16
-BANDS, WIDTH = 4, 12  # bands of a fingerprint, samples in each
+BANDS, WIDTH = 40, 8  # bands of a fingerprint, samples in each
+TOP_SHARE = 0.25  # share of the last level up to which a text may be alike to one without that level
+SHARD_ROWS = 4096  # rows of a band that are compared in one task
 ALIKE = 0.8
 BROADCAST_ROWS = 200_000
 LOWEST = -(1 << 63)  # the key of a null doc_id
@@ -73,6 +76,7 @@ class Walk:
         self.rows = [row.tobytes() for row in self.wait]
         self.flat = self.wait.ravel()
         self.places, self.weight = np.zeros(0, np.int64), np.zeros(0)
+        self.drawn: dict[int, np.ndarray] = {}
 
     def levels(self, steps: int) -> int:
         return 0 if steps == 0 else 1 + max(0, int(steps - 1) // FIRST).bit_length()
@@ -139,20 +143,33 @@ class Walk:
         weight = np.where((left == 45) & (right == 45), 0.0, self.weight[:size])
         return max(0.0, (float(weight[left == right].sum() / weight.sum()) - CHANCE) / (1 - CHANCE))
 
+    def band_places(self, top: int) -> np.ndarray:
+        """The sampled places of each band, drawn by weight over `top` levels."""
+        if top not in self.drawn:
+            share = np.cumsum(self.weight[: top * SAMPLES])
+            points = np.stack([_draw(WIDTH, 1000 + BANDS * top + band) for band in range(BANDS)])
+            self.drawn[top] = np.searchsorted(share, (points >> np.uint64(11)).astype(np.float64) / 2.0**53 * share[-1], side="right")
+        return self.drawn[top]
+
     def bands(self, print_: bytes) -> list[int]:
-        """Hashes of the keys of a fingerprint's bands: for its number of levels and for one less."""
+        """Hashes of the keys of a fingerprint's bands: for its number of levels and, if it has little of the last one, for one less."""
         keys = []
         levels = len(print_) // SAMPLES
         self.need(levels)
         digits = np.frombuffer(print_, np.uint8)
-        for top in {levels, max(levels - 1, 1)} if levels else ():
-            share = np.cumsum(self.weight[: top * SAMPLES])
-            for band in range(BANDS):
-                drawn = (_draw(WIDTH, 1000 + 64 * top + band) >> np.uint64(11)).astype(np.float64) / 2.0**53
-                chosen = digits[np.searchsorted(share, drawn * share[-1], side="right")]
-                keys.append(xxh3_64_intdigest(bytes([top, band]) + chosen.tobytes()) - (1 << 63))
+        little = levels > 1 and np.count_nonzero(digits[-SAMPLES:] != 45) <= TOP_SHARE * SAMPLES
+        for top in (levels, levels - 1)[: 1 + little] if levels else ():
+            chosen = digits[self.band_places(top)]
+            keys += [xxh3_64_intdigest(bytes([top, band]) + row.tobytes()) - (1 << 63) for band, row in enumerate(chosen)]
         return keys
 
+    def alike(self, one: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The likeness of a fingerprint to each of `others`, all padded to one length and none empty."""
+        size = len(one)
+        self.need(size // SAMPLES)
+        counted = np.where((others == 45) & (one == 45), 0.0, self.weight[:size])
+        return np.maximum(0.0, ((counted * (others == one)).sum(axis=1) / counted.sum(axis=1) - CHANCE) / (1 - CHANCE))
+
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -273,7 +290,49 @@ def verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
     for batch in batches:
         a, b = batch.column("fingerprint").to_pylist(), batch.column("other").to_pylist()
         score = np.array([walk.likeness(x.encode(), y.encode()) for x, y in zip(a, b)], np.float64)
-        yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("near")], ["print", "near"]).filter(pa.array(score >= least))
+        yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("to")], ["print", "to"]).filter(pa.array(score >= least))
+
+
+def linked(least: float):
+    """Task function: rows (band, left, right, part, print, root, fingerprint), sorted by shard -> links (print, to) that join all
+    rows of a shard that are at least `least` alike; rows of equal `root` are joined already. A row is compared with the rows after
+    it, in a shard of two parts with those of the other part only."""
+
+    def links(rows: pa.Table, walk: Walk) -> pa.RecordBatch:
+        prints, texts = rows.column("print").to_pylist(), rows.column("fingerprint").to_pylist()
+        size = max(map(len, texts))
+        digits = np.frombuffer("".join(t.ljust(size, "-") for t in texts).encode(), np.uint8).reshape(len(texts), size)
+        _, groups = np.unique(rows.column("root").to_numpy(), return_inverse=True)
+        part = rows.column("part").to_numpy()
+        halves = part.min() != part.max()
+        found = []
+        for at in range(len(texts) - 1):
+            rest = np.flatnonzero(groups[at + 1 :] != groups[at]) + at + 1
+            rest = rest[part[rest] != part[at]] if halves else rest
+            if len(rest):
+                for other in rest[walk.alike(digits[at], digits[rest]) >= least].tolist():
+                    if groups[other] != groups[at]:
+                        found.append((prints[at], prints[other]))
+                        groups[groups == groups[other]] = groups[at]
+        return pa.RecordBatch.from_arrays([pa.array([pair[k] for pair in found], pa.int64()) for k in range(2)], ["print", "to"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, held, name = Walk(), [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "left", "right")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for low, high in zip(edges, edges[1:]):
+                if held and tuple(keys[low]) != name:
+                    yield links(pa.concat_tables(held), walk)
+                    held = []
+                name = tuple(keys[low])
+                held.append(pa.Table.from_batches([batch.slice(low, high - low)]))
+        if held:
+            yield links(pa.concat_tables(held), walk)
+
+    return run
 
 
 def small(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -282,27 +341,43 @@ def small(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
-def near_documents(prints: DataFrame, least: float = ALIKE) -> DataFrame:
-    """(print, near_id): the smallest doc_id among the texts of a fingerprint and the verified firsts of its bands, for the
-    fingerprints of which that is not simply the only row. `print` is the digest of the fingerprint."""
+def near_documents(prints: DataFrame, least: float = ALIKE, most: int = SHARD_ROWS) -> DataFrame:
+    """(print, near_id): the smallest doc_id that links between fingerprints at least `least` alike reach, for the fingerprints
+    of which that is not simply the only row. `print` is the 64-bit hash of the fingerprint.
+
+    Every member of a band first meets the band's first; where that leaves members apart, all of them are compared. A band of
+    over `most` such rows is cut into parts, and every two parts are compared in a task of their own.
+    """
     named = prints.withColumn("print", digest_of("fingerprint"))
-    texts = named.groupBy("print").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies"))
-    heads = named.join(texts.withColumnRenamed("print", "_print"), (F.col("print") == F.col("_print")) & (F.col("doc_id") == F.col("own")))
-    bands = heads.select("print", "own", F.explode("bands").alias("band")).distinct()
-    firsts = bands.groupBy("band").agg(F.min(F.struct("own", "print")).alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
-    meetings = bands.join(firsts, "band").where(F.col("first.print") != F.col("print")).select("print", F.col("first.print").alias("to"), F.col("first.own").alias("near")).distinct()
-    met = small(meetings, "meetings")
-    plain = heads.select(F.col("print").alias("_print"), "fingerprint")
+    texts = written(named.groupBy("print").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies")), "texts")
+    heads = named.join(texts.withColumnRenamed("print", "_print"), (F.col("print") == F.col("_print")) & (F.col("doc_id").eqNullSafe(F.col("own"))))
+    plain = heads.groupBy(F.col("print").alias("_print")).agg(F.first("fingerprint").alias("fingerprint"))
+    bands = heads.select("print", F.explode("bands").alias("band"))
+    own_band = Window.partitionBy("band")
+    shared = written(bands.withColumns({"to": F.min("print").over(own_band), "n": F.count("*").over(own_band)}).where("n > 1"), "shared")
+    met = small(shared.where("to <> print").select("print", "to").distinct(), "meetings")
     left = met.join(plain, F.col("print") == F.col("_print")).drop("_print")
     pairs = small(left, "pairs").join(plain.withColumnRenamed("fingerprint", "other"), F.col("to") == F.col("_print")).drop("_print")
-    links = pairs.select("print", "near", "fingerprint", "other").mapInArrow(lambda batches: verified(batches, least), "print binary, near bigint")
-    best = links.groupBy("print").agg(F.min("near").alias("near"))
-    found = texts.join(best, "print", "left").where("copies > 1 or near is not null")
-    return found.select("print", F.least("near", "own").alias("near_id"))
+    good = written(pairs.mapInArrow(lambda batches: verified(batches, least), "print bigint, to bigint"), "links")
+
+    roots = components(good, "print", "to").withColumnRenamed("node", "print")
+    rooted = shared.where("n > 2").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low < high")
+    parts = F.ceil(F.col("rows") / most).cast("int")
+    own = rooted.join(apart.select("band", parts.alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = own.select("band", "part", "print", "root", every.alias("other")).select("band", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "print", "root")
+    shards = dealt.join(plain, F.col("print") == F.col("_print")).drop("_print").repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
+    further = written(shards.mapInArrow(linked(least), "print bigint, to bigint"), "further")
+
+    groups = components(good.unionByName(further), "print", "to").withColumnRenamed("node", "print")
+    placed = texts.join(groups, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    lowest = placed.groupBy("root").agg(F.min("own").alias("near_id"), F.sum("copies").alias("rows")).where("rows > 1")
+    return placed.join(lowest, "root").select("print", "near_id")
 
 
 def digest_of(column: str) -> Column:
-    return F.unhex(F.md5(F.encode(column, "UTF-8")))
+    return F.xxhash64(column)
 
 
 def op12_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,3 +284,36 @@ def test_near_documents(spark):
     near = {r.doc_id: r.doc_id if r.near_id is None else r.near_id for r in named.collect()}
     assert all(near[k] == k for k in range(40)) and all(near[100 + k] == k for k in range(10))
     assert sum(near[200 + k] == k for k in range(20)) >= 16 and all(near[200 + k] in (k, 200 + k) for k in range(20))
+
+
+def test_near_documents_leave_out_no_link(spark):
+    """Every pair of at least the threshold is linked, also of members that are not alike to their bands' first."""
+    rng = random.Random(41)
+    rows = []
+    for k in range(12):
+        words = cases.prose(rng, 250, 5000).split()
+        for step in range(6):
+            rows.append((100 * step + k, " ".join(words)))
+            for at in rng.sample(range(len(words)), 5):
+                words[at] = cases.prose(rng, 1, 5000)
+    prints = edit_prints.fingerprints(cases.table(spark, rows)).cache()
+    walk, data = edit_prints.Walk(), {r.doc_id: r.fingerprint.encode() for r in prints.collect()}
+    root = {d: d for d in data}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(data)
+    linked = 0
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if walk.likeness(data[a], data[b]) >= edit_prints.ALIKE:
+                linked += 1
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    assert linked > 40
+    for most in (4096, 2):
+        named = prints.withColumn("print", edit_prints.digest_of("fingerprint")).join(edit_prints.near_documents(prints, most=most), "print", "left")
+        near = {r.doc_id: r.doc_id if r.near_id is None else r.near_id for r in named.collect()}
+        assert near == {d: top(d) for d in ids}
