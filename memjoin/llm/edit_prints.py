@@ -362,7 +362,9 @@ def near_documents(prints: DataFrame, least: float = ALIKE, most: int = SHARD_RO
 
     roots = components(good, "print", "to").withColumnRenamed("node", "print")
     rooted = shared.where("n > 2").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low < high")
+    members = F.sum(F.xxhash64("print").cast("decimal(38,0)")).alias("members")
+    apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"), members).where("low < high")
+    apart = apart.groupBy("members", "rows").agg(F.min("band").alias("band"))  # bands of the same members are one
     parts = F.ceil(F.col("rows") / most).cast("int")
     own = rooted.join(apart.select("band", parts.alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
