@@ -8,18 +8,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memjoin.functions.text import contains_any, squeeze
+from memjoin.functions.text import squeeze
 
 # Extraction patterns, word lists, marker terms, confidences and the seed registry.
 PROMPT_VERSION = "field-classifier-v1"
-USER_PATTERN = r"\buser_\d{3}\b"
-PROJECT_PATTERN = r"\bproject_\d{3}\b"
 SESSION_PATTERN = r"\buser_\d{3}_project_\d{3}_[a-z0-9_:-]+\b"
 BRANDS = ["aurora", "cinder", "northstar", "ember", "harbor", "kinetic", "mosaic", "signal"]
 TOOLS = ["qwen", "figma", "slack", "jira", "github", "bigquery", "drive", "salesforce"]
@@ -77,43 +76,66 @@ def _found(field: str, value: Column, confidence: float, span: Column | None = N
     )
 
 
-def rule_predictions(text: Column) -> Column:
-    """array<struct<field, value, confidence, span>> by patterns and word lists, each distinct."""
-    lowered = F.lower(text)
+def one_of(options: list[str]) -> str:
+    """A whole-word pattern of all options that looks at a word's first letter before it tries any of them."""
+    tails = {head: sorted(o[1:] for o in options if o[0] == head) for head in sorted({o[0] for o in options})}
+    return f"(?=[{''.join(tails)}])" + r"\b(?:" + "|".join(f"{head}(?:{'|'.join(ends)})" for head, ends in tails.items()) + r")\b"
 
-    def pattern(expression: str) -> Column:
-        return F.array_distinct(F.regexp_extract_all(lowered, F.lit(expression), F.lit(0)))
 
-    words = pattern(r"\b(?:" + "|".join(BRANDS + TOOLS + COLORS + TONES) + r")\b")
+# All words of the rules in one pass: none of them can start inside another one, so they are the same as one by one.
+WORD_PATTERN = one_of([*BRANDS, *TOOLS, *COLORS, *TONES, r"user_\d{3}", r"project_\d{3}"])
+
+
+def marks(items: DataFrame, item: str, text: str = "text") -> DataFrame:
+    """(item, words, sessions, current, stale, corrects): what the rules look for, every text lowered and searched once."""
+    lowered = items.select(F.col(item).alias("item"), F.lower(F.col(text)).alias("lowered"))
+
+    def found(expression: str) -> Column:
+        return F.array_distinct(F.regexp_extract_all("lowered", F.lit(expression), F.lit(0)))
+
+    def holds(terms: list[str]) -> Column:
+        return reduce(Column.__or__, [F.col("lowered").contains(t) for t in terms])
+
+    return lowered.select(
+        "item", found(WORD_PATTERN).alias("words"), found(SESSION_PATTERN).alias("sessions"),
+        holds(CURRENT_TERMS).alias("current"), holds(STALE_TERMS).alias("stale"), holds(CORRECTION_SIGNALS).alias("corrects"),
+    )
+
+
+def rule_predictions() -> Column:
+    """array<struct<field, value, confidence, span>> from the columns of `marks`, each distinct."""
 
     def listed(options: list[str]) -> Column:
-        return F.filter(words, lambda w: w.isin(options))
+        return F.filter("words", lambda w: w.isin(options))
+
+    def numbered(prefix: str) -> Column:
+        return F.filter("words", lambda w: w.startswith(prefix))
 
-    def flag(field: str, value: str, confidence: float, terms: list[str]) -> Column:
+    def flag(field: str, value: str, confidence: float, hit: str) -> Column:
         none = F.array().cast(PREDICTION)
-        return F.when(contains_any(text, terms), F.array(_found(field, F.lit(value), confidence)).cast(PREDICTION)).otherwise(none)
+        return F.when(F.col(hit), F.array(_found(field, F.lit(value), confidence)).cast(PREDICTION)).otherwise(none)
 
     parts = [
-        F.transform(pattern(USER_PATTERN), lambda v: _found("user_id", v, 0.96)),
-        F.transform(pattern(USER_PATTERN), lambda v: _found("entity", v, 0.82)),
-        F.transform(pattern(PROJECT_PATTERN), lambda v: _found("project", v, 0.96)),
-        F.transform(pattern(PROJECT_PATTERN), lambda v: _found("entity", v, 0.84)),
-        F.transform(pattern(SESSION_PATTERN), lambda v: _found("session_id", v, 0.88)),
+        F.transform(numbered("user_"), lambda v: _found("user_id", v, 0.96)),
+        F.transform(numbered("user_"), lambda v: _found("entity", v, 0.82)),
+        F.transform(numbered("project_"), lambda v: _found("project", v, 0.96)),
+        F.transform(numbered("project_"), lambda v: _found("entity", v, 0.84)),
+        F.transform("sessions", lambda v: _found("session_id", v, 0.88)),
         F.transform(listed(BRANDS), lambda v: _found("brand", v, 0.92)),
         F.transform(listed(BRANDS), lambda v: _found("entity", v, 0.80)),
         F.transform(listed(TOOLS), lambda v: _found("tool", v, 0.84)),
         F.transform(listed(COLORS), lambda v: _found("preference", F.concat(F.lit("color:"), v), 0.74, v)),
         F.transform(listed(TONES), lambda v: _found("preference", F.concat(F.lit("tone:"), v), 0.72, v)),
-        flag("time_scope", "current", 0.78, CURRENT_TERMS),
-        flag("time_scope", "stale", 0.78, STALE_TERMS),
-        flag("correction", "has_correction_signal", 0.80, CORRECTION_SIGNALS),
+        flag("time_scope", "current", 0.78, "current"),
+        flag("time_scope", "stale", 0.78, "stale"),
+        flag("correction", "has_correction_signal", 0.80, "corrects"),
     ]
     return F.concat(*[p.cast(PREDICTION) for p in parts])
 
 
 def extract(items: DataFrame, item: str, text: str = "text") -> DataFrame:
     """(item, pos, field, value, confidence, span): one row per rule prediction."""
-    return items.select(F.col(item).alias("item"), F.posexplode(rule_predictions(F.col(text))).alias("pos", "p")).select("item", "pos", "p.*")
+    return marks(items, item, text).select("item", F.posexplode(rule_predictions()).alias("pos", "p")).select("item", "pos", "p.*")
 
 
 def parsed_predictions(payload: Column) -> Column:
