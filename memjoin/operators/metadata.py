@@ -26,6 +26,7 @@ EDGE_SPECS = [
     ("tool", "same_tool", 0.30, 12),
     ("preference", "same_preference", 0.28, 12),
 ]
+BLOCK = 4096  # lines of a bucket that one window holds
 
 
 def field_weight(field: Column) -> Column:
@@ -106,29 +107,38 @@ def metadata_scores(values: DataFrame, buckets: DataFrame, cards: DataFrame, lim
 def metadata_graph(index: DataFrame, specs: list[tuple[str, str, float, int]] = EDGE_SPECS, only: DataFrame | None = None) -> DataFrame:
     """(source, target, type, weight, edge_rank): every card linked to its neighbours in id order inside each value bucket.
 
-    One distributed sort numbers all buckets; neighbours meet by equal position, so a large bucket costs its rows times
-    the reach, never its square. The sorted rows are written first because numbering reads them twice. With `only` (id),
-    nothing but the edges of those sources is made.
+    One distributed sort numbers all buckets, and the numbered lines are dealt to blocks of equal length that overlap by the
+    longest reach. A line meets its neighbours inside its block, so a large bucket costs its rows times the reach, never its
+    square, and what travels to a source is one list for each of its buckets. The sorted rows are written first because
+    numbering reads them twice. With `only` (id), nothing but the edges of those sources is made.
     """
-    fields = [s[0] for s in specs]
-    held = index.where(F.col("field").isin(fields)).select(F.concat_ws(":", "source", "field").alias("bucket"), "field", "value", "id")
+    names, most = [s[0] for s in specs], max(s[3] for s in specs)
+    held = index.where(F.col("field").isin(names)).select(F.concat_ws(":", "source", "field").alias("bucket"), "field", "value", "id")
     placed = numbered(cut_lineage(held.orderBy("bucket", "value", "id")))
     start = placed.groupBy("bucket", "value").agg(F.min("pos").alias("start"))
-    lines = placed.join(start, ["bucket", "value"]).select("bucket", "value", "field", "id", (F.col("pos") - F.col("start")).alias("pos"))
-    spec = F.map_from_arrays(
-        F.array(*[F.lit(s[0]) for s in specs]),
-        F.array(*[F.struct(F.lit(n).alias("order"), F.lit(s[1]).alias("type"), F.lit(s[2]).alias("weight"), F.lit(s[3]).alias("reach")) for n, s in enumerate(specs)]),
-    )
-    asked = lines.select("bucket", "value", F.col("id").alias("source"), "pos", F.try_element_at(spec, F.col("field")).alias("s"))
+    pos = F.col("pos")
+    lines = placed.join(start, ["bucket", "value"]).select("bucket", "value", "field", "id", (pos - F.col("start")).alias("pos"))
+    blocks = F.sequence(F.floor(F.greatest(pos - most, F.lit(0)) / BLOCK), F.floor((pos + most) / BLOCK))
+    around = Window.partitionBy("bucket", "value", "block").orderBy("pos").rowsBetween(-most, most)
+    seen = lines.select("*", F.explode(blocks).alias("block")).withColumn("near", F.collect_list(F.struct("pos", "id")).over(around))
+    seen = seen.where(F.col("block") == F.floor(pos / BLOCK))
     if only is not None:
-        asked = asked.join(only.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
-    steps = F.filter(F.sequence(-F.col("s.reach"), F.col("s.reach")), lambda d: d != 0)
-    asked = asked.select("bucket", "value", "source", "s", "pos", F.explode(steps).alias("d")).select("bucket", "value", "source", "s", (F.col("pos") + F.col("d")).alias("pos"))
-    met = asked.join(lines.select("bucket", "value", "pos", F.col("id").alias("target")), ["bucket", "value", "pos"]).where(F.col("source") != F.col("target"))
-    best = met.groupBy("source", "target").agg(F.min(F.struct((-F.col("s.weight")).alias("w"), F.col("s.order").alias("o"), F.col("s.type").alias("type"))).alias("b"))
-    edges = best.select("source", "target", "b.type", (-F.col("b.w")).alias("weight"))
-    order = Window.partitionBy("source").orderBy(F.col("weight").desc(), "type", "target")
-    return edges.withColumn("edge_rank", F.row_number().over(order))
+        seen = seen.join(only.select("id").distinct(), "id", "left_semi")
+    reach = F.create_map(*[F.lit(x) for s in specs for x in (s[0], s[3])])[F.col("field")]
+    met = seen.withColumn("reach", reach).select(
+        F.col("id").alias("source"), "field", F.transform(F.filter("near", lambda n: F.abs(n["pos"] - pos) <= F.col("reach")), lambda n: n["id"]).alias("targets")
+    )
+    listed = met.groupBy("source").agg(*[F.flatten(F.collect_list(F.when(F.col("field") == name, F.col("targets")))).alias(f"by_{name}") for name in names])
+    # The heaviest edge of a pair stays, of equal ones the first in `specs`.
+    strong = [s for _, s in sorted(enumerate(specs), key=lambda e: (-e[1][2], e[0]))]
+    own = {s: F.array_except(f"by_{s[0]}", F.concat(F.array("source"), *[f"by_{t[0]}" for t in strong[:n]])) for n, s in enumerate(strong)}
+
+    def shown(spec: tuple[str, str, float, int]) -> Column:
+        return F.transform(F.array_sort(own[spec]), lambda t: F.struct(t.alias("target"), F.lit(spec[1]).alias("type"), F.lit(spec[2]).alias("weight")))
+
+    edges = [shown(s) for s in sorted(specs, key=lambda s: (-s[2], s[1]))]
+    out = listed.select("source", F.posexplode(F.concat(*edges)).alias("place", "e"))
+    return out.select("source", "e.target", "e.type", "e.weight", (F.col("place") + 1).alias("edge_rank"))
 
 
 def graph_seeds(heads: list[tuple[DataFrame, int]]) -> DataFrame:
