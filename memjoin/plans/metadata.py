@@ -43,8 +43,12 @@ gs AS (SELECT s.q, g.target AS id, sum(g.weight / sqrt(s.seed_rank) + 0.05::DOUB
 gt AS (SELECT * FROM ({S.ranked('gs')}) WHERE rank <= {LIMIT})"""
 
 
-def derived(spark, sf_dir):
-    rows = P.stable_predictions(P.extract(FP.labelled_texts(spark, sf_dir), "item"))
+def derived(spark, sf_dir, only=None):
+    """Field predictions of every card, or of the cards in `only` (id)."""
+    texts = FP.labelled_texts(spark, sf_dir)
+    if only is not None:
+        texts = texts.join(only.select(F.col("id").alias("item")).distinct(), "item", "left_semi")
+    rows = P.stable_predictions(P.extract(texts, "item"))
     return rows.select(F.col("item").alias("id"), "field", "value", "confidence")
 
 
@@ -155,6 +159,10 @@ def j11(spark, sf_dir):
     + "SELECT q, id, um AS query_user_match, pm AS query_project_match, bm AS query_brand_match, du AS derived_user_match, dp AS derived_project_match, db AS derived_brand_match, n AS derived_count, round(c, 6) AS derived_confidence, (um <> du) OR (pm <> dp) OR (bm <> db) AS metadata_disagreement FROM b",
 )
 def v15(spark, sf_dir):
-    mem, qry = tables.memories(spark, sf_dir), tables.queries(spark, sf_dir)
-    index = M.metadata_index(mem, derived(spark, sf_dir))
-    return rounded(M.query_matches(W.lexical_ranked(spark, sf_dir).select("q", "id"), qry, mem, M.query_metadata(qry), index))
+    """Matches of the ranked pairs; they are written first, and only cards that a pair names are indexed."""
+    from memjoin.session import cut_lineage
+
+    pairs, qry = cut_lineage(W.lexical_ranked(spark, sf_dir).select("q", "id")), tables.queries(spark, sf_dir)
+    mem = tables.memories(spark, sf_dir).join(pairs.select("id").distinct(), "id", "left_semi")
+    index = M.metadata_index(mem, derived(spark, sf_dir, pairs))
+    return rounded(M.query_matches(pairs, qry, mem, M.query_metadata(qry), index))
