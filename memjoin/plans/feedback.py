@@ -224,14 +224,16 @@ reg AS (SELECT coalesce(s.name, c.field) AS name, CASE WHEN s.name IS NULL THEN
 
 @query("t7_streaming_field_extraction", S.with_(FP.ITEMS, FP.PRED, FP.SEED, STREAMED) + "SELECT name, status, seen_count, confidence_sum, distinct_count FROM reg")
 def t7(spark, sf_dir):
-    """Labelled document texts as a file stream in several batches; the counters after the last one are those of all texts."""
+    """Labelled document texts as a file stream in three batches of a file for each core; the counters after the last one are
+    those of all texts."""
     from memjoin.operators import fields as P
     from memjoin.plans.fields import labelled_texts
     from memjoin.streaming.feedback import VALUES_DDL, VersionedTable, extraction_stream
 
     source = scratch(spark, "texts")
-    labelled_texts(spark, sf_dir).repartition(3).write.parquet(source)
-    stream = spark.readStream.schema("item bigint, text string").option("maxFilesPerTrigger", 1).parquet(source)
+    files = spark.sparkContext.defaultParallelism
+    labelled_texts(spark, sf_dir).repartition(3 * files).write.parquet(source)
+    stream = spark.readStream.schema("item bigint, text string").option("maxFilesPerTrigger", files).parquet(source)
     seed = P.seed_registry(spark)
     registry = VersionedTable(spark, scratch(spark, "registry"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seed.schema.fields))
     values = VersionedTable(spark, scratch(spark, "values"), VALUES_DDL)
