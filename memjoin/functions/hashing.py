@@ -1,8 +1,9 @@
 """64-bit FNV-1a as Spark columns.
 
-Two routes give the same value, a BIGINT holding the unsigned bit pattern:
+Three routes give the same value, a BIGINT holding the unsigned bit pattern:
 
 * `fnv1a64` is a plain column expression for short keys (ids, `seed:name:id` strings).
+* `fnv1a64_text` hashes keys that hold whole texts through Arrow, a batch at a time.
 * `fnv1a64_tokens` hashes a whole token array per row through Arrow. Distinct tokens of a batch
   are dictionary-encoded first, so a token is hashed once per batch and no shuffle is needed.
 """
@@ -101,6 +102,11 @@ def list_parts(batch: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return batch.flatten(), lengths
 
 
+@F.arrow_udf(T.LongType())
+def fnv1a64_text(batch: pa.Array) -> pa.Array:
+    return pa.array(hash_octets(batch.fill_null("")).view(np.int64))
+
+
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def fnv1a64_tokens(batch: pa.Array) -> pa.Array:
     flat, lengths = list_parts(batch)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memjoin.functions.hashing import fnv1a64, umod, unit_mod
+from memjoin.functions.hashing import fnv1a64, fnv1a64_text, umod, unit_mod
 from memjoin.operators.features import let
 
 # Decoy families with their texts and states, fallback texts, growth words and texts.
@@ -60,14 +60,18 @@ HARD_PREFIXES = ["adversarial_eval::", "synthetic_hard_negative::"]
 
 def stable_pick(values: list[str], key: Column) -> Column:
     """One of the values, by the hash of the key."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (umod(fnv1a64(key), len(values)) + 1).cast("int"))
+    return hash_pick(values, fnv1a64(key))
+
+
+def hash_pick(values: list[str], hashed: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (umod(hashed, len(values)) + 1).cast("int"))
 
 
 def stable_row_pick(keys: DataFrame, rows: DataFrame, by: str, order: str, key: str = "key") -> DataFrame:
     """Each key row joined to one of its group's rows: the one at place `hash(key) % group size` in `order`."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
     counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    asked = keys.join(counts, by).withColumn("_place", umod(fnv1a64(F.col(key)), F.col("_n")).cast("int")).drop("_n")
+    asked = keys.withColumn("_hash", fnv1a64_text(F.col(key))).join(counts, by).withColumn("_place", umod(F.col("_hash"), F.col("_n")).cast("int")).drop("_n", "_hash")
     return asked.join(rows.withColumn("_place", place), [by, "_place"]).drop("_place")
 
 
@@ -107,9 +111,9 @@ def decoy_cards(questions: DataFrame, donors: DataFrame, count: int, templates:
     rows = questions.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"))
     key = F.concat_ws(":", "qa_id", "query", F.col("i").cast("string"), F.array_join("relevant", ","))
     table = F.array(*[F.struct(F.lit(t[0]).alias("role"), F.lit(t[1]).alias("template")) for t in templates])
-    keyed = rows.withColumn("key", key)
-    chosen = F.element_at(table, (umod(fnv1a64(F.col("key")), len(templates)) + 1).cast("int"))
-    positive = F.coalesce(F.when(F.col("positive") != "", F.col("positive")), stable_pick(fallback, F.col("key")))
+    keyed = rows.withColumn("key", key).withColumn("hash", fnv1a64_text(F.col("key")))
+    chosen = F.element_at(table, (umod(F.col("hash"), len(templates)) + 1).cast("int"))
+    positive = F.coalesce(F.when(F.col("positive") != "", F.col("positive")), hash_pick(fallback, F.col("hash")))
     answer = F.coalesce(F.when(F.col("answer") != "", F.col("answer")), F.lit("unknown"))
     written = keyed.withColumn("t", chosen).withColumn("text", _rendered(F.col("t.template"), F.col("query"), answer, positive))
     base = written.select("uid", "qa_id", F.concat_ws("|", F.col("uid").cast("string"), "qa_id").alias("g"), "i", "key", "text", F.col("t.role").alias("role"), F.concat(F.lit(prefix), "qa_id", F.lit("::"), F.col("i").cast("string")).alias("id"))
@@ -129,19 +133,20 @@ def legacy_states(decoys: DataFrame, project: Column, templates: list[tuple] = L
             out = F.when(F.col("role") == family, F.lit(state[place]).cast(kind)).otherwise(out)
         return out
 
-    moved = umod(fnv1a64(F.concat("key", F.lit(":age"))), 9)
+    moved = umod(F.col("_age"), 9)
     state = {
         "summary": F.lit(""), "cluster": project, "age_days": of(0, "bigint") + moved, "use_count": of(1, "bigint"), "evidence_count": of(2, "bigint"),
         "last_outcome": of(3, "string"), "importance": of(4, "double"),
     }
-    return decoys.withColumns(state)
+    return decoys.withColumn("_age", fnv1a64_text(F.concat("key", F.lit(":age")))).withColumns(state).drop("_age")
 
 
 def training_labels(decoys: DataFrame, include_weight: float, label_weight: float, max_rank: int = 16) -> DataFrame:
     """Decoys as training rows: fixed labels and weights, hash-drawn base rank and score."""
-    rank = 1 + umod(fnv1a64(F.concat("key", F.lit(":rank"))), max_rank)
-    score = 0.65 + 0.30 * unit_mod(fnv1a64(F.concat("key", F.lit(":score"))), 1000)
-    return decoys.select("*", F.lit(0.0).alias("include_label"), F.lit(include_weight).alias("include_weight"), F.lit(label_weight).alias("label_weight"), rank.alias("base_rank"), score.alias("base_score"))
+    drawn = decoys.withColumns({f"_{name}": fnv1a64_text(F.concat("key", F.lit(f":{name}"))) for name in ("rank", "score")})
+    rank = 1 + umod(F.col("_rank"), max_rank)
+    score = 0.65 + 0.30 * unit_mod(F.col("_score"), 1000)
+    return drawn.select(*decoys.columns, F.lit(0.0).alias("include_label"), F.lit(include_weight).alias("include_weight"), F.lit(label_weight).alias("label_weight"), rank.alias("base_rank"), score.alias("base_score"))
 
 
 def calibration_rows(ranked: DataFrame, relevance: DataFrame, decoys: DataFrame, limit: int, near_miss: float, inject: bool = True) -> DataFrame:
