@@ -33,6 +33,7 @@ STORE = {
 }
 NAME = "fold"
 COUNTS = ["n_helpful", "n_corrected", "n_ignored"]
+LONGEST = 16  # runs of an Arrow batch that are composed one by one
 STATE = "use_count_delta bigint, evidence_count_delta bigint, importance_delta double, score_bias double, last_outcome string, protected boolean, n_helpful bigint, n_corrected bigint, n_ignored bigint"
 
 
@@ -63,12 +64,27 @@ MEMORY = Steps("memory_id", B.BIAS_STEP, B.BIAS_BOUND, B.IMPORTANCE_STEP, B.IMPO
 SIGNATURE = Steps("signature", B.SIGNATURE_STEP, B.SIGNATURE_BOUND, dict.fromkeys(B.OUTCOMES, 0.0), B.IMPORTANCE_BOUND)
 
 
-def composed(outcomes: list[str], step: dict[str, float], bound: float) -> tuple[float, float, float]:
-    """(shift, low, high) of a run of events."""
-    shift, low, high = 0.0, -bound, bound
-    for outcome in outcomes:
-        by = step.get(outcome, step["ignored"])
-        shift, low, high = shift + by, min(bound, max(-bound, low + by)), min(bound, max(-bound, high + by))
+def composed(outcomes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: dict[str, float], bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shift, low, high) of every run of events, run `n` being `lengths[n]` outcomes from `starts[n]` on.
+
+    The few longest runs are composed one by one, the others event by event over all runs that are long enough.
+    """
+    by = np.full(len(outcomes), step["ignored"])
+    for name, value in step.items():
+        by[outcomes == name] = value
+    shift, low, high = np.zeros(len(starts)), np.full(len(starts), -bound), np.full(len(starts), bound)
+    order = np.argsort(-lengths, kind="stable")
+    for run in order[:LONGEST]:
+        s, a, z = 0.0, -bound, bound
+        for move in by[starts[run] : starts[run] + lengths[run]].tolist():
+            s, a, z = s + move, min(bound, max(-bound, a + move)), min(bound, max(-bound, z + move))
+        shift[run], low[run], high[run] = s, a, z
+    order = order[LONGEST:]
+    for place in range(int(lengths[order].max(initial=0))):
+        live = order[: np.searchsorted(-lengths[order], -place, side="left")]
+        move = by[starts[live] + place]
+        shift[live] += move
+        low[live], high[live] = np.clip(low[live] + move, -bound, bound), np.clip(high[live] + move, -bound, bound)
     return shift, low, high
 
 
@@ -77,16 +93,26 @@ def run_maker(steps: Steps):
         """One row per key for every gap-free piece of the sequence in an Arrow batch."""
         for frame in frames:
             frame = frame.sort_values("seq", kind="stable")
-            piece = np.concatenate([[0], np.cumsum(np.diff(frame["seq"].to_numpy()) != 1)]) if len(frame) else []
-            rows = []
-            for (key, _), own in frame.groupby([steps.key, piece], sort=False):
-                outcomes = own["outcome"].tolist()
-                counts = [outcomes.count(name) for name in B.OUTCOMES[:2]]
-                rows.append(
-                    (key, int(own["seq"].iloc[0]), outcomes[-1], bool(own["protected"].any()), *counts, len(outcomes) - sum(counts))
-                    + composed(outcomes, steps.importance, steps.importance_bound) + composed(outcomes, steps.bias, steps.bias_bound)
-                )
-            yield pd.DataFrame(rows, columns=[part.split()[0] for part in steps.runs.split(", ")])
+            seq, keys = frame["seq"].to_numpy(), pd.factorize(frame[steps.key])[0]
+            piece = np.cumsum(np.diff(seq, prepend=seq[:1]) != 1)
+            order = np.lexsort((piece, keys))
+            keys, piece, seq, own = keys[order], piece[order], seq[order], frame.iloc[order]
+            fresh = np.ones(len(own), dtype=bool)
+            fresh[1:] = (np.diff(keys) != 0) | (np.diff(piece) != 0)
+            starts = np.flatnonzero(fresh)
+            lengths = np.diff(starts, append=len(own))
+            outcomes = own["outcome"].to_numpy(dtype=object)
+
+            def total(flags: np.ndarray) -> np.ndarray:
+                return np.add.reduceat(flags.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+
+            helpful, corrected = (total(outcomes == name) for name in B.OUTCOMES[:2])
+            columns = [
+                own[steps.key].to_numpy()[starts], seq[starts], outcomes[starts + lengths - 1], total(own["protected"].to_numpy(dtype=bool)) > 0,
+                helpful, corrected, lengths - helpful - corrected,
+                *composed(outcomes, starts, lengths, steps.importance, steps.importance_bound), *composed(outcomes, starts, lengths, steps.bias, steps.bias_bound),
+            ]
+            yield pd.DataFrame(dict(zip([part.split()[0] for part in steps.runs.split(", ")], columns)))
 
     return runs
 
@@ -101,7 +127,7 @@ class FoldProcessor(StatefulProcessor):
         self.held = handle.getValueState(NAME, STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        use, evidence, importance, bias, last, protected, *counts = self.held.get() if self.held.exists() else (0, 0, 0.0, 0.0, "", False, 0, 0, 0)
+        use, evidence, importance, bias, last, protected, *counts = self.held.get() or (0, 0, 0.0, 0.0, "", False, 0, 0, 0)
         for run in sorted((run for frame in rows for run in frame.itertuples(index=False)), key=lambda run: run.at):
             fresh = [int(getattr(run, name)) for name in COUNTS]
             use += fresh[0] * B.USE_STEP["helpful"] + fresh[1] * B.USE_STEP["corrected"]
