@@ -28,6 +28,7 @@ def turn_lines(spark, sf_dir):
     return tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("uid"), "turn", "role", "text")
 
 
+RECORDS_A_FILE = 200
 TURN_SCHEMA = "role string, text string, turn bigint, uid bigint"
 
 
@@ -85,16 +86,17 @@ def s4(spark, sf_dir):
     "SELECT conv_id AS uid, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text ELSE 'q' || turn END AS item_text FROM conversations",
 )
 def s2(spark, sf_dir):
-    """Turns split over three layouts: JSON lines with `text`, one JSON list per record with `content`, and `{memories, queries}` with `query`."""
-    rows = turn_lines(spark, sf_dir)
+    """Turns split over three layouts: JSON lines with `text`, JSON lists with `content`, and `{memories, queries}` with `query`; a
+    file of the last two holds a slice of the records."""
+    rows = turn_lines(spark, sf_dir).withColumn("slice", F.floor(F.col("uid") / RECORDS_A_FILE))
     schema = "uid bigint, turn bigint, text string, content string, query string"
     kind = F.col("turn") % 3
     lines, listed, held = scratch(spark, "lines"), scratch(spark, "list"), scratch(spark, "held")
     rows.where(kind == 0).select(F.to_json(F.struct("text", "turn", "uid")).alias("value")).write.text(lines)
     item = F.struct(F.col("text").alias("content"), "turn", "uid")
-    rows.where(kind == 1).groupBy("uid").agg(F.to_json(F.collect_list(item)).alias("value")).repartition(20, "uid").select("value").write.partitionBy().option("maxRecordsPerFile", 1).text(listed)
+    rows.where(kind == 1).groupBy("slice").agg(F.to_json(F.collect_list(item)).alias("value")).repartition(20, "slice").select("value").write.partitionBy().option("maxRecordsPerFile", 1).text(listed)
     ask = F.collect_list(F.struct(F.concat(F.lit("q"), "turn").alias("query"), "turn", "uid"))
-    rows.where(kind == 2).groupBy("uid").agg(F.to_json(F.struct(F.array().cast("array<string>").alias("memories"), ask.alias("queries"))).alias("value")).repartition(20, "uid").select("value").write.option("maxRecordsPerFile", 1).text(held)
+    rows.where(kind == 2).groupBy("slice").agg(F.to_json(F.struct(F.array().cast("array<string>").alias("memories"), ask.alias("queries"))).alias("value")).repartition(20, "slice").select("value").write.option("maxRecordsPerFile", 1).text(held)
     out = None
     for path in (lines, listed, held):
         part = jsonl.polymorphic_items(spark, path, schema).select("uid", "turn", "item_text")
