@@ -115,12 +115,18 @@ def _matrix_scores(memories: DataFrame, asked: pa.Table, words: pa.Array, limit:
     return index.mapInArrow(score, f"q {q_kind}, id {index.schema['id'].dataType.simpleString()}, score double")
 
 
-def verbatim_hits(documents: DataFrame, passages: DataFrame) -> DataFrame:
+PASSAGE_BYTES = 8 << 20  # of passages that may travel to the texts
+
+
+def verbatim_hits(documents: DataFrame, passages: DataFrame, passage_bytes: int = PASSAGE_BYTES) -> DataFrame:
     """(q, id) of documents that contain a passage verbatim, without comparing every pair.
 
-    A passage of three or more words fixes its inner words exactly, so one inner word gram is an equi-join key; a
-    shorter passage joins on its first character. Candidates are then checked with `contains`.
+    Passages of few bytes (counted first) travel to the texts, which are read once and never moved. Beyond that, a passage of
+    three or more words fixes its inner words exactly, so one inner word gram is an equi-join key; a shorter passage joins on
+    its first character. Candidates are then checked with `contains`.
     """
+    if passages.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] <= passage_bytes:
+        return _found_in_texts(documents, passages.where(F.length("text") > 0).select("q", "text"))
     gram = 4
     words = F.split(F.col("text"), r"\s+")
     inner = F.slice(words, 2, F.greatest(F.lit(1), F.least(F.lit(gram), F.size(words) - 2)))
@@ -148,3 +154,33 @@ def verbatim_hits(documents: DataFrame, passages: DataFrame) -> DataFrame:
         .where(F.col("text").contains(F.col("passage")))
         .select("q", "id")
     )
+
+
+def _found_in_texts(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """The inner words of a passage stand whole in any text that holds it: one of them, the longest, must be among the text's words."""
+    shared = documents.sparkSession.sparkContext.broadcast(passages.toArrow())
+
+    def find(batches):
+        table = shared.value
+        texts, by_word, short = table["text"].to_pylist(), {}, []
+        for place, passage in enumerate(texts):
+            inner = passage.split()[1:-1]
+            (by_word.setdefault(max(inner, key=len), []) if inner else short).append(place)
+        anchors = set(by_word)
+        for batch in batches:
+            rows, places = [], []
+            for row, value in enumerate(batch.column("text")):
+                text = value.as_py()
+                if text is None:
+                    continue
+                met = [place for word in anchors.intersection(text.split()) for place in by_word[word]]
+                for place in met + short:
+                    if texts[place] in text:
+                        rows.append(row)
+                        places.append(place)
+            if rows:
+                asked = table["q"].take(pa.array(places, pa.int64())).combine_chunks()
+                yield pa.RecordBatch.from_arrays([asked, batch.column("id").take(pa.array(rows, pa.int64()))], ["q", "id"])
+
+    kinds = ", ".join(f"{name} {df.schema[name].dataType.simpleString()}" for name, df in (("q", passages), ("id", documents)))
+    return documents.select("id", "text").mapInArrow(find, kinds)

@@ -13,6 +13,7 @@ from memjoin.plans import sqltext as S
 from memjoin.plans import workload as W
 from memjoin.plans.metrics import r6, rounded
 from memjoin.plans.registry import query
+from memjoin.session import written
 from memjoin.sources import tables
 
 NAMES = ["recall_at_k", "mrr", "context_precision", "context_recall", "context_noise"]
@@ -123,12 +124,14 @@ SYS = systems_sql()
 METRICS = ["recall_at_k", "precision_at_k", "mrr", "context_precision", "context_recall", "hard_negative_top_k_rate"]
 
 
-def system_rows(spark, sf_dir):
-    qry, rel = tables.queries(spark, sf_dir).select("q"), tables.relevance(spark, sf_dir)
-    cover = tables.memories(spark, sf_dir).select("id", F.col("id").alias("covered"))
+def system_rows(spark, sf_dir, rel=None):
+    """Metrics of both base rankings for every query; the relevant pairs are searched once and written."""
+    qry = tables.queries(spark, sf_dir).select("q")
+    rel = written(tables.relevance(spark, sf_dir), "relevance") if rel is None else rel
     out = None
     for name, ranked in (("lexical", W.lexical_ranked(spark, sf_dir)), ("vector", W.vector_ranked(spark, sf_dir))):
         ranked = W.costed(spark, sf_dir, ranked)
+        cover = ranked.select("id", F.col("id").alias("covered")).distinct()
         rows = M.evidence_metrics(qry, ranked, rel, cover, pack_budget(ranked, Q.BUDGET), Q.hard(spark, sf_dir), W.TOP_K)
         rows = rows.select(F.lit(name).alias("system"), "q", *METRICS)
         out = rows if out is None else out.unionByName(rows)
@@ -197,8 +200,9 @@ def s12(spark, sf_dir):
     """Roll-up table per system and scenario, written to parquet and read back."""
     from memjoin.plans.ingest import scratch
 
-    answerable = tables.relevance(spark, sf_dir).select("q").distinct().withColumn("known", F.lit(True))
-    rows = system_rows(spark, sf_dir).join(answerable, "q", "left").withColumn("scenario", F.when(F.col("known"), "answerable").otherwise("abstention"))
+    rel = written(tables.relevance(spark, sf_dir), "relevance")
+    answerable = rel.select("q").distinct().withColumn("known", F.lit(True))
+    rows = system_rows(spark, sf_dir, rel).join(answerable, "q", "left").withColumn("scenario", F.when(F.col("known"), "answerable").otherwise("abstention"))
     out = rows.groupBy("scenario", "system").agg(F.count(F.lit(1)).alias("queries"), *[F.avg(m).alias(m) for m in METRICS])
     path = scratch(spark, "summary")
     rounded(out).write.mode("overwrite").parquet(path)

@@ -11,6 +11,7 @@ from memjoin.operators.lexical import idf_token_scores
 from memjoin.operators.ranking import pack_budget
 from memjoin.operators.vector import exact_vector_topk
 from memjoin.plans import sqltext as S
+from memjoin.session import written
 from memjoin.sources import tables
 
 POSTINGS_CAP = 512  # of the capped queries only; the original defaults to 4096, which the small tables never reach
@@ -42,9 +43,10 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def costed(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
-    """Ranked ids with their token cost; the text itself never travels with the ranking."""
-    cost = tables.card_texts(spark, sf_dir).select("id", token_cost(F.col("text")).alias("cost"))
-    return ranked.join(cost, "id")
+    """Ranked ids with their token cost, both written once; only texts that a ranking names are split into tokens."""
+    pairs = written(ranked, "ranked")
+    named = tables.card_texts(spark, sf_dir).join(pairs.select("id").distinct(), "id", "left_semi")
+    return written(pairs.join(named.select("id", token_cost(F.col("text")).alias("cost")), "id"), "costed")
 
 
 def packed(spark: SparkSession, sf_dir: str, ranked: DataFrame, budget: int = BUDGET) -> DataFrame:

@@ -9,6 +9,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,6 +45,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return configured
 
 
+def written(df, name: str):
+    """`df` written once to the shared folder and read back with its size, so that Spark can broadcast it if it is small."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df, eager: bool = True):
     """Write `df` to the reliable checkpoint folder and read it back."""
     spark = df.sparkSession

@@ -31,9 +31,14 @@ def card_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents` as memory cards; usage state is arithmetic over the row, outcomes come from `labels`."""
+def memories(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """`documents` as memory cards; usage state is arithmetic over the row, outcomes come from `labels`.
+
+    With `only` (id), nothing but those cards is joined.
+    """
     docs = table(spark, sf_dir, "documents")
+    if only is not None:
+        docs = docs.join(only.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     labels = table(spark, sf_dir, "labels")
     outcome = (
         F.when(F.col("toxic") == 1, "ignored").when(F.col("quality") == 1, "helpful").when(F.col("quality") == 0, "corrected").otherwise("")
@@ -71,7 +76,7 @@ def queries(spark: SparkSession, sf_dir: str, budget: int = 900) -> DataFrame:
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(q, id): documents holding the query passage verbatim."""
-    return verbatim_hits(memories(spark, sf_dir).select("id", "text"), queries(spark, sf_dir).select("q", "text"))
+    return verbatim_hits(card_texts(spark, sf_dir), queries(spark, sf_dir).select("q", "text"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
