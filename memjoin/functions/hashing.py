@@ -10,6 +10,8 @@ Three routes give the same value, a BIGINT holding the unsigned bit pattern:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -88,6 +90,23 @@ def hash_octets(values: pa.Array) -> np.ndarray:
     return out
 
 
+PIECE_TOKENS = 1 << 18  # tokens of a batch that are worked on at a time
+
+
+def list_pieces(batch: pa.Array, most: int = PIECE_TOKENS) -> Iterator[pa.Array]:
+    """An Arrow list array in consecutive slices of at most `most` values each; a longer row is a slice of its own.
+
+    What a task holds beside its batch is then bounded by the slice, not by the rows of a batch times their length.
+    """
+    ends = np.cumsum(list_lengths(batch))
+    start = 0
+    while start < len(batch):
+        held = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, held + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def hash_batch(flat: pa.Array) -> np.ndarray:
     encoded = flat.dictionary_encode()
     if isinstance(encoded, pa.ChunkedArray):
@@ -96,10 +115,13 @@ def hash_batch(flat: pa.Array) -> np.ndarray:
     return distinct[encoded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.uint64)
 
 
+def list_lengths(batch: pa.Array) -> np.ndarray:
+    return np.asarray(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
 def list_parts(batch: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Flattened values and per-row lengths of an Arrow list array (null rows count as empty)."""
-    lengths = np.asarray(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    return batch.flatten(), lengths
+    return batch.flatten(), list_lengths(batch)
 
 
 @F.arrow_udf(T.LongType())
@@ -109,18 +131,16 @@ def fnv1a64_text(batch: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def fnv1a64_tokens(batch: pa.Array) -> pa.Array:
-    flat, lengths = list_parts(batch)
-    hashed = hash_batch(flat).view(np.int64)
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed))
+    hashed = [hash_batch(piece.flatten()).view(np.int64) for piece in list_pieces(batch)]
+    offsets = np.concatenate([[0], np.cumsum(list_lengths(batch))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashed or [np.zeros(0, np.int64)])))
 
 
 def hash_embedding(tokens: Column, dims: int = 64) -> Column:
     """Signed hashing embedding of a token array, L2-normalised; all zeros for no tokens."""
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def embed(batch: pa.Array) -> pa.Array:
-        flat, lengths = list_parts(batch)
+    def dense_rows(piece: pa.Array) -> np.ndarray:
+        flat, lengths = list_parts(piece)
         hashed = hash_batch(flat)
         rows = np.repeat(np.arange(len(lengths)), lengths)
         slot = (hashed % np.uint64(dims)).astype(np.int64)
@@ -129,6 +149,11 @@ def hash_embedding(tokens: Column, dims: int = 64) -> Column:
         norm = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
         norm[norm == 0.0] = 1.0
         dense /= norm
+        return dense
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def embed(batch: pa.Array) -> pa.Array:
+        dense = np.concatenate([np.zeros((0, dims)), *map(dense_rows, list_pieces(batch))])
         offsets = np.arange(0, dense.size + 1, dims, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(dense.ravel()))
 
@@ -138,7 +163,11 @@ def hash_embedding(tokens: Column, dims: int = 64) -> Column:
 @F.arrow_udf(T.LongType())
 def activation_mask(batch: pa.Array) -> pa.Array:
     """OR of bit `fnv % 64` over every token longer than one character."""
-    flat, lengths = list_parts(batch)
+    return pa.array(np.concatenate([np.zeros(0, np.int64), *map(_masks, list_pieces(batch))]))
+
+
+def _masks(piece: pa.Array) -> np.ndarray:
+    flat, lengths = list_parts(piece)
     rows = np.repeat(np.arange(len(lengths)), lengths)
     encoded = flat.dictionary_encode()
     if len(encoded.dictionary):
@@ -149,4 +178,4 @@ def activation_mask(batch: pa.Array) -> pa.Array:
         bits = np.zeros(0, np.uint64)
     masks = np.zeros(len(lengths), dtype=np.uint64)
     np.bitwise_or.at(masks, rows, bits)
-    return pa.array(masks.view(np.int64))
+    return masks.view(np.int64)

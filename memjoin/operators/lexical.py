@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memjoin.functions.hashing import list_lengths, list_pieces
 from memjoin.functions.text import tokens
 from memjoin.operators.ranking import first_places, top_k
 from memjoin.session import cut_lineage
@@ -65,14 +66,15 @@ def token_codes(memories: DataFrame, words: pa.Array) -> DataFrame:
 
     def encode(batches):
         for batch in batches:
-            toks = batch.column("toks")
-            codes = pc.index_in(toks.flatten(), value_set=shared.value)
-            rows = pc.list_parent_indices(toks).to_numpy()
-            known = codes.is_valid().to_numpy(zero_copy_only=False)
-            counts = np.bincount(rows[known], minlength=len(toks))
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), codes.drop_null().cast(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "codes"])
+            start = 0
+            for toks in list_pieces(batch.column("toks")):
+                codes = pc.index_in(toks.flatten(), value_set=shared.value)
+                known = codes.is_valid().to_numpy(zero_copy_only=False)
+                counts = np.bincount(np.repeat(np.arange(len(toks)), list_lengths(toks))[known], minlength=len(toks))
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), codes.drop_null().cast(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(toks)), lists], ["id", "codes"])
+                start += len(toks)
 
     rows = memories.select("id", F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("toks"))
     return cut_lineage(rows.mapInArrow(encode, f"id {memories.schema['id'].dataType.simpleString()}, codes array<int>"))

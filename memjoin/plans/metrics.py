@@ -10,6 +10,7 @@ from memjoin.operators.ranking import pack_budget
 from memjoin.plans import sqltext as S
 from memjoin.plans import workload as W
 from memjoin.plans.registry import query
+from memjoin.session import written
 from memjoin.sources import tables
 
 BUDGET = 2500
@@ -25,7 +26,7 @@ METRIC_SQL = ",\n".join([FULL, SUMS, M23])
 
 def inputs(spark, sf_dir):
     ranked = W.costed(spark, sf_dir, W.lexical_ranked(spark, sf_dir))
-    return tables.queries(spark, sf_dir).select("q"), ranked, tables.relevance(spark, sf_dir), pack_budget(ranked, BUDGET)
+    return tables.queries(spark, sf_dir).select("q"), ranked, written(tables.relevance(spark, sf_dir), "relevance"), pack_budget(ranked, BUDGET)
 
 
 def ranked_metrics(spark, sf_dir):
@@ -220,7 +221,7 @@ def a28(spark, sf_dir):
     + ", coalesce(c, 0)::BIGINT AS candidates, coalesce(h, 0)::BIGINT AS hits FROM qry q LEFT JOIN ag USING (q) LEFT JOIN rc USING (q)",
 )
 def a29(spark, sf_dir):
-    rel = tables.relevance(spark, sf_dir)
+    rel = written(tables.relevance(spark, sf_dir), "relevance")
     sums = W.pool(spark, sf_dir).join(rel.withColumn("hit", F.lit(1)), ["q", "id"], "left").groupBy("q").agg(F.count(F.lit(1)).alias("candidates"), F.count("hit").alias("hits"))
     base = tables.queries(spark, sf_dir).select("q").join(sums, "q", "left").join(M.relevant_counts(rel), "q", "left").fillna(0)
     return base.select(
