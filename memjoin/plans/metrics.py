@@ -319,9 +319,9 @@ def a22(spark, sf_dir):
 )
 def a35(spark, sf_dir):
     """Metric groups of two systems prefixed and joined to one wide row per query."""
-    lexical = ranked_metrics(spark, sf_dir).select("q", "recall_at_k", "mrr")
+    qry, ranked, rel, ctx = inputs(spark, sf_dir)
+    lexical = M.ranked_metrics(qry, ranked, rel, ctx, W.TOP_K).select("q", "recall_at_k", "mrr")
     vector = W.costed(spark, sf_dir, W.vector_ranked(spark, sf_dir))
-    qry, rel = tables.queries(spark, sf_dir).select("q"), tables.relevance(spark, sf_dir)
     other = M.ranked_metrics(qry, vector, rel, pack_budget(vector, BUDGET), W.TOP_K).select("q", "mrr")
 
     def prefixed(df, prefix):
