@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memjoin.functions.hashing import FNV_OFFSET, FNV_PRIME, fnv1a64, hash_octets, list_parts, umod, unit53
+from memjoin.functions.hashing import FNV_OFFSET, FNV_PRIME, fnv1a64, hash_octets, list_parts, list_pieces, umod, unit53
 from memjoin.functions.text import token_set
 from memjoin.operators.ranking import first_places, ranked, rounded, top_k
 from memjoin.operators.vector import dot, project
@@ -53,9 +53,8 @@ def lexical_hits(tokens: Column, actions: int) -> Column:
     Tokens are dictionary-encoded per Arrow batch, so each is hashed once per batch.
     """
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def hits(batch: pa.Array) -> pa.Array:
-        flat, lengths = list_parts(batch)
+    def piece_hits(piece: pa.Array) -> np.ndarray:
+        flat, lengths = list_parts(piece)
         rows = np.repeat(np.arange(len(lengths)), lengths)
         encoded = flat.dictionary_encode()
         words = encoded.dictionary.to_pylist()
@@ -66,8 +65,13 @@ def lexical_hits(tokens: Column, actions: int) -> Column:
                 hashed = hash_octets(pa.array([f"field-lex:{word}:{slot}" for word in words], pa.string()))
                 action = (hashed % np.uint64(actions)).astype(np.int64)
                 total += np.bincount(rows * actions + action[codes], minlength=total.size)
+        return total.astype(np.int32)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def hits(batch: pa.Array) -> pa.Array:
+        total = np.concatenate([np.zeros(0, np.int32), *map(piece_hits, list_pieces(batch))])
         offsets = np.arange(0, total.size + 1, actions, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(total))
 
     return hits(tokens)
 
