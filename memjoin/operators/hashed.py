@@ -145,7 +145,7 @@ def bucket_collisions(query_tokens: DataFrame, postings: DataFrame, radius: int)
 
 QUERY_BYTES = 8 << 20
 MEMORY_ROWS, QUERY_ROWS = 20_000, 1024  # rows of a block where queries are too many to travel whole
-SLICE_ROWS = 2048
+SLICE_BYTES = 8 << 20  # of a slice's matrix over the asked (action, bucket) pairs
 ACTION_SPAN = 1 << 32
 
 
@@ -188,16 +188,19 @@ def _field_block(asked: AskedField, ids: np.ndarray, levels: np.ndarray, field:
     """What one block of memories can add to any query's answer: its best collisions, its best of each layer, its best by shared actions."""
     order = np.argsort(ids, kind="stable")
     ids, levels, field = ids[order], levels[order], field.take(pa.array(order))
-    parts = [asked.scores(field.slice(at, SLICE_ROWS)) for at in range(0, len(ids), SLICE_ROWS)]
-    if not parts:
+    if not len(ids):
         return tuple(np.zeros(0) for _ in FOUND)
-    score, overlap, met, wide, shared = (np.concatenate(column) for column in zip(*parts))
+    score, overlap, met, wide, shared = whole = [np.empty((len(asked.q), len(ids)), kind) for kind in (float, float, bool, float, bool)]
+    step = max(1, SLICE_BYTES // (8 * max(1, len(asked.codes))))
+    for at in range(0, len(ids), step):
+        for matrix, part in zip(whole, asked.scores(field.slice(at, step))):
+            matrix[:, at : at + step] = part.T
     out = []
     for k in range(len(asked.q)):
-        picked = [first_places(met[:, k], score[:, k], prefilter), first_places(shared[:, k], wide[:, k], cap)]
-        picked += [first_places(met[:, k] & (levels >= layer), score[:, k], 2 * beam) for layer in range(1, layers)]
+        picked = [first_places(met[k], score[k], prefilter), first_places(shared[k], wide[k], cap)]
+        picked += [first_places(met[k] & (levels >= layer), score[k], 2 * beam) for layer in range(1, layers)]
         at = np.unique(np.concatenate(picked))
-        out.append((np.full(len(at), asked.q[k]), ids[at], levels[at], score[at, k], overlap[at, k], met[at, k], wide[at, k], shared[at, k]))
+        out.append((np.full(len(at), asked.q[k]), ids[at], levels[at], score[k, at], overlap[k, at], met[k, at], wide[k, at], shared[k, at]))
     return tuple(np.concatenate(column) for column in zip(*out)) if out else tuple(np.zeros(0) for _ in FOUND)
 
 
