@@ -15,6 +15,7 @@ from memjoin.plans import sqltext as S
 from memjoin.plans import workload as W
 from memjoin.plans.ingest import scratch
 from memjoin.plans.registry import query
+from memjoin.session import written
 from memjoin.sources import tables
 from memjoin.streaming import online as O
 
@@ -32,12 +33,16 @@ def oracle():
     return F.col("relevant").cast("double")
 
 
-def pairs(spark, sf_dir):
-    """One row per query and candidate: the lexical top of a benchmark passage with card state and static pair features."""
-    lex = W.lexical_ranked(spark, sf_dir).select("q", "id", (F.col("score") / F.max("score").over(Window.partitionBy("q"))).alias("lexical_share"))
+def pairs(spark, sf_dir, rel):
+    """One row per query and candidate: the lexical top of a benchmark passage with card state and static pair features.
+
+    The ranking is written first, so that only texts it names are joined. `rel`: the relevant pairs (q, id).
+    """
+    ranked = written(W.lexical_ranked(spark, sf_dir), "ranked")
+    lex = ranked.select("q", "id", (F.col("score") / F.max("score").over(Window.partitionBy("q"))).alias("lexical_share"))
     asked = tables.queries(spark, sf_dir).select("q", F.col("text").alias("asked_text"), "project_id")
-    rel = tables.relevance(spark, sf_dir).distinct().withColumn("relevant", F.lit(True))
-    both = lex.join(tables.memories(spark, sf_dir), "id").join(asked, "q").join(rel, ["q", "id"], "left")
+    rel = rel.distinct().withColumn("relevant", F.lit(True))
+    both = lex.join(tables.memories(spark, sf_dir, ranked), "id").join(asked, "q").join(rel, ["q", "id"], "left")
     same = F.col("cluster") == F.col("project_id")
     marked = F.concat(F.when(F.col("id") % 4 == 0, "Current preference: ").when(F.col("id") % 4 == 1, "No longer true. ").otherwise(""), F.col("text"))
     return both.select(
@@ -157,7 +162,8 @@ def t5(spark, sf_dir):
     """Benchmark passages as a stream in four batches: gated state, both biases, metrics by halves, roles, feedback."""
     from memjoin.session import cut_lineage
 
-    rows, own, rel = rows_in_order(spark, sf_dir), cut_lineage(pairs(spark, sf_dir)), cut_lineage(tables.relevance(spark, sf_dir))
+    rel = written(tables.relevance(spark, sf_dir), "relevance")
+    rows, own = rows_in_order(spark, sf_dir), cut_lineage(pairs(spark, sf_dir, rel))
     rows = cut_lineage(rows.withColumn("turn", F.col("source_index")))
     span = rows.count() // PARTS + 1
     log, source, progress = O.BatchLog(spark, scratch(spark, "online")), scratch(spark, "arrivals"), scratch(spark, "progress")
@@ -188,7 +194,8 @@ def t6(spark, sf_dir):
     from memjoin.session import cut_lineage
     from memjoin.sources.jsonl import numbered
 
-    rows, own, rel = rows_in_order(spark, sf_dir), cut_lineage(pairs(spark, sf_dir)), cut_lineage(tables.relevance(spark, sf_dir))
+    rel = written(tables.relevance(spark, sf_dir), "relevance")
+    rows, own = rows_in_order(spark, sf_dir), cut_lineage(pairs(spark, sf_dir, rel))
     log = O.BatchLog(spark, scratch(spark, "replay"))
     columns = ["pass", "source_index", "feedback_scorer", "q", "id", "importance", "use_count", "evidence_count", "last_outcome", "protected"]
     out = own.join(rows.select("q", "source_index"), "q").withColumns({"pass": F.lit(0), "feedback_scorer": F.lit("")}).select(columns)
