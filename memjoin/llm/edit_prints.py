@@ -50,6 +50,7 @@ CHANCE = 1 / 16
 BANDS, WIDTH = 40, 8  # bands of a fingerprint, samples in each
 TOP_SHARE = 0.25  # share of the last level up to which a text may be alike to one without that level
 SHARD_ROWS = 4096  # rows of a band that are compared in one task
+FAMILY = 4  # shards' worth of rows that the bands of one family may have together
 ALIKE = 0.8
 BROADCAST_ROWS = 200_000
 LOWEST = -(1 << 63)  # the key of a null doc_id
@@ -293,10 +294,46 @@ def verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("to")], ["print", "to"]).filter(pa.array(score >= least))
 
 
+def families_verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (family, print, asks, fingerprint) sorted by family -> the links (print, to) of `asks` that are at least `least` alike;
+    both ends of a link are rows of the same family."""
+    walk = Walk()
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        prints, asks, texts = (rows.column(c).to_pylist() for c in ("print", "asks", "fingerprint"))
+        place, askers = {name: at for at, name in enumerate(prints)}, {}
+        for at, asked in enumerate(asks):
+            for to in asked or ():
+                askers.setdefault(to, []).append(at)
+        found = []
+        if askers:
+            size = max(map(len, texts))
+            digits = np.frombuffer("".join(t.ljust(size, "-") for t in texts).encode(), np.uint8).reshape(len(texts), size)
+            for to, members in askers.items():
+                score = walk.alike(digits[place[to]], digits[members])
+                found += [(prints[at], to) for at, good in zip(members, score >= least) if good]
+        return pa.RecordBatch.from_arrays([pa.array([pair[k] for pair in found], pa.int64()) for k in range(2)], ["print", "to"])
+
+    held, name = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("family").to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for low, high in zip(edges, edges[1:]):
+            if held and keys[low] != name:
+                yield links(pa.concat_tables(held))
+                held = []
+            name = keys[low]
+            held.append(pa.Table.from_batches([batch.slice(low, high - low)]))
+    if held:
+        yield links(pa.concat_tables(held))
+
+
 def linked(least: float):
-    """Task function: rows (band, left, right, part, print, root, fingerprint), sorted by shard -> links (print, to) that join all
-    rows of a shard that are at least `least` alike; rows of equal `root` are joined already. A row is compared with the rows after
-    it, in a shard of two parts with those of the other part only."""
+    """Task function: rows (shard, left, right, part, print, root, bands, fingerprint), sorted by shard -> links (print, to) that join
+    all rows of a band that are at least `least` alike; rows of equal `root` are joined already. A row is compared once with each row
+    after it that shares a band, in a shard of two parts with those of the other part only."""
 
     def links(rows: pa.Table, walk: Walk) -> pa.RecordBatch:
         prints, texts = rows.column("print").to_pylist(), rows.column("fingerprint").to_pylist()
@@ -305,9 +342,17 @@ def linked(least: float):
         _, groups = np.unique(rows.column("root").to_numpy(), return_inverse=True)
         part = rows.column("part").to_numpy()
         halves = part.min() != part.max()
+        own_bands = rows.column("bands").to_pylist()
+        members: dict[int, list[int]] = {}
+        for at, names in enumerate(own_bands):
+            for band in names:
+                members.setdefault(band, []).append(at)
+        places = {band: np.array(at) for band, at in members.items()}
         found = []
         for at in range(len(texts) - 1):
-            rest = np.flatnonzero(groups[at + 1 :] != groups[at]) + at + 1
+            met = [places[band] for band in own_bands[at]]
+            rest = np.unique(np.concatenate(met)) if len(met) > 1 else met[0]
+            rest = rest[(rest > at) & (groups[rest] != groups[at])]
             rest = rest[part[rest] != part[at]] if halves else rest
             if len(rest):
                 for other in rest[walk.alike(digits[at], digits[rest]) >= least].tolist():
@@ -321,7 +366,7 @@ def linked(least: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "left", "right")], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("shard", "left", "right")], axis=1)
             edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for low, high in zip(edges, edges[1:]):
                 if held and tuple(keys[low]) != name:
@@ -345,8 +390,9 @@ def near_documents(prints: DataFrame, least: float = ALIKE, most: int = SHARD_RO
     """(print, near_id): the smallest doc_id that links between fingerprints at least `least` alike reach, for the fingerprints
     of which that is not simply the only row. `print` is the 64-bit hash of the fingerprint.
 
-    Every member of a band first meets the band's first; where that leaves members apart, all of them are compared. A band of
-    over `most` such rows is cut into parts, and every two parts are compared in a task of their own.
+    Every member of a band first meets the band's first; where that leaves members apart, all of them are compared. Bands of one
+    family have the same lowest root: they are one shard, to which a fingerprint travels once, if they have few rows together. A
+    band of over `most` such rows is cut into parts, and every two parts are compared in a task of their own.
     """
     named = prints.withColumn("print", digest_of("fingerprint"))
     texts = written(named.groupBy("print").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies")), "texts")
@@ -356,20 +402,36 @@ def near_documents(prints: DataFrame, least: float = ALIKE, most: int = SHARD_RO
     own_band = Window.partitionBy("band")
     shared = written(bands.withColumns({"to": F.min("print").over(own_band), "n": F.count("*").over(own_band)}).where("n > 1"), "shared")
     met = small(shared.where("to <> print").select("print", "to").distinct(), "meetings")
-    left = met.join(plain, F.col("print") == F.col("_print")).drop("_print")
+    first = met.select(F.col("print").alias("node"), "to").unionByName(met.select(F.col("to").alias("node"), "to")).groupBy("node").agg(F.min("to").alias("family"))
+    family = written(first, "families")
+    few = family.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") <= FAMILY * most).select("family")
+    named_to, home = family.select(F.col("node").alias("to"), F.col("family").alias("to_family")), family.withColumnRenamed("node", "print").join(few, "family")
+    placed_met = met.join(home, "print", "left").join(named_to, "to")
+    at_home = F.coalesce(F.col("family") == F.col("to_family"), F.lit(False))
+    asks = placed_met.where(at_home).repartition("print").groupBy("print").agg(F.collect_list("to").alias("asks"))
+    rows = home.join(asks, "print", "left").join(plain, F.col("print") == F.col("_print")).drop("_print")
+    met_home = rows.repartition("family").sortWithinPartitions("family").select("family", "print", "asks", "fingerprint")
+    good_home = met_home.mapInArrow(lambda batches: families_verified(batches, least), "print bigint, to bigint")
+    left = placed_met.where(~at_home).select("print", "to").join(plain, F.col("print") == F.col("_print")).drop("_print")
     pairs = small(left, "pairs").join(plain.withColumnRenamed("fingerprint", "other"), F.col("to") == F.col("_print")).drop("_print")
-    good = written(pairs.mapInArrow(lambda batches: verified(batches, least), "print bigint, to bigint"), "links")
+    good = written(good_home.unionByName(pairs.mapInArrow(lambda batches: verified(batches, least), "print bigint, to bigint")), "links")
 
     roots = components(good, "print", "to").withColumnRenamed("node", "print")
     rooted = shared.where("n > 2").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     members = F.sum(F.xxhash64("print").cast("decimal(38,0)")).alias("members")
     apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"), members).where("low < high")
-    apart = apart.groupBy("members", "rows").agg(F.min("band").alias("band"))  # bands of the same members are one
+    apart = apart.groupBy("members", "rows").agg(F.min("band").alias("band"), F.min("low").alias("low"))  # bands of the same members are one
+    family = F.sum("rows").over(Window.partitionBy("low")) <= FAMILY * most
+    apart = apart.where(F.col("rows") <= most).withColumn("shard", F.when(family, F.col("low")).otherwise(F.col("band"))).unionByName(
+        apart.where(F.col("rows") > most).withColumn("shard", F.col("band"))
+    )
     parts = F.ceil(F.col("rows") / most).cast("int")
-    own = rooted.join(apart.select("band", parts.alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
+    own = rooted.join(apart.select("band", "shard", parts.alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = own.select("band", "part", "print", "root", every.alias("other")).select("band", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "print", "root")
-    shards = dealt.join(plain, F.col("print") == F.col("_print")).drop("_print").repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
+    dealt = own.select("band", "shard", "part", "print", "root", every.alias("other")).select("band", "shard", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "print", "root")
+    keys = ["shard", "left", "right"]
+    once = dealt.repartition("print").groupBy("print", *keys, "part", "root").agg(F.collect_list("band").alias("bands"))
+    shards = once.join(plain, F.col("print") == F.col("_print")).drop("_print").repartition(*keys).sortWithinPartitions(*keys)
     further = written(shards.mapInArrow(linked(least), "print bigint, to bigint"), "further")
 
     groups = components(good.unionByName(further), "print", "to").withColumnRenamed("node", "print")
