@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ from memjoin.llm.common import documents, text_rows, written
 CAPACITY = 4096
 END_ID = 1  # fixed by the contract
 GROUP_ROWS = 32_768
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
+CHUNK = 1 << 20  # bytes of text whose words are looked up together
 MARK, MARKS = "\x7f", ".,;:!?|*&#$%"
 
 
@@ -74,30 +76,48 @@ class WordIds:
 
     def learn(self, words: list[str]) -> None:
         """Put `words` into the cache: a run of letters with marks after it is two parts, any other word is one."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
         if len(self.parts) + 2 * len(words) > 2 * CACHE_WORDS:
             self.parts.clear()
-        split = []
-        for word in words:
-            low = word.lower()
+        cores, tails = [], []
+        for word, low in zip(words, " ".join(words).lower().split(" ")):
             core = low.rstrip(MARKS)
-            split.append((core, low[len(core) :]) if core.isalpha() else ("", word))
-        self.encode(self.letters, [core for core in dict.fromkeys(core for core, _ in split) if core and core not in self.parts])
-        self.encode(self.tokenizer, [tail for tail in dict.fromkeys(tail for _, tail in split) if tail and tail not in self.parts])
-        for word, (core, tail) in zip(words, split):
-            self.words[word] = (self.parts[core] if core else b"") + (self.parts[tail] if tail else b"")
+            plain = core.isalpha()
+            cores.append(core if plain else "")
+            tails.append(low[len(core) :] if plain else word)
+        for tokenizer, parts in ((self.letters, cores), (self.tokenizer, tails)):
+            self.encode(tokenizer, [part for part in set(parts).difference(self.parts) if part])
+        known = self.parts
+        known[""] = b""
+        self.words.update(zip(words, [known[core] + known[tail] if tail else known[core] for core, tail in zip(cores, tails)]))
 
     def of(self, text: str) -> bytes:
-        if self.unlike(text) or "<|" in text:
-            return self.whole(text)
-        words = text.split()
-        new = [word for word in dict.fromkeys(words) if word not in self.words]
+        return next(self.each([text]))
+
+    def each(self, texts: list[str]) -> Iterator[bytes]:
+        """Token ids of each text. Its words are numbered by Arrow, and each different one is looked up once for all texts."""
+        plain = [not self.unlike(text) and "<|" not in text for text in texts]
+        split = pc.ascii_split_whitespace(pa.array([text if own else "" for text, own in zip(texts, plain)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [word for word in words if word not in self.words]
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = words
+        if len(new) > CACHE_WORDS:
+            yield from map(self.whole, texts)
+            return
         if new:
             self.learn(new)
-            if any(word not in self.words for word in words):  # the cache was emptied meanwhile
-                return self.whole(text)
-        return b"".join(map(self.words.__getitem__, words))
+        known = [self.words[word] for word in words]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        codes = coded.indices.to_numpy()
+        counts = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        shift = (np.cumsum(sizes) - sizes)[codes] - ends[:-1]
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(shift, counts) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        for text, own, low, high in zip(texts, plain, bounds, bounds[1:]):
+            yield ids[low:high].tobytes() if own else self.whole(text)
 
 
 def worker_ids(path: str) -> WordIds:
@@ -115,9 +135,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
         ids_of, made = worker_ids(vocabulary), 0
         for batch in batches:
             rows = []
-            for first, texts in text_rows(batch, "text"):
-                for at, text in enumerate(texts, first):
-                    ids = ids_of.of(text.decode("utf-8")) + END_ID.to_bytes(4, "little")
+            for first, texts in text_rows(batch, "text", CHUNK):
+                for at, ids in enumerate(ids_of.each([text.decode("utf-8") for text in texts]), first):
+                    ids += END_ID.to_bytes(4, "little")
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
                         rows.append((at, piece, start // 4, len(part) // 4, zlib.crc32(part)))

@@ -118,6 +118,19 @@ def test_words_have_the_ids_of_their_texts():
     assert [ids.of(t) for t in texts] == [ids.whole(t) for t in texts]
 
 
+def test_new_words_of_many_texts_are_learnt_together(monkeypatch):
+    texts = [f"Word{k}. it's {'ab' * (k % 7)}, <|x {chr(0x3A3)}" if k % 9 == 0 else f" Stone{'x' * (k % 5)}!! {'é' * (k % 4)}\tend{'z' * k} " for k in range(60)] + ["", " \n"]
+    ids = packing.WordIds(packing.default_vocabulary())
+    expected = [ids.whole(t) for t in texts]
+    calls = []
+    monkeypatch.setattr(ids, "learn", lambda words, learn=ids.learn: (calls.append(len(words)), learn(words)))
+    assert list(ids.each(texts)) == expected and len(calls) == 1
+    assert list(ids.each(texts)) == expected and len(calls) == 1
+    for limit in (3, 70):  # too small for the words of all texts; emptied between texts
+        monkeypatch.setattr(packing, "CACHE_WORDS", limit)
+        assert list(ids.each(texts)) == [ids.of(t) for t in texts] == expected
+
+
 @pytest.fixture(scope="module")
 def languages():
     rng = random.Random(8)
