@@ -15,6 +15,8 @@ text's own number of levels and, if it has little of the last one, for one less,
 one of the BANDS bands but for 0.02 % (by calculation). Each meets the band's first document, and the members of a band
 that this leaves apart are all compared inside its task; only links verified by the likeness of the whole fingerprints count, and the
 groups are their connected components. Equal fingerprints are one row before any band, so a crowd of copies is one member.
+What meets first is the last LAST digits of each fingerprint, which stand for half of its steps or more: if they differ so much
+that the rest could not make up for it, the pair is done. Whole fingerprints travel only where these digits leave it open.
 
 A text's next document comes from a cut of the order of doc_id into slices of bounded size: the first row of a slice also goes
 to the slice before, so each text moves once and every slice is read as a stream.
@@ -53,6 +55,10 @@ SHARD_ROWS = 4096  # rows of a band that are compared in one task
 ALIKE = 0.8
 BROADCAST_ROWS = 200_000
 LOWEST = -(1 << 63)  # the key of a null doc_id
+LAST = 64  # digits of a fingerprint that meet first
+PAIRS = 1 << 14  # pairs whose last digits are compared at a time
+STEPS = np.repeat(2.0 ** np.maximum(np.arange(64) - 1, 0), SAMPLES)  # steps that a sample stands for, in units of the first level's
+STEPS_BEFORE = np.concatenate([[0.0], np.cumsum(STEPS)])
 
 
 def _draw(count: int, salt: int) -> np.ndarray:
@@ -285,14 +291,108 @@ def stored(prints: DataFrame) -> DataFrame:
     return prints.sparkSession.read.schema(prints.schema).parquet(path)
 
 
+def last_digits(column) -> np.ndarray:
+    octets = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, LAST // 2)
+    return np.stack([octets >> 4, octets & 15], axis=2).reshape(-1, LAST)
+
+
+def ruled_out(one: np.ndarray, other: np.ndarray, one_ends: np.ndarray, other_ends: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of fingerprints are less than `least` alike whatever their other digits are, from their last digits and how
+    many they have: places that only one of them reaches differ, and so do different digits of places that both show."""
+    high, low = np.maximum(one_ends, other_ends), np.minimum(one_ends, other_ends)
+    longer = (one_ends >= other_ends)[:, None]
+    place = high[:, None] - LAST + np.arange(LAST)
+    column = np.arange(LAST) + (high - low)[:, None]
+    shown = np.take_along_axis(np.where(longer, other, one), np.minimum(column, LAST - 1), axis=1)
+    differ = (np.where(longer, one, other) != shown) & (place >= 0) & (column < LAST)
+    known = (STEPS[np.maximum(place, 0)] * differ).sum(axis=1) + STEPS_BEFORE[high] - STEPS_BEFORE[low]
+    share = least * (1 - CHANCE) + CHANCE if least > 0 else 0.0
+    return known > (1 - share + 1e-9) * STEPS_BEFORE[high]
+
+
+def open_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            sides = [last_digits(batch.column(name)) for name in ("last", "other_last")] + [batch.column(name).to_numpy() for name in ("ends", "other_ends")]
+            yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("to")], ["print", "to"]).filter(pa.array(~ruled_out(*sides, least)))
+
+
 def verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    walk = Walk()
+    walk = None
     for batch in batches:
+        walk = walk or Walk()
         a, b = batch.column("fingerprint").to_pylist(), batch.column("other").to_pylist()
         score = np.array([walk.likeness(x.encode(), y.encode()) for x, y in zip(a, b)], np.float64)
         yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("to")], ["print", "to"]).filter(pa.array(score >= least))
 
 
+def shard_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """One table for each shard (band, left, right), which come sorted."""
+    held, name = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "left", "right")], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for low, high in zip(edges, edges[1:]):
+            if held and tuple(keys[low]) != name:
+                yield pa.concat_tables(held)
+                held = []
+            name = tuple(keys[low])
+            held.append(pa.Table.from_batches([batch.slice(low, high - low)]))
+    if held:
+        yield pa.concat_tables(held)
+
+
+SHARD = "band bigint, left int, right int, part int, print bigint, root bigint"
+
+
+def pair_blocks(sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of rows of the same shard, about PAIRS at a time, for shards that follow each other; a large one comes alone."""
+    starts = np.cumsum([0, *sizes])
+    if len(sizes) > 1:
+        parts = [np.triu_indices(size, 1) for size in sizes]
+        yield tuple(np.concatenate([part[k] + start for part, start in zip(parts, starts)]) for k in range(2))
+        return
+    step = max(1, PAIRS // sizes[0])
+    for at in range(0, sizes[0], step):
+        one, other = np.nonzero(np.arange(at, min(at + step, sizes[0]))[:, None] < np.arange(sizes[0]))
+        yield one + at, other
+
+
+def hopeful(least: float):
+    """Task function: rows (..SHARD, last, ends), sorted by shard -> the rows (..SHARD) whose last digits leave open that they are
+    alike to another row that `linked` compares them with."""
+    names = [column.split()[0] for column in SHARD.split(", ")]
+
+    def kept(tables: list[pa.Table]) -> list[pa.RecordBatch]:
+        rows = pa.concat_tables(tables)
+        digits, ends = last_digits(rows.column("last")), rows.column("ends").to_numpy()
+        root, part = rows.column("root").to_numpy(), rows.column("part").to_numpy()
+        halves = rows.column("left").to_numpy() != rows.column("right").to_numpy()
+        keep = np.zeros(len(ends), bool)
+        for one, other in pair_blocks([table.num_rows for table in tables]):
+            meet = (root[one] != root[other]) & (~halves[one] | (part[one] != part[other]))
+            one, other = one[meet], other[meet]
+            near = ~ruled_out(digits[one], digits[other], ends[one], ends[other], least)
+            keep[one[near]] = keep[other[near]] = True
+        return rows.select(names).filter(pa.array(keep)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pairs = [], 0
+        for table in shard_tables(batches):
+            more = table.num_rows * (table.num_rows - 1) // 2
+            if held and pairs + more > PAIRS:
+                yield from kept(held)
+                held, pairs = [], 0
+            held.append(table)
+            pairs += more
+        if held:
+            yield from kept(held)
+
+    return run
+
+
 def linked(least: float):
     """Task function: rows (band, left, right, part, print, root, fingerprint), sorted by shard -> links (print, to) that join all
     rows of a shard that are at least `least` alike; rows of equal `root` are joined already. A row is compared with the rows after
@@ -317,20 +417,10 @@ def linked(least: float):
         return pa.RecordBatch.from_arrays([pa.array([pair[k] for pair in found], pa.int64()) for k in range(2)], ["print", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, held, name = Walk(), [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "left", "right")], axis=1)
-            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for low, high in zip(edges, edges[1:]):
-                if held and tuple(keys[low]) != name:
-                    yield links(pa.concat_tables(held), walk)
-                    held = []
-                name = tuple(keys[low])
-                held.append(pa.Table.from_batches([batch.slice(low, high - low)]))
-        if held:
-            yield links(pa.concat_tables(held), walk)
+        walk = None
+        for table in shard_tables(batches):
+            walk = walk or Walk()
+            yield links(table, walk)
 
     return run
 
@@ -355,8 +445,15 @@ def near_documents(prints: DataFrame, least: float = ALIKE, most: int = SHARD_RO
     bands = heads.select("print", F.explode("bands").alias("band"))
     own_band = Window.partitionBy("band")
     shared = written(bands.withColumns({"to": F.min("print").over(own_band), "n": F.count("*").over(own_band)}).where("n > 1"), "shared")
-    met = small(shared.where("to <> print").select("print", "to").distinct(), "meetings")
-    left = met.join(plain, F.col("print") == F.col("_print")).drop("_print")
+    digits = F.rtrim("fingerprint", F.lit("-"))
+    last = F.unhex(F.lpad(F.right(digits, F.lit(LAST)), LAST, "0"))
+    ends = written(plain.select(F.col("_print"), last.alias("last"), F.length(digits).cast("bigint").alias("ends")), "ends")
+    met = shared.where("to <> print").select("print", "to").distinct()
+    sides = met.join(ends, F.col("print") == F.col("_print")).drop("_print")
+    others = ends.select("_print", F.col("last").alias("other_last"), F.col("ends").alias("other_ends"))
+    sides = sides.join(others, F.col("to") == F.col("_print")).drop("_print")
+    open_ = small(sides.mapInArrow(lambda batches: open_pairs(batches, least), "print bigint, to bigint"), "meetings")
+    left = open_.join(plain, F.col("print") == F.col("_print")).drop("_print")
     pairs = small(left, "pairs").join(plain.withColumnRenamed("fingerprint", "other"), F.col("to") == F.col("_print")).drop("_print")
     good = written(pairs.mapInArrow(lambda batches: verified(batches, least), "print bigint, to bigint"), "links")
 
@@ -369,7 +466,10 @@ def near_documents(prints: DataFrame, least: float = ALIKE, most: int = SHARD_RO
     own = rooted.join(apart.select("band", parts.alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = own.select("band", "part", "print", "root", every.alias("other")).select("band", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "print", "root")
-    shards = dealt.join(plain, F.col("print") == F.col("_print")).drop("_print").repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
+    name = ["band", "left", "right"]
+    first = dealt.join(ends, F.col("print") == F.col("_print")).drop("_print").repartition(*name).sortWithinPartitions(*name)
+    hoped = small(first.mapInArrow(hopeful(least), SHARD), "hoped")
+    shards = hoped.join(plain, F.col("print") == F.col("_print")).drop("_print").repartition(*name).sortWithinPartitions(*name)
     further = written(shards.mapInArrow(linked(least), "print bigint, to bigint"), "further")
 
     groups = components(good.unionByName(further), "print", "to").withColumnRenamed("node", "print")

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,3 +318,49 @@ def test_near_documents_leave_out_no_link(spark):
         named = prints.withColumn("print", edit_prints.digest_of("fingerprint")).join(edit_prints.near_documents(prints, most=most), "print", "left")
         near = {r.doc_id: r.doc_id if r.near_id is None else r.near_id for r in named.collect()}
         assert near == {d: top(d) for d in ids}
+
+
+def test_last_digits_rule_out_no_pair_that_is_alike():
+    walk, rng = edit_prints.Walk(), random.Random(12)
+    prints = []
+    for size in (1, 3, 40, 64, 65, 700, 5000):
+        for _ in range(6):
+            text = "".join(rng.choice("abcdefgh ") for _ in range(size))
+            for edits in (0, 1, size // 12, size // 4, size):
+                changed = [rng.choice("abcdefgh ") if rng.random() * size < edits else c for c in text][: size - rng.randrange(1 + size // 10)]
+                points = edit_prints.code_points("".join(changed))
+                prints.append(walk.sampled(points, walk.entered([0], [points])[0]))
+    pairs = [(a, b) for a in prints for b in prints]
+    digits = {a: a.decode().rstrip("-") for a in prints}
+    last = {a: bytes.fromhex(digits[a][-edit_prints.LAST :].rjust(edit_prints.LAST, "0")) for a in prints}
+    sides = [edit_prints.last_digits(edit_prints.pa.array([last[pair[k]] for pair in pairs])) for k in range(2)]
+    ends = [np.array([len(digits[pair[k]]) for pair in pairs]) for k in range(2)]
+    likeness = np.array([walk.likeness(a, b) for a, b in pairs])
+    for least in (0.0, 0.3, 0.8, 1.0):
+        out = edit_prints.ruled_out(*sides, *ends, least)
+        assert not (out & (likeness >= least)).any()
+        assert least < 0.8 or out.sum() >= 0.5 * (likeness < least).sum()
+
+
+def test_whole_fingerprints_travel_only_where_the_last_digits_leave_it_open(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab") for _ in range(400)) for _ in range(60)]
+    texts += [texts[0][:200] + "b" + texts[0][201:], texts[1] + "a"]
+    prints = edit_prints.stored(edit_prints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    rows = prints.collect()
+    firsts: dict[int, list] = {}
+    for r in rows:
+        for band in r.bands:
+            firsts.setdefault(band, []).append(r.doc_id)
+    met = {(ids[0], other) for ids in firsts.values() for other in ids[1:]}
+    sent, small = {}, edit_prints.small
+
+    def counted(df, label, *more):
+        table = small(df, label, *more)
+        sent[label] = table.count()
+        return table
+
+    monkeypatch.setattr(edit_prints, "small", counted)
+    found = {r.near_id for r in edit_prints.near_documents(prints).collect()}
+    assert found == {0, 1}
+    assert len(met) > 100 and sent["meetings"] < len(met) / 2
