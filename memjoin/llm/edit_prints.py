@@ -66,9 +66,13 @@ def _draw(count: int, salt: int) -> np.ndarray:
 
 
 class Walk:
-    """The shared random walk and the sampled places, the same in every task."""
+    """The shared random walk and the sampled places, the same in every task; `steps`: also what it takes to walk a text."""
 
-    def __init__(self):
+    def __init__(self, steps: bool = True):
+        self.places, self.weight = np.zeros(0, np.int64), np.zeros(0)
+        self.drawn: dict[int, np.ndarray] = {}
+        if not steps:
+            return
         points = _draw(0x110000, 1)
         self.kind = (points & np.uint64(CLASSES - 1)).astype(np.uint8)
         self.digit = np.frombuffer(b"0123456789abcdef", np.uint8)[(points >> np.uint64(20)).astype(np.int64) & 15]
@@ -81,8 +85,6 @@ class Walk:
         self.wait = np.minimum(wait, 255).astype(np.uint8)
         self.rows = [row.tobytes() for row in self.wait]
         self.flat = self.wait.ravel()
-        self.places, self.weight = np.zeros(0, np.int64), np.zeros(0)
-        self.drawn: dict[int, np.ndarray] = {}
 
     def levels(self, steps: int) -> int:
         return 0 if steps == 0 else 1 + max(0, int(steps - 1) // FIRST).bit_length()
@@ -296,6 +298,12 @@ def last_digits(column) -> np.ndarray:
     return np.stack([octets >> 4, octets & 15], axis=2).reshape(-1, LAST)
 
 
+def too_far(differ: np.ndarray, ends: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs are less than `least` alike, from the steps that are known to differ and the digits of the longer one."""
+    share = least * (1 - CHANCE) + CHANCE if least > 0 else 0.0
+    return differ > (1 - share + 1e-9) * STEPS_BEFORE[ends]
+
+
 def ruled_out(one: np.ndarray, other: np.ndarray, one_ends: np.ndarray, other_ends: np.ndarray, least: float) -> np.ndarray:
     """Which pairs of fingerprints are less than `least` alike whatever their other digits are, from their last digits and how
     many they have: places that only one of them reaches differ, and so do different digits of places that both show."""
@@ -305,9 +313,8 @@ def ruled_out(one: np.ndarray, other: np.ndarray, one_ends: np.ndarray, other_en
     column = np.arange(LAST) + (high - low)[:, None]
     shown = np.take_along_axis(np.where(longer, other, one), np.minimum(column, LAST - 1), axis=1)
     differ = (np.where(longer, one, other) != shown) & (place >= 0) & (column < LAST)
-    known = (STEPS[np.maximum(place, 0)] * differ).sum(axis=1) + STEPS_BEFORE[high] - STEPS_BEFORE[low]
-    share = least * (1 - CHANCE) + CHANCE if least > 0 else 0.0
-    return known > (1 - share + 1e-9) * STEPS_BEFORE[high]
+    known = np.einsum("ij,ij->i", STEPS[np.maximum(place, 0)], differ) + STEPS_BEFORE[high] - STEPS_BEFORE[low]
+    return too_far(known, high, least)
 
 
 def open_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -320,7 +327,7 @@ def open_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
 def verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     walk = None
     for batch in batches:
-        walk = walk or Walk()
+        walk = walk or Walk(steps=False)
         a, b = batch.column("fingerprint").to_pylist(), batch.column("other").to_pylist()
         score = np.array([walk.likeness(x.encode(), y.encode()) for x, y in zip(a, b)], np.float64)
         yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("to")], ["print", "to"]).filter(pa.array(score >= least))
@@ -347,17 +354,16 @@ def shard_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 SHARD = "band bigint, left int, right int, part int, print bigint, root bigint"
 
 
-def pair_blocks(sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every pair of rows of the same shard, about PAIRS at a time, for shards that follow each other; a large one comes alone."""
-    starts = np.cumsum([0, *sizes])
-    if len(sizes) > 1:
-        parts = [np.triu_indices(size, 1) for size in sizes]
-        yield tuple(np.concatenate([part[k] + start for part, start in zip(parts, starts)]) for k in range(2))
-        return
-    step = max(1, PAIRS // sizes[0])
-    for at in range(0, sizes[0], step):
-        one, other = np.nonzero(np.arange(at, min(at + step, sizes[0]))[:, None] < np.arange(sizes[0]))
-        yield one + at, other
+def pair_blocks(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of rows of the same shard, about PAIRS at a time, for shards of these sizes that follow each other."""
+    after = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(sizes.sum())
+    before = np.concatenate([[0], np.cumsum(after)])
+    at = 0
+    while at < len(after):
+        stop = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS, side="right")) - 1)
+        one = np.repeat(np.arange(at, stop), after[at:stop])
+        yield one, one + 1 + np.arange(len(one)) - np.repeat(before[at:stop] - before[at], after[at:stop])
+        at = stop
 
 
 def hopeful(least: float):
@@ -365,30 +371,35 @@ def hopeful(least: float):
     alike to another row that `linked` compares them with."""
     names = [column.split()[0] for column in SHARD.split(", ")]
 
-    def kept(tables: list[pa.Table]) -> list[pa.RecordBatch]:
-        rows = pa.concat_tables(tables)
+    def kept(rows: pa.Table, edges: np.ndarray) -> list[pa.RecordBatch]:
         digits, ends = last_digits(rows.column("last")), rows.column("ends").to_numpy()
         root, part = rows.column("root").to_numpy(), rows.column("part").to_numpy()
         halves = rows.column("left").to_numpy() != rows.column("right").to_numpy()
         keep = np.zeros(len(ends), bool)
-        for one, other in pair_blocks([table.num_rows for table in tables]):
+        for one, other in pair_blocks(np.diff(edges)):
             meet = (root[one] != root[other]) & (~halves[one] | (part[one] != part[other]))
             one, other = one[meet], other[meet]
+            high, low = np.maximum(ends[one], ends[other]), np.minimum(ends[one], ends[other])
+            meet = ~too_far(STEPS_BEFORE[high] - STEPS_BEFORE[low], high, least)
+            one, other = one[meet], other[meet]
             near = ~ruled_out(digits[one], digits[other], ends[one], ends[other], least)
             keep[one[near]] = keep[other[near]] = True
         return rows.select(names).filter(pa.array(keep)).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pairs = [], 0
-        for table in shard_tables(batches):
-            more = table.num_rows * (table.num_rows - 1) // 2
-            if held and pairs + more > PAIRS:
-                yield from kept(held)
-                held, pairs = [], 0
-            held.append(table)
-            pairs += more
-        if held:
-            yield from kept(held)
+        rows = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more = pa.Table.from_batches([batch])
+            rows = more if rows is None else pa.concat_tables([rows, more])
+            keys = np.stack([rows.column(c).to_numpy() for c in ("band", "left", "right")], axis=1)
+            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+            if len(edges) > 1:  # the last shard may go on in the next batch
+                yield from kept(rows.slice(0, edges[-1]), edges)
+                rows = rows.slice(edges[-1])
+        if rows is not None:
+            yield from kept(rows, np.array([0, rows.num_rows]))
 
     return run
 
@@ -419,7 +430,7 @@ def linked(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = None
         for table in shard_tables(batches):
-            walk = walk or Walk()
+            walk = walk or Walk(steps=False)
             yield links(table, walk)
 
     return run
