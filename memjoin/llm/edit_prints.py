@@ -36,6 +36,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -59,6 +60,7 @@ LAST = 64  # digits of a fingerprint that meet first
 PAIRS = 1 << 14  # pairs whose last digits are compared at a time
 STEPS = np.repeat(2.0 ** np.maximum(np.arange(64) - 1, 0), SAMPLES)  # steps that a sample stands for, in units of the first level's
 STEPS_BEFORE = np.concatenate([[0.0], np.cumsum(STEPS)])
+LAST_STEPS = sliding_window_view(np.concatenate([np.zeros(LAST), STEPS]).astype(np.float32), LAST)  # by how many digits there are; sums are exact
 
 
 def _draw(count: int, salt: int) -> np.ndarray:
@@ -308,12 +310,11 @@ def ruled_out(one: np.ndarray, other: np.ndarray, one_ends: np.ndarray, other_en
     """Which pairs of fingerprints are less than `least` alike whatever their other digits are, from their last digits and how
     many they have: places that only one of them reaches differ, and so do different digits of places that both show."""
     high, low = np.maximum(one_ends, other_ends), np.minimum(one_ends, other_ends)
-    longer = (one_ends >= other_ends)[:, None]
-    place = high[:, None] - LAST + np.arange(LAST)
-    column = np.arange(LAST) + (high - low)[:, None]
-    shown = np.take_along_axis(np.where(longer, other, one), np.minimum(column, LAST - 1), axis=1)
-    differ = (np.where(longer, one, other) != shown) & (place >= 0) & (column < LAST)
-    known = np.einsum("ij,ij->i", STEPS[np.maximum(place, 0)], differ) + STEPS_BEFORE[high] - STEPS_BEFORE[low]
+    gap, longer = np.minimum(high - low, LAST), (one_ends >= other_ends)[:, None]
+    shorter = np.where(longer, other, one)
+    shown = sliding_window_view(np.concatenate([shorter, np.zeros_like(shorter)], axis=1), LAST, axis=1)[np.arange(len(gap)), gap]
+    differ = (np.where(longer, one, other) != shown) & (np.arange(LAST) < (LAST - gap)[:, None])
+    known = np.einsum("ij,ij->i", LAST_STEPS[high], differ, dtype=np.float32) + STEPS_BEFORE[high] - STEPS_BEFORE[low]
     return too_far(known, high, least)
 
 
