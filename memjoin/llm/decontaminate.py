@@ -33,6 +33,7 @@ THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 PAIRS_AT_ONCE = 256
 HITS_AT_ONCE = 1 << 21
+RUN = 1 << 19  # bytes of text whose words are hashed together
 
 
 class Words:
@@ -165,7 +166,7 @@ def aligned(docs: DataFrame, shared, threshold: float, kinds: tuple[str, str]) -
         items, words = shared.value, Words()
         for batch in batches:
             found: dict[tuple[int, int], tuple[float, int, int]] = {}
-            for base, rows in text_rows(batch, "text"):
+            for base, rows in text_rows(batch, "text", RUN):
                 hashed, owner = words.of(rows)
                 first = np.searchsorted(owner, np.arange(len(rows) + 1))
                 todo, found_at = [], hits(items, words, hashed, owner)

@@ -334,13 +334,13 @@ def verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("to")], ["print", "to"]).filter(pa.array(score >= least))
 
 
-def shard_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """One table for each shard (band, left, right), which come sorted."""
+def shard_tables(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("band", "left", "right")) -> Iterator[pa.Table]:
+    """One table for each shard, which come sorted."""
     held, name = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "left", "right")], axis=1)
+        keys = np.stack([batch.column(c).to_numpy() for c in by], axis=1)
         edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
         for low, high in zip(edges, edges[1:]):
             if held and tuple(keys[low]) != name:
@@ -355,9 +355,8 @@ def shard_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 SHARD = "band bigint, left int, right int, part int, print bigint, root bigint"
 
 
-def pair_blocks(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every pair of rows of the same shard, about PAIRS at a time, for shards of these sizes that follow each other."""
-    after = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(sizes.sum())
+def pair_blocks(after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every row with as many of the rows after it as `after` says, about PAIRS pairs at a time."""
     before = np.concatenate([[0], np.cumsum(after)])
     at = 0
     while at < len(after):
@@ -377,7 +376,8 @@ def hopeful(least: float):
         root, part = rows.column("root").to_numpy(), rows.column("part").to_numpy()
         halves = rows.column("left").to_numpy() != rows.column("right").to_numpy()
         keep = np.zeros(len(ends), bool)
-        for one, other in pair_blocks(np.diff(edges)):
+        sizes = np.diff(edges)
+        for one, other in pair_blocks(np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(ends))):
             meet = (root[one] != root[other]) & (~halves[one] | (part[one] != part[other]))
             one, other = one[meet], other[meet]
             high, low = np.maximum(ends[one], ends[other]), np.minimum(ends[one], ends[other])

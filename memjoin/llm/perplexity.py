@@ -33,6 +33,7 @@ ORDER = 5
 HELD_OUT = 5  # every fifth trusted document by its hash
 QUANTILE, SLACK, LEAST = 0.99, 1.1, 20
 SHARD_TERMS = 3_000_000
+RUN = 1 << 18  # bytes of text that are taken apart together
 SLOTS = 20  # bits of the score cache of a task
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,7 +56,7 @@ def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for _, rows in text_rows(batch, "text"):
+            for _, rows in text_rows(batch, "text", RUN):
                 key, n = np.unique(keys_of(rows, order)[0], return_counts=True)
                 both = np.concatenate([known, key])
                 known, back = np.unique(both, return_inverse=True)
@@ -169,7 +170,7 @@ def scored(rows: DataFrame, shared, kind: str) -> DataFrame:
         cache = Cache(model)
         for batch in batches:
             counts, sums = [], []
-            for _, texts in text_rows(batch, "text"):
+            for _, texts in text_rows(batch, "text", RUN):
                 keys, owner = keys_of(texts, model.order)
                 here = mine[((keys >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)]
                 if not here.all():

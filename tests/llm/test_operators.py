@@ -453,3 +453,56 @@ def test_rows_of_a_crowd_are_joined_once(spark, monkeypatch):
         data = list(enumerate(crowd)) + [(10_000 + j, text + " end") for j, text in enumerate(crowd)]
         assert simhash.near_copies(cases.table(spark, data)).count() == size
         assert sum(verified) < 20 * 2 * size
+
+
+def test_near_copies_leave_out_no_pair(spark):
+    """Pairs at the similarity that share none of 20 bands of 5 minima of their shingles."""
+    data = []
+    for k, seed in enumerate((2206, 11374, 12900, 16030, 17910, 23609, 23953)):
+        rng = random.Random(seed)
+        words = cases.prose(rng, 49, 100000).split()
+        data += [(k, " ".join(words)), (100 + k, " ".join(words[:44] + cases.prose(rng, 5, 100000).split()))]
+        assert shingle_jaccard(data[-2][1], data[-1][1]) == 0.8
+    left = sorted(r.doc_id for r in simhash.drop_near_copies(cases.table(spark, data)).collect())
+    assert left == list(range(7))
+
+
+@pytest.mark.parametrize("most", [4, 4096])
+def test_near_copies_against_every_pair(spark, most):
+    """Crowds on common passages, from half alike to copies, in shards of any size."""
+    rng = random.Random(43)
+    passages = [cases.prose(rng, 60, 300) for _ in range(3)]
+    data = []
+    for k in range(150):
+        words = f"{passages[k % 3]} {cases.prose(rng, rng.randrange(6, 30), 300)}".split()
+        data.append((k, " ".join(words)))
+        for step in range(k % 3):
+            at = rng.randrange(len(words) - 2)
+            words[at : at + 2] = cases.prose(rng, rng.randrange(5), 300).split()
+            data.append((1000 * (step + 1) + k, " ".join(words)))
+    root = {d: d for d, _ in data}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, (a, x) in enumerate(data):
+        for b, y in data[:i]:
+            if shingle_jaccard(x, y) >= 0.8:
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    left = sorted(r.doc_id for r in simhash.drop_near_copies(cases.table(spark, data), most=most).collect())
+    assert left == sorted({top(d) for d, _ in data}) and 20 < len(left) < len(data) - 20
+
+
+def test_shingles_are_those_of_the_words():
+    rng = random.Random(44)
+    texts = [b"", b" \t", b"one", b"A b\nc\x0bd", "Été ünï ÇA x y z".encode(), *(cases.prose(rng, n, 9).upper().encode() for n in (5, 6, 80, 300))]
+    names: dict[int, int] = {}
+    for text, found in zip(texts, simhash.Shingles(5).of(texts)):
+        plain = np.unique(simhash.shingle_hashes(text, 5)) if text.split() else []
+        assert len(found) == len(plain)
+        for word in range(len(text.split()) - 4):
+            part = b" ".join(text.lower().split()[word : word + 5])
+            (one,) = simhash.Shingles(5).of([part])
+            assert one[0] in found and names.setdefault(int(one[0]), part) == part
