@@ -11,8 +11,9 @@ the end. The fingerprint is the samples in order: its length grows with the loga
 fingerprints is the share of equal samples, each weighted by the steps it stands for, less what chance alone gives.
 
 Near documents: fingerprints with equal digits at the sampled places of a band meet. Band places are drawn by weight, for the
-text's own number of levels and, if it has little of the last one, for one less, so that two texts of the least likeness share
-one of the BANDS bands but for 0.02 % (by calculation). Each meets the band's first document, and the members of a band
+text's own number of levels and, if it has little of the last one, for one less, and draws past a text's end are passed over, as
+the likeness does not count them either. So a band holds WIDTH digits of any text, and two texts of the least likeness share one
+of the BANDS bands but for 0.02 % (by calculation). Each meets the band's first document, and the members of a band
 that this leaves apart are all compared inside its task; only links verified by the likeness of the whole fingerprints count, and the
 groups are their connected components. Equal fingerprints are one row before any band, so a crowd of copies is one member.
 What meets first is the last LAST digits of each fingerprint, which stand for half of its steps or more: if they differ so much
@@ -51,6 +52,7 @@ CHUNK = 1 << 23  # characters at a time
 ROWS, SLICES = 256, 100_000  # rows of a slice at least, slices at most
 CHANCE = 1 / 16
 BANDS, WIDTH = 40, 8  # bands of a fingerprint, samples in each
+DRAWS = 64  # places that are drawn for a band; a text takes the first WIDTH of them that it reaches
 TOP_SHARE = 0.25  # share of the last level up to which a text may be alike to one without that level
 SHARD_ROWS = 4096  # rows of a band that are compared in one task
 ALIKE = 0.8
@@ -73,6 +75,7 @@ class Walk:
     def __init__(self, steps: bool = True):
         self.places, self.weight = np.zeros(0, np.int64), np.zeros(0)
         self.drawn: dict[int, np.ndarray] = {}
+        self.reached: dict[tuple[int, int], np.ndarray] = {}
         if not steps:
             return
         points = _draw(0x110000, 1)
@@ -153,13 +156,19 @@ class Walk:
         weight = np.where((left == 45) & (right == 45), 0.0, self.weight[:size])
         return max(0.0, (float(weight[left == right].sum() / weight.sum()) - CHANCE) / (1 - CHANCE))
 
-    def band_places(self, top: int) -> np.ndarray:
-        """The sampled places of each band, drawn by weight over `top` levels."""
+    def band_places(self, top: int, ends: int) -> np.ndarray:
+        """The sampled places of each band of a text that reaches `ends` of them: the first of those drawn by weight over `top`
+        levels; where too few of these are reached, the first place stands for the others."""
         if top not in self.drawn:
             share = np.cumsum(self.weight[: top * SAMPLES])
-            points = np.stack([_draw(WIDTH, 1000 + BANDS * top + band) for band in range(BANDS)])
+            points = np.stack([_draw(DRAWS, 1000 + BANDS * top + band) for band in range(BANDS)])
             self.drawn[top] = np.searchsorted(share, (points >> np.uint64(11)).astype(np.float64) / 2.0**53 * share[-1], side="right")
-        return self.drawn[top]
+        if (top, ends) not in self.reached:
+            drawn = self.drawn[top]
+            order = np.argsort(drawn >= ends, axis=1, kind="stable")[:, :WIDTH]
+            places = np.take_along_axis(drawn, order, axis=1)
+            self.reached[top, ends] = np.where(places < ends, places, 0)
+        return self.reached[top, ends]
 
     def bands(self, print_: bytes) -> list[int]:
         """Hashes of the keys of a fingerprint's bands: for its number of levels and, if it has little of the last one, for one less."""
@@ -167,9 +176,10 @@ class Walk:
         levels = len(print_) // SAMPLES
         self.need(levels)
         digits = np.frombuffer(print_, np.uint8)
-        little = levels > 1 and np.count_nonzero(digits[-SAMPLES:] != 45) <= TOP_SHARE * SAMPLES
+        ends = int(np.count_nonzero(digits != 45))
+        little = levels > 1 and ends - (levels - 1) * SAMPLES <= TOP_SHARE * SAMPLES
         for top in (levels, levels - 1)[: 1 + little] if levels else ():
-            chosen = digits[self.band_places(top)]
+            chosen = digits[self.band_places(top, min(ends, top * SAMPLES))]
             keys += [xxh3_64_intdigest(bytes([top, band]) + row.tobytes()) - (1 << 63) for band, row in enumerate(chosen)]
         return keys
 

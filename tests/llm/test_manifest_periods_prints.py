@@ -364,3 +364,22 @@ def test_whole_fingerprints_travel_only_where_the_last_digits_leave_it_open(spar
     found = {r.near_id for r in edit_prints.near_documents(prints).collect()}
     assert found == {0, 1}
     assert len(met) > 100 and sent["meetings"] < len(met) / 2
+
+
+def test_bands_of_unlike_texts_do_not_meet_past_their_ends(walk):
+    """Texts that reach little of their last level share bands no more often than others; alike ones still do."""
+    rng = random.Random(15)
+
+    def bands(text):
+        points = edit_prints.code_points(text)
+        print_ = walk.sampled(points, walk.entered([0], [points])[0])
+        return print_, set(walk.bands(print_))
+
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(520, 620))) for _ in range(200)]
+    made = [bands(text) for text in texts]
+    met = sum(bool(made[a][1] & made[b][1]) for a in range(200) for b in range(a))
+    assert all(len(b) in (edit_prints.BANDS, 2 * edit_prints.BANDS) for _, b in made) and met < 40
+    for text, (print_, own) in zip(texts, made):
+        other, near = bands(text[:-20] + "xyz")
+        assert walk.likeness(print_, other) < 0.85 or own & near
+    assert all(len(bands(text)[1]) == edit_prints.BANDS for text in ("a", "ab", "abc" * 5))
