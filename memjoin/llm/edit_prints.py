@@ -457,8 +457,8 @@ def near_documents(prints: DataFrame, least: float = ALIKE, most: int = SHARD_RO
     """(print, near_id): the smallest doc_id that links between fingerprints at least `least` alike reach, for the fingerprints
     of which that is not simply the only row. `print` is the 64-bit hash of the fingerprint.
 
-    Every member of a band first meets the band's first; where that leaves members apart, all of them are compared. A band of
-    over `most` such rows is cut into parts, and every two parts are compared in a task of their own.
+    Every member of a band first meets the band's first; where that leaves other members apart, all of these are compared. A band
+    of over `most` such rows is cut into parts, and every two parts are compared in a task of their own.
     """
     named = prints.withColumn("print", digest_of("fingerprint"))
     texts = written(named.groupBy("print").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies")), "texts")
@@ -480,7 +480,7 @@ def near_documents(prints: DataFrame, least: float = ALIKE, most: int = SHARD_RO
     good = written(pairs.mapInArrow(lambda batches: verified(batches, least), "print bigint, to bigint"), "links")
 
     roots = components(good, "print", "to").withColumnRenamed("node", "print")
-    rooted = shared.where("n > 2").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    rooted = shared.where("n > 2 and to <> print").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     members = F.sum(F.xxhash64("print").cast("decimal(38,0)")).alias("members")
     apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"), members).where("low < high")
     apart = apart.groupBy("members", "rows").agg(F.min("band").alias("band"))  # bands of the same members are one
